@@ -106,7 +106,11 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fur
     rules = BASE + further
     found = searched(docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("__body")), "__body", rules)
     base = F.filter("__spans", lambda s: s["rule"] < len(BASE))
-    counts = [F.size(F.filter("__spans", lambda s, n=n: s["rule"] == n)).cast("long").alias(f"n_{r.kind}") for n, r in enumerate(BASE)]
+
+    def count(n: int) -> Column:
+        return F.size(F.filter("__spans", lambda s: s["rule"] == n)).cast("long")
+
+    counts = [count(n).alias(f"n_{r.kind}") for n, r in enumerate(BASE)]
     return found.select(F.col("__id").alias(id_col), *counts, F.sha2(_written(base, rules), 256).alias("base_sha256"), _written(F.col("__spans"), rules).alias("spans"))
 
 
