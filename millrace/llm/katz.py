@@ -119,7 +119,7 @@ class Block:
             tally[first + order - 2] = self.train
         self.at = [words]
         self.keys = [word_keys]
-        self.history, self.suffix = [None], [None]
+        self.history, self.suffix, self.begins = [None], [None], [None]
         self.count = [np.bincount(words, tally, len(word_keys)).astype(np.int64)]
         for _ in range(order - 1):
             low = self.at[-1]
@@ -127,6 +127,7 @@ class Block:
             _, where, number = np.unique(code, return_index=True, return_inverse=True)
             self.history.append(low[before[where]])
             self.suffix.append(low[where])
+            self.begins.append(words[where] == BEGIN)
             self.keys.append(_mixed(self.keys[-1][self.history[-1]], word_keys[words[where]]))
             self.at.append(number)
             self.count.append(np.bincount(number, tally, len(where)).astype(np.int64))
@@ -310,7 +311,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         def run(table: pa.Table) -> pa.Table:
             block, grams, count, first, sums = _gathered(table, order, shards)
             history = grams.history[k - 1]
-            own = first[k]
+            own = first[k] & ~grams.begins[k - 1]
             share = np.where(own, model.share(k, count[k], count[k - 1][history]), 0.0)
             low = np.where(own, _probabilities(model, grams, count, sums, k - 1)[grams.suffix[k - 1]], 0.0)
             n = len(grams.keys[k - 2])
@@ -330,7 +331,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         block, grams, count, _, sums = _gathered(table, order, shards)
         doc, n = grams.doc[grams.place], len(grams.lengths)
         words = grams.at[0][grams.place]
-        total = np.bincount(doc, np.log10(_probabilities(model, grams, count, sums, order))[grams.at[-1][grams.place]], n)
+        total = np.bincount(doc, np.log10(_probabilities(model, grams, count, sums, order)[grams.at[-1][grams.place]]), n)
         base = np.bincount(doc, model.base(count[1])[words], n)
         known = np.bincount(doc, count[1][words] > 0, n).astype(np.int64)
         columns = [block["ids"], ~grams.train, grams.lengths, known, [model.total] * n, base, total]
