@@ -78,10 +78,11 @@ def searched(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     keyed = docs.withColumn("__text", text).withColumn("__h", F.xxhash64("__text")).withColumn("__g", F.xxhash64(F.lit(7), F.col("__text")))
     if terms:
         grams = sorted({t for _, _, t, _ in terms})
-        low = F.lower("__text")
-        held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i).cast("short")) for i, t in enumerate(grams)]))
+        held = F.array_compact(F.array(*[F.when(F.contains("__low", F.lit(t)), F.lit(i).cast("short")) for i, t in enumerate(grams)]))
         wanted = docs.sparkSession.createDataFrame([(n, a, grams.index(t), size) for n, a, t, size in terms], "rule int, alternative int, gram short, size int")
-        postings = stage(keyed.select("__h", "__g", held.alias("held")).where(F.size("held") > 0).select("__h", "__g", F.explode("held").alias("gram")).distinct().sortWithinPartitions("gram"), "postings")
+        # written before it is inverted: else the search for the trigrams is repeated in a filter
+        forward = stage(keyed.withColumn("__low", F.lower("__text")).select("__h", "__g", held.alias("held")), "forward_index")
+        postings = forward.select("__h", "__g", F.explode("held").alias("gram")).distinct()
         met = postings.join(F.broadcast(wanted), "gram").groupBy("__h", "__g", "rule", "alternative", "size").count().where(F.col("count") == F.col("size"))
         candidates = met.groupBy("__h", "__g").agg(F.collect_set("rule").alias("__rules"))
         keyed = keyed.join(candidates, ["__h", "__g"], "left")
