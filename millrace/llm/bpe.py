@@ -2,11 +2,15 @@
 
 ``whole`` maps every vocabulary string that is proved, by encoding it alone with the library, to
 be one pre-token and one token. A pre-token among them needs no merging; any other is merged
-by the library and remembered in a table of bounded size.
+and remembered in a table of bounded size. Merging uses ranks read from the same file: a token's
+id orders its merge.
 """
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 import regex
 
 #: Code points on which this pattern's character classes and the library's agree; texts with others go to the library whole.
@@ -14,8 +18,16 @@ PLAIN = regex.compile(r"[\x00-՗Ḁ-⁯぀-ゖァ-ヺ一-龥가-힣]*+")
 MEMORY = 200_000
 
 
+def _bytes_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the rest from 256 on."""
+    own = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b}
+    rest = (b for b in range(256) if b not in own)
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class ByteBpe:
     def __init__(self, path: str, pattern: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -23,6 +35,10 @@ class ByteBpe:
         added = self.library.get_added_tokens_decoder()
         self.special = {t.content: i for i, t in added.items()}
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        with open(path, encoding="utf-8") as f:
+            names, of = json.load(f)["model"]["vocab"], _bytes_of()
+        ranks = {bytes(of[c] for c in s): i for s, i in names.items() if s not in self.special}
+        self.merger = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
         self.whole = self._proved()
         self.merged: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
@@ -39,7 +55,7 @@ class ByteBpe:
 
     def _merge(self, pre: str) -> list[int]:
         if (found := self.merged.get(pre)) is None:
-            found = self.older.get(pre) or self.library.encode(pre, add_special_tokens=False).ids
+            found = self.older.get(pre) or self.merger.encode_ordinary(pre)
             if len(pre) <= 64:
                 if len(self.merged) >= MEMORY:
                     self.older, self.merged = self.merged, {}
@@ -64,11 +80,11 @@ class ByteBpe:
     def count(self, text: str) -> int:
         return sum(map(len, self.pieces(text)))
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for x in self.pieces(text):
-            out += x
-        return out
+    def encode(self, text: str) -> np.ndarray:
+        """All ids of a text."""
+        if text.isascii() or PLAIN.fullmatch(text):
+            return self.merger.encode_to_numpy(text, allowed_special="all")
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 _held: dict[str, ByteBpe] = {}

@@ -146,7 +146,7 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_
 
     def make():
         bpe = tokenizer(tokenizer_path, pattern)
-        return lambda texts: [x := [np.array([*bpe.encode(t), end_id], width).tobytes() for t in texts], [len(i) // int(width[-1]) for i in x]]
+        return lambda texts: [x := [np.append(bpe.encode(t), np.uint32(end_id)).astype(width).tobytes() for t in texts], [len(i) // int(width[-1]) for i in x]]
 
     plain = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     tokens = stage(per_document(plain, ["id"], "ids binary, n long", make).withColumn("row", F.monotonically_increasing_id()), "tokens")
