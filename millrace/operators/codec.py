@@ -9,6 +9,10 @@ from pyspark.sql import types as T
 from millrace.schema import CHANGE, ENVELOPE, OPS
 
 
+#: Times keep their microseconds.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def canonical(pk: Column) -> Column:
     """JSON of a key with its columns in order of their names."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(pk))))
@@ -21,7 +25,7 @@ def message_key(table: Column, pk: Column) -> Column:
 
 def encoded(changes: DataFrame) -> DataFrame:
     """Change rows as ``key`` and ``value`` of messages; null fields stay in the JSON."""
-    value = F.to_json(F.struct(*ENVELOPE.names), {"ignoreNullFields": "false"})
+    value = F.to_json(F.struct(*ENVELOPE.names), {"ignoreNullFields": "false", **TIMES})
     rest = [c for c in ("partition", "offset") if c in changes.columns]
     return changes.select(message_key(F.col("table"), F.col("pk")).alias("key"), value.alias("value"), *rest)
 
@@ -29,7 +33,7 @@ def encoded(changes: DataFrame) -> DataFrame:
 def parsed(messages: DataFrame) -> DataFrame:
     """Each message with ``change`` and ``error``; a message without op or table, or that isn't JSON, has an error."""
     schema = T.StructType([*ENVELOPE.fields, T.StructField("_corrupt", T.StringType())])
-    change = F.from_json(F.col("value").cast("string"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    change = F.from_json(F.col("value").cast("string"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", **TIMES})
     out = messages.withColumn("change", change)
     c = F.col("change")
     why = (
