@@ -72,10 +72,12 @@ def links(fps: DataFrame, limit: int = LIMIT, dense: int = 4096) -> DataFrame:
     if limit != LIMIT:
         raise ValueError("the grids are laid for four bits")
     each = stage(fps.where("fp is not null").select("fp").distinct(), "fingerprints")
+    # dealt out evenly, as each fingerprint becomes a row a grid
+    dealt = each.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     # each grid: number, mask of its groups, and a bit for each earlier group that it leaves out
     grids = [(i, signed(sum(_group(g) for g in k)), sum(1 << 8 * g for g in range(max(k)) if g not in k)) for i, k in enumerate(combinations(range(GROUPS), GROUPS - LIMIT))]
     v = _embedded(F.col("fp"))
-    cells = each.select("fp", F.explode(F.array(*[F.struct(F.lit(k).cast("short").alias("k"), v.bitwiseAND(F.lit(m)).alias("cell"), F.lit(w).cast("long").alias("w")) for k, m, w in grids])).alias("c")).select("c.k", "c.cell", "c.w", "fp")
+    cells = dealt.select("fp", F.explode(F.array(*[F.struct(F.lit(k).cast("short").alias("k"), v.bitwiseAND(F.lit(m)).alias("cell"), F.lit(w).cast("long").alias("w")) for k, m, w in grids])).alias("c")).select("c.k", "c.cell", "c.w", "fp")
     crowded = stage(cells.groupBy("k", "cell").count().where(F.col("count") > dense).select("k", "cell"), "dense_cells")
     any_crowded = not crowded.isEmpty()
     open_cells = cells.join(crowded, ["k", "cell"], "left_anti") if any_crowded else cells
