@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -45,7 +46,7 @@ class Model:
         get, known, quiet = self.weights.get, self.weights.keys(), -math.log1p(math.exp(self.bias))
         for start, end, found in sentences(text):
             if hits := known & found:
-                z = self.bias + sum(map(get, hits))
+                z = self.bias + math.fsum(map(get, hits))
                 clear -= math.log1p(math.exp(min(z, 30.0)))
                 if z >= 0:
                     where.append((start, end, 1 / (1 + math.exp(-z))))
@@ -56,25 +57,33 @@ class Model:
 
 def train(rows: list[tuple[str, int]], least: int = 3, steps: int = 200, rate: float = 0.1, penalty: float = 4e-4) -> Model:
     """Weights from (text, label) rows."""
-    bags = [[s for _, _, s in sentences(t)] for t, _ in rows]
-    count: dict[str, int] = {}
-    for bag in bags:
-        for w in set().union(*bag) if bag else ():
-            count[w] = count.get(w, 0) + 1
-    names = {w: i for i, w in enumerate(sorted(w for w, n in count.items() if n >= least))}
-    entry_word, entry_sentence, sentence_doc, y = [], [], [], []
-    for d, (bag, (_, label)) in enumerate(zip(bags, rows, strict=True)):
-        y.append(label)
-        for s in bag:
-            for w in s:
-                if (i := names.get(w)) is not None:
-                    entry_word.append(i)
-                    entry_sentence.append(len(sentence_doc))
-            sentence_doc.append(d)
+    ids: dict[str, int] = {}
+    count, last = array("i"), array("i")
+    words, sizes, bag_of = array("i"), array("i"), array("i")
+    for d, (text, _) in enumerate(rows):
+        for _, _, found in sentences(text):
+            for w in sorted(found):
+                if (i := ids.setdefault(w, len(ids))) == len(count):
+                    count.append(0)
+                    last.append(-1)
+                if last[i] != d:
+                    last[i], count[i] = d, count[i] + 1
+                words.append(i)
+            sizes.append(len(found))
+            bag_of.append(d)
+    held = np.flatnonzero(np.array(count) >= least)
+    number = np.full(len(count), -1, np.int32)
+    number[held] = np.arange(len(held))
+    ew = number[np.array(words, np.int32)]
+    es, sd = np.repeat(np.arange(len(sizes), dtype=np.int32), np.array(sizes, np.int32))[ew >= 0], np.array(bag_of, np.int32)
+    ew = ew[ew >= 0]
+    kept = set(held.tolist())
+    names = {w: int(number[i]) for w, i in ids.items() if i in kept}
+    del ids, words, kept
+    y = [label for _, label in rows]
     y = np.array(y, float)
     if not names or not 0 < y.sum() < len(y):
         return Model({}, -30.0 if not y.sum() else 0.0)
-    ew, es, sd = np.array(entry_word, int), np.array(entry_sentence, int), np.array(sentence_doc, int)
     weight = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     w, b = np.zeros(len(names)), -5.0
     mom, var = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
