@@ -81,7 +81,8 @@ def links(fps: DataFrame, limit: int = LIMIT, dense: int = 4096) -> DataFrame:
     crowded = stage(cells.groupBy("k", "cell").count().where(F.col("count") > dense).select("k", "cell"), "dense_cells")
     any_crowded = not crowded.isEmpty()
     open_cells = cells.join(crowded, ["k", "cell"], "left_anti") if any_crowded else cells
-    a, b = open_cells.alias("p"), open_cells.alias("q")
+    # a sort-merge join by hint: sizes are estimated without the grids, so Spark might broadcast all cells
+    a, b = open_cells.alias("p").hint("merge"), open_cells.alias("q")
     fa, fb = F.col("p.fp"), F.col("q.fp")
     x = _embedded(fa).bitwiseXOR(_embedded(fb))
     low, high = x.bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(LOW))
