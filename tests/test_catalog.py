@@ -1,7 +1,7 @@
 """Every registered query against its SQL, at two sizes."""
 
 import pytest
-from conftest import SF, SF_MORE
+from tests.conftest import SF, SF_MORE
 
 from millrace.plans import catalog
 from tests.oracle import connect, differences
