@@ -1,9 +1,7 @@
 """Embedders: an interface, feature hashing, and vector functions."""
 
-from __future__ import annotations
-
 from collections.abc import Callable, Sequence
-from typing import Protocol
+from typing import Iterator, Protocol
 
 import numpy as np
 import pandas as pd
@@ -38,6 +36,24 @@ def words(text: str) -> list[str]:
     return regex.findall(r"[\p{L}\p{Nd}]+", text.lower())
 
 
+def fnv1a_many(features: list[bytes], longest: int = 64) -> np.ndarray:
+    """The hashes of many features, a byte place at a time; those over ``longest`` bytes one by one."""
+    sizes = np.array([len(f) for f in features], np.int64)
+    out = np.full(len(features), FNV_OFFSET, np.uint64)
+    short = np.flatnonzero(sizes <= longest)
+    short = short[np.argsort(-sizes[short], kind="stable")]
+    width = int(sizes[short[0]]) if len(short) else 0
+    table = np.frombuffer(b"".join(features[i].ljust(width, b"\0") for i in short), np.uint8).reshape(len(short), width)
+    h, prime = out[short], np.uint64(FNV_PRIME)
+    for j in range(width):
+        n = int(np.searchsorted(-sizes[short], -j, side="left"))  # those longer than j come first
+        h[:n] = (h[:n] ^ table[:n, j]) * prime
+    out[short] = h
+    for i in np.flatnonzero(sizes > longest):
+        out[i] = fnv1a(features[i].decode())
+    return out
+
+
 class HashEmbedder:
     """Feature hashing of words (weight 1) and word pairs (0.5), signed by the hash's top bit, of unit length.
 
@@ -46,40 +62,43 @@ class HashEmbedder:
 
     def __init__(self, dim: int):
         self.dim, self.name = dim, f"hash-{dim}"
-        self._known: dict[str, tuple[int, float]] = {}
 
-    def _slot(self, feature: str) -> tuple[int, float]:
-        if (found := self._known.get(feature)) is None:
-            if len(self._known) > 500_000:
-                self._known.clear()
-            h = fnv1a(feature)
-            found = self._known[feature] = (h % self.dim, -1.0 if h >> 63 else 1.0)
-        return found
+    def embed(self, texts: Sequence[str], query: bool = False) -> list[list[float]]:
+        numbers: dict[str, int] = {}
+        each, weights = [], []
+        for t in texts:
+            found = words(t or "")
+            pairs = list(map(" ".join, zip(found, found[1:])))
+            each.append(np.array([numbers.setdefault(f, len(numbers)) for f in (*found, *pairs)], np.int64))
+            weights.append(np.repeat([1.0, 0.5], [len(found), len(pairs)]))
+        hashes = fnv1a_many([f.encode() for f in numbers])
+        slots = (hashes % np.uint64(self.dim)).astype(np.int64)
+        signs = np.where(hashes >> np.uint64(63), -1.0, 1.0)
+        out = []
+        for at, weight in zip(each, weights, strict=True):
+            v = np.bincount(slots[at], weight * signs[at], self.dim)
+            if not (size := np.linalg.norm(v)):
+                v[0] = size = 1.0
+            out.append((v / size).astype(np.float32).tolist())
+        return out
 
     def one(self, text: str) -> np.ndarray:
-        v = np.zeros(self.dim)
-        found = words(text or "")
-        for w in found:
-            i, sign = self._slot(w)
-            v[i] += sign
-        for pair in zip(found, found[1:]):
-            i, sign = self._slot(" ".join(pair))
-            v[i] += 0.5 * sign
-        norm = np.linalg.norm(v)
-        if norm == 0:
-            v[0] = norm = 1.0
-        return (v / norm).astype(np.float32)
+        return np.array(self.embed([text])[0], np.float32)
 
-    def embed(self, texts: Sequence[str], query: bool = False) -> list[list[float]]:
-        return [self.one(t).tolist() for t in texts]
+
+#: Texts embedded at a time.
+CHUNK = 512
 
 
 def embedder_udf(make: Callable[[], Embedder]):
-    """A vectorized UDF from text to array<float>; ``make`` runs once a batch stream."""
+    """A vectorized UDF from text to array<float>; ``make`` runs once a task."""
 
     @pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(make().embed(texts.fillna("").tolist()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        embedder = make()
+        for texts in batches:
+            held = texts.fillna("").tolist()
+            yield pd.Series([v for i in range(0, len(held), CHUNK) for v in embedder.embed(held[i : i + CHUNK])], index=texts.index, dtype=object)
 
     return run
 

@@ -113,6 +113,8 @@ def test_hash_embedder(spark):
     q, hit, miss = (np.array(v) for v in e.embed(["elephants near the river", "two elephants were seen near the river", "budget report for march"]))
     assert q @ hit > q @ miss and np.linalg.norm(hit) == pytest.approx(1, abs=1e-6) and embed.HashEmbedder(16).one("")[0] == 1
     assert embed.fnv1a("hello") == 0xA430D84680AABD0B
+    features = ["", "a", "hello", "é" * 20, "x" * 64, "y" * 65, "hello there"]
+    assert embed.fnv1a_many([f.encode() for f in features]).tolist() == [embed.fnv1a(f) for f in features]
     assert embed.literal([0.5, -1.0, 0.25]) == "[0.5,-1,0.25]"
     rows = spark.createDataFrame([("a b",), (None,)], "t string").select(embed.hash_embed(F.col("t"), 16).alias("v")).collect()
     assert [list(map(float, r.v)) for r in rows] == [embed.HashEmbedder(16).one(t).tolist() for t in ("a b", "")]
