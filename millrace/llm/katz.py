@@ -21,6 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,17 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _END_KEY, _BEGIN_KEY = np.uint64(xxhash.xxh64_intdigest(b"\n end")), np.uint64(xxhash.xxh64_intdigest(b"\n begin"))
 
 
+def _packed(a: np.ndarray) -> bytes:
+    """Compressed, the values' first bytes together, then their second ones, and so on."""
+    return zstandard.ZstdCompressor(1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+
+
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def begin_keys(order: int) -> list[int]:
     """The keys of the histories made of begin marks alone, by length."""
     out = [np.array([_BEGIN_KEY])]
@@ -70,8 +82,8 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, folds: int, order: int,
         def row():
             keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names))
             keys = np.concatenate((np.array([_END_KEY, _BEGIN_KEY]), keys))
-            data = [np.array(train, bool), np.array(lengths, np.int32), np.concatenate(parts), keys]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([[made], [sum(lengths)], [ids], *([x.tobytes()] for x in data)], types, strict=True)], schema.names)
+            data = [np.array(train, bool).tobytes(), np.array(lengths, np.int32).tobytes(), _packed(np.concatenate(parts)), keys.tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([[made], [sum(lengths)], [ids], *([x] for x in data)], types, strict=True)], schema.names)
 
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
@@ -98,7 +110,7 @@ class Block:
     def __init__(self, row: dict, order: int):
         self.train = np.frombuffer(row["train"], bool)
         self.lengths = np.frombuffer(row["lengths"], np.int32)
-        words = np.frombuffer(row["words"], np.int32).astype(np.int64)
+        words = _unpacked(row["words"], np.int32).astype(np.int64)
         padded = self.lengths.astype(np.int64) + order - 1
         first = np.concatenate(([0], np.cumsum(padded)[:-1]))
         self.doc = np.repeat(np.arange(len(padded)), padded)
@@ -159,7 +171,7 @@ def _counts(table: pa.Table, order: int, most: int) -> pa.Table:
     for k in sorted({r["k"] for r in rows}):
         own = [r for r in rows if r["k"] == k]
         keys = [np.frombuffer(r["keys"], np.uint64) for r in own]
-        mine = np.concatenate([np.frombuffer(r["x"], np.uint32) for r in own]).astype(np.int64)
+        mine = np.concatenate([_unpacked(r["x"], np.uint32) for r in own]).astype(np.int64)
         distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(number, mine, len(distinct)).astype(np.int64)
         owner = np.full(len(distinct), len(number))
@@ -169,7 +181,7 @@ def _counts(table: pa.Table, order: int, most: int) -> pa.Table:
         first = owner[number] == np.arange(len(number))
         at = 0
         for r, x in zip(own, keys, strict=True):
-            out.append((r["shard"], r["block"], k, answer[at : at + len(x)].astype(np.uint32).tobytes(), np.packbits(first[at : at + len(x)]).tobytes(), None))
+            out.append((r["shard"], r["block"], k, _packed(answer[at : at + len(x)].astype(np.uint32)), np.packbits(first[at : at + len(x)]).tobytes(), None))
             at += len(x)
         real = total[(total > 0) & (distinct != np.uint64(begin[k - 1]))]
         out.append((own[0]["shard"], -1, k, None, None, [float(real.sum()), float(len(real)), *np.bincount(np.minimum(real, most + 2), minlength=most + 3)[1 : most + 2].astype(float)]))
@@ -181,10 +193,10 @@ def _sums(table: pa.Table) -> pa.Table:
     own = sorted(table.to_pylist(), key=lambda r: r["block"])
     keys = [np.frombuffer(r["keys"], np.uint64) for r in own]
     distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = [np.bincount(number, np.concatenate([np.frombuffer(r[c], np.float64) for r in own]), len(distinct))[number] for c in ("x", "y")]
+    sums = [np.bincount(number, np.concatenate([_unpacked(r[c], np.float64) for r in own]), len(distinct))[number] for c in ("x", "y")]
     out, at = [], 0
     for r, x in zip(own, keys, strict=True):
-        out.append((r["shard"], r["block"], r["k"], sums[0][at : at + len(x)].tobytes(), sums[1][at : at + len(x)].tobytes(), None))
+        out.append((r["shard"], r["block"], r["k"], _packed(sums[0][at : at + len(x)]), _packed(sums[1][at : at + len(x)]), None))
         at += len(x)
     return pa.Table.from_batches([_batch(out, TOLD)])
 
@@ -245,12 +257,12 @@ def _gathered(table: pa.Table, order: int, shards: int):
         where = places[k][r["shard"]]
         size = len(grams.keys[k - 1])
         if r["k"] > 0:
-            count.setdefault(k, np.zeros(size, np.int64))[where] = np.frombuffer(r["x"], np.uint32)
+            count.setdefault(k, np.zeros(size, np.int64))[where] = _unpacked(r["x"], np.uint32)
             first.setdefault(k, np.zeros(size, bool))[where] = np.unpackbits(np.frombuffer(r["y"], np.uint8), count=len(where)).astype(bool)
         else:
             seen, low = sums.setdefault(k, (np.zeros(size), np.zeros(size)))
-            seen[where] = np.frombuffer(r["x"], np.float64)
-            low[where] = np.frombuffer(r["y"], np.float64)
+            seen[where] = _unpacked(r["x"], np.float64)
+            low[where] = _unpacked(r["y"], np.float64)
     return block, grams, count, first, sums
 
 
@@ -270,7 +282,7 @@ def _probabilities(model: Model, grams: Block, count, sums, upto: int) -> np.nda
 
 
 def _asked(number: int, k: int, keys: np.ndarray, shards: int, *values: np.ndarray) -> list[tuple]:
-    return [(s, number, k, keys[w].tobytes(), *(v[w].tobytes() for v in values), *[None] * (2 - len(values))) for s, w in enumerate(_shards(keys, shards)) if len(w)]
+    return [(s, number, k, keys[w].tobytes(), *(_packed(v[w]) for v in values), *[None] * (2 - len(values))) for s, w in enumerate(_shards(keys, shards)) if len(w)]
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, folds: int = FOLDS, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
