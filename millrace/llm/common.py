@@ -32,6 +32,17 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+_staged: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this process has staged; call it when the results that read it are written."""
+    jvm = spark.sparkContext._jvm
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` to a fresh table in the shared folder and read it back.
 
@@ -39,7 +50,9 @@ def stage(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     task overwrites its own attempt, so the table holds each row once.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}"
+    _staged.append(folder)
+    path = f"{folder}/{name}"
     out = df.write.option("compression", "zstd")
     (out.option("maxRecordsPerFile", rows_per_file) if rows_per_file else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

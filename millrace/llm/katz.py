@@ -5,8 +5,9 @@ shorter n-gram's probability; ``weight(h)`` is such that the probabilities after
 one exactly. Words outside the training vocabulary share what the discounts leave over of the unigrams.
 
 Texts are turned into blocks of word numbers. A block asks for each n-gram in it once: its keys
-(64-bit hashes) and local counts go to the key's shard, which sums them, keeps the shard's part of the
-n-gram table, and answers each block in the order of its keys. So each exchange moves one entry
+(64-bit hashes) and local counts go to the key's shard, which sums them and answers each block in
+the order of its keys; the answers are written tables, by order and shard. With ``tables`` the shards' own
+parts of the model (keys with counts, histories with the sums behind their weights) are kept too. So each exchange moves one entry
 a block and n-gram however often the n-gram occurs, no history or word is gathered in one place (a
 key has one entry a block), and shards and blocks stay of bounded size as the corpus grows. The
 backoff weights of each order take one more such exchange: of the blocks that hold an n-gram the
@@ -164,7 +165,7 @@ def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema, strict=True)], schema.names)
 
 
-def _counts(table: pa.Table, order: int, most: int) -> pa.Table:
+def _counts(table: pa.Table, order: int, most: int, keep: bool = False) -> pa.Table:
     """A shard's answer to the blocks' counts: totals, and a mark for the first block that trains on the n-gram."""
     rows = sorted(table.to_pylist(), key=lambda r: (r["k"], r["block"]))
     out, begin = [], begin_keys(order)
@@ -184,17 +185,21 @@ def _counts(table: pa.Table, order: int, most: int) -> pa.Table:
             out.append((r["shard"], r["block"], k, _packed(answer[at : at + len(x)].astype(np.uint32)), np.packbits(first[at : at + len(x)]).tobytes(), None))
             at += len(x)
         real = total[(total > 0) & (distinct != np.uint64(begin[k - 1]))]
-        out.append((own[0]["shard"], -1, k, None, None, [float(real.sum()), float(len(real)), *np.bincount(np.minimum(real, most + 2), minlength=most + 3)[1 : most + 2].astype(float)]))
+        held = (distinct[total > 0].tobytes(), _packed(total[total > 0])) if keep else (None, None)
+        out.append((own[0]["shard"], -1, k, *held, [float(real.sum()), float(len(real)), *np.bincount(np.minimum(real, most + 2), minlength=most + 3)[1 : most + 2].astype(float)]))
     return pa.Table.from_batches([_batch(out, TOLD)])
 
 
-def _sums(table: pa.Table) -> pa.Table:
+def _sums(table: pa.Table, keep: bool = False) -> pa.Table:
     """A shard's answer to the blocks' parts of the histories' sums."""
     own = sorted(table.to_pylist(), key=lambda r: r["block"])
     keys = [np.frombuffer(r["keys"], np.uint64) for r in own]
     distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = [np.bincount(number, np.concatenate([_unpacked(r[c], np.float64) for r in own]), len(distinct))[number] for c in ("x", "y")]
+    total = [np.bincount(number, np.concatenate([_unpacked(r[c], np.float64) for r in own]), len(distinct)) for c in ("x", "y")]
+    sums = [t[number] for t in total]
     out, at = [], 0
+    if keep:
+        out.append((own[0]["shard"], -1, own[0]["k"], distinct.tobytes(), _packed(np.concatenate(total)), None))
     for r, x in zip(own, keys, strict=True):
         out.append((r["shard"], r["block"], r["k"], _packed(sums[0][at : at + len(x)]), _packed(sums[1][at : at + len(x)]), None))
         at += len(x)
@@ -285,13 +290,14 @@ def _asked(number: int, k: int, keys: np.ndarray, shards: int, *values: np.ndarr
     return [(s, number, k, keys[w].tobytes(), *(_packed(v[w]) for v in values), *[None] * (2 - len(values))) for s, w in enumerate(_shards(keys, shards)) if len(w)]
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, folds: int = FOLDS, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, folds: int = FOLDS, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, tables: str | None = None) -> DataFrame:
     """One row a document with its unigram ``base_score`` and its Katz ``score``, both log10.
 
     Learns from the rows whose crc32 of the id modulo ``folds`` is not 0 (a null id counts as the
     empty text and is held out). Null and empty texts are the end token alone. Repeated rows
     stay and are learned from as often. Without training rows every token is unknown. Other
-    columns are left out.
+    columns are left out. ``tables`` names a folder for the model: rows by order ``k`` (for sums, minus the
+    history's length) and shard with packed keys (``x``) and counts or sums (``y``).
     """
     spark, most = docs.sparkSession, GOOD_TURING
     plain = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
@@ -306,12 +312,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                 for k in range(1, order + 1):
                     yield _batch(_asked(r["block"], k, grams.keys[k - 1], shards, grams.count[k - 1].astype(np.uint32)), ASKED)
 
-    told = stage(made.mapInArrow(count_requests, ASKED).groupBy("shard").applyInArrow(lambda t: _counts(t, order, most), TOLD), "counts")
+    told = stage(made.mapInArrow(count_requests, ASKED).groupBy("shard").applyInArrow(lambda t: _counts(t, order, most, bool(tables)), TOLD), "counts")
     stats = told.where("block = -1").select("k", F.posexplode("stats")).groupBy("k", "pos").agg(F.sum("col").alias("n")).collect()
     by_order: dict[int, list[float]] = {}
     for r in sorted(stats, key=lambda r: (r.k, r.pos)):
         by_order.setdefault(r.k, []).append(r.n)
     model = Model(by_order, order, most)
+
+    def kept(answers: DataFrame, mode: str) -> None:
+        if tables:
+            answers.where("block = -1").select("k", "shard", "x", "y").write.mode(mode).partitionBy("k").parquet(tables)
+
+    kept(told, "errorifexists")
     told = told.where("block >= 0").drop("stats")
 
     def gathered(answers: DataFrame):
@@ -332,8 +344,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         return run
 
     for k in range(2, order + 1):
-        answers = stage(gathered(told).applyInArrow(sum_requests(k), ASKED).groupBy("shard").applyInArrow(_sums, TOLD), "sums")
-        told = told.unionByName(answers.drop("stats"))
+        answers = stage(gathered(told).applyInArrow(sum_requests(k), ASKED).groupBy("shard").applyInArrow(lambda t: _sums(t, bool(tables)), TOLD), "sums")
+        kept(answers, "append")
+        told = told.unionByName(answers.where("block >= 0").drop("stats"))
 
     kind = docs.schema[[c.lower() for c in docs.columns].index(id_col.lower())].dataType
     schema = T.StructType([T.StructField(id_col, kind), *T._parse_datatype_string("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])

@@ -89,6 +89,19 @@ def test_probabilities_sum_to_one(corpus):
         assert sum(plain.p(h, w) for w in words) + plain.p(h, "\0unknown") == pytest.approx(1)
 
 
+def test_kept_tables_hold_the_counts(spark, corpus, tmp_path):
+    docs = corpus.select("doc_id", "text").limit(30)
+    path = str(tmp_path / "model")
+    katz.score(docs, block_tokens=2000, shard_tokens=3000, tables=path).collect()
+    plain = Plain([lowered(r.text) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 10], 2)
+    rows = spark.read.parquet(path).collect()
+    for k in (1, 2):
+        counts = sorted(c for r in rows if r.k == k for c in katz._unpacked(r.y, np.int64).tolist())
+        begin = [sum(1 for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 10)]
+        assert counts == sorted([*plain.grams[k].values(), *begin])
+    assert {r.k for r in rows} == {-1, 1, 2} and all(len(r.x) for r in rows)
+
+
 def test_no_training_rows(spark, none):
     assert katz.score(none).count() == 0
     only = spark.createDataFrame([(None, "a b")], "doc_id long, text string")

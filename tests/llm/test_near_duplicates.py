@@ -169,3 +169,15 @@ def test_pipeline_on_odd_rows(spark, odd):
 def test_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from millrace.llm import common
+
+    common.stage(spark.range(3), "numbers")
+    where = common._staged[-1].removeprefix("file:").replace("//", "/")
+    from pathlib import Path
+
+    assert Path(where).is_dir()
+    common.clear(spark)
+    assert not common._staged and not Path(where).exists()
