@@ -23,7 +23,7 @@ def _entries(columns: Column, values: Column, keep) -> Column:
 
 def decode_tuples(tuples: DataFrame, relations: DataFrame) -> DataFrame:
     """Join tuples with their relations and build op, pk, after, unchanged, types, old_pk and error."""
-    joined = tuples.join(F.broadcast(relations), "relation_id", "left")
+    joined = tuples.join(relations, "relation_id", "left")
     cols, vals, old = F.col("columns"), F.col("values"), F.col("old")
     delete = F.col("action") == "delete"
     shown = F.when(delete, old).otherwise(vals)

@@ -380,7 +380,7 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT question_id, vec_id, pos, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, vec_id) AS pos FROM "
+    "SELECT question_id, vec_id, CAST(pos AS INTEGER) AS pos, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, vec_id) AS pos FROM "
     "(SELECT q.vec_id AS question_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5 AND e.vec_id >= 5)) WHERE pos <= 5"
 )
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,16 @@ def test_hash_embedder(spark):
         embed.check_dim(8, e)
 
 
+def test_queries_in_blocks(spark):
+    from millrace.operators.retrieve import vector_scores
+
+    rows = w.table(spark, SF, "embeddings").where("vec_id < 12")
+    vectors = rows.select(F.col("vec_id").alias("key"), "embedding")
+    asked = rows.select(F.col("vec_id").alias("question_id"), "embedding")
+    one, many = (sorted(map(tuple, vector_scores(vectors, asked, b).collect())) for b in (1000, 3))
+    assert one == many and len(one) == 144
+
+
 def test_text(spark):
     assert [text.stem(x) for x in ("running", "ponies", "classes", "hopped", "sing", "bus", "quickly")] == ["run", "poni", "class", "hop", "sing", "bus", "quick"]
     row = spark.range(1).select(
