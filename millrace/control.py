@@ -9,8 +9,9 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import row_json
+from millrace.functions.text import english, row_json
 from millrace.operators import latency, retrieve, usage, verify
+from millrace.operators.documents import PLACES
 from millrace.sources.errors import read_errors
 from millrace.sources.registry import Registry
 from millrace.streaming.replicate import Flush, Gate
@@ -26,6 +27,10 @@ def scope_of(i: Column) -> Column:
     return F.when(i.between(*DEMO_IDS), "demo").when(i >= TRAFFIC_FROM, "traffic").otherwise("readonly")
 
 
+def valid_place(place: str) -> bool:
+    return place in PLACES
+
+
 def key_of(pk: Mapping[str, object]) -> int:
     """The only value of a key, which must be a whole number."""
     if len(pk) != 1:
@@ -158,7 +163,7 @@ class Service:
         spark = self.store.spark
         docs = self.store.read(name).withColumn("key", F.concat_ws(":", "table", "pk_key"))
         asked = spark.createDataFrame([(0, question)], "question_id long, text string")
-        words = retrieve.top(retrieve.keyword_scores(docs, retrieve.question_terms(asked)), docs)
+        words = retrieve.top(retrieve.keyword_scores(docs, retrieve.question_terms(asked, split=english), english), docs)
         query = spark.createDataFrame([(0, embedder.embed([question], True)[0])], "question_id long, embedding array<float>")
         near = retrieve.top(retrieve.vector_scores(docs, query), docs)
         hits = retrieve.contexts(retrieve.hybrid(words, near), docs).join(docs.select("key", "commit_ts"), "key").orderBy("rank").collect()

@@ -1,11 +1,11 @@
 """Text functions: tokens, stems, clipping, templates, place notes."""
 
-from __future__ import annotations
-
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 CLIP = 700
 
@@ -35,6 +35,17 @@ def stem(word: str) -> str:
     return word
 
 
+def english(text: Column) -> Column:
+    """Stems of the meaningful words of an English text."""
+
+    @pandas_udf("array<string>")
+    def stemmed(words: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}
+        return pd.Series([[known.get(x) or known.setdefault(x, stem(x)) for x in row] for row in words], dtype=object)
+
+    return stemmed(meaningful(tokens(text)))
+
+
 def meaningful(words: Column) -> Column:
     """Without stop words."""
     return F.filter(words, lambda x: ~x.isin(*STOP_WORDS))

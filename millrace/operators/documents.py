@@ -34,16 +34,50 @@ def looked_up(rows: DataFrame, dimension: DataFrame, key: str, dim_key: str, nam
     return out.withColumn(alias, F.coalesce("__n", F.concat(F.lit(fallback + " "), text_or_empty(F.col(key))))).drop("__k", "__n")
 
 
-def animal_text(name: Column, species: Column, status: Column, place: Column) -> Column:
-    """A sentence on an animal; underscores of codes become spaces."""
-    plain = lambda c: F.replace(text_or_empty(c), F.lit("_"), F.lit(" "))
-    return F.format_string("%s is a %s with status %s, at %s.", text_or_empty(name), plain(species), plain(status), text_or_empty(place))
+#: The documents' formats, what stands for a row by name, and the note of a demonstration row.
+ANIMAL = "%s is a %s, status %s, animal id %s. Home: %s."
+OBSERVATION = "Observation %s of %s at %s on %s: %s"
+ANIMAL_NAME, HOLE_NAME = "%s (%s, animal %s)", "%s (watering hole %s)"
+RANGER_LOG = "Ranger log: %s the %s seen resting alone at %s, %s."
+#: Tables with documents and the columns that these show.
+EMBEDDED = {
+    "public.animals": ["name", "species", "status", "home_watering_hole_id"],
+    "public.observations": ["animal_id", "watering_hole_id", "observed_at", "notes"],
+}
+#: The places of demonstration rows, and where a note's place stands.
+PLACES = ("the north ridge", "the south bank", "the reed bed", "the shallows", "the acacia line", "the dry channel", "the salt lick", "the far shore")
+PLACE_SUFFIX = r",[^,]*\.\s*$"
 
 
-def observation_text(animal: Column, place: Column, at: Column, notes: Column) -> Column:
+def spaced(code: Column) -> Column:
+    """A code with spaces for underscores."""
+    return F.replace(text_or_empty(code), F.lit("_"), F.lit(" "))
+
+
+def animal_text(name: Column, species: Column, status: Column, animal_id: Column, home: Column) -> Column:
+    return F.format_string(ANIMAL, text_or_empty(name), spaced(species), text_or_empty(status), text_or_empty(animal_id), home)
+
+
+def observation_text(observation_id: Column, animal: Column, place: Column, at: Column, notes: Column) -> Column:
     """A sentence on an observation; without notes it says so."""
     said = F.coalesce(F.nullif(F.trim(text_or_empty(notes)), F.lit("")), F.lit("no notes"))
-    return F.format_string("%s observed at %s on %s: %s", animal, place, text_or_empty(at), said)
+    return F.format_string(OBSERVATION, text_or_empty(observation_id), animal, place, text_or_empty(at), said)
+
+
+def ranger_log(name: Column, species: Column, hole: Column, place: Column) -> Column:
+    return F.format_string(RANGER_LOG, text_or_empty(name), spaced(species), text_or_empty(hole), place)
+
+
+def wildlife(folded: DataFrame, animals: DataFrame, holes: DataFrame) -> DataFrame:
+    """Folded animals and observations, as asked for by ``to_render``, with ``text``."""
+    rows = looked_up(folded, holes, "watering_hole_id", "watering_hole_id", F.format_string(HOLE_NAME, "name", F.col("watering_hole_id").cast("string")), "at_hole", "watering hole")
+    rows = looked_up(rows, holes, "home_watering_hole_id", "watering_hole_id", F.format_string(HOLE_NAME, "name", F.col("watering_hole_id").cast("string")), "home", "watering hole")
+    seen = F.format_string(ANIMAL_NAME, F.col("name"), spaced(F.col("species")), F.col("animal_id").cast("string"))
+    rows = looked_up(rows, animals, "animal_id", "animal_id", seen, "who", "animal")
+    key = lambda c: F.try_element_at("pk", F.lit(c))
+    animal = animal_text(F.col("name"), F.col("species"), F.col("status"), key("animal_id"), F.col("home"))
+    observation = observation_text(key("observation_id"), F.col("who"), F.col("at_hole"), F.col("observed_at"), F.col("notes"))
+    return rows.withColumn("text", F.when(F.col("table") == "public.animals", animal).otherwise(observation)).drop("at_hole", "home", "who")
 
 
 def vector_rows(rendered: DataFrame, embed: Column, applied: Column) -> DataFrame:

@@ -85,20 +85,22 @@ def merge_times(samples: DataFrame, value: str = "duration_ms", order: str = "at
     return out.select("samples", F.coalesce("last_ms", zero).alias("last_ms"), F.coalesce(nearest_rank(F.col("v"), 0.5), zero).alias("p50_ms"), F.coalesce(nearest_rank(F.col("v"), 0.95), zero).alias("p95_ms"), F.coalesce("max_ms", zero).alias("max_ms"))
 
 
-def triage(samples: DataFrame) -> DataFrame:
+def triage(samples: DataFrame, rise: float = 1.2) -> DataFrame:
     """Where the bottleneck is, from two readings of source lag, backlog and merge time.
 
-    Columns: reader_before, reader_now, backlog_before, backlog_now, merge_p95_ms, paused.
+    Columns: reader_before, reader_now, backlog_before, backlog_now, merge_before_ms, merge_now_ms,
+    writer_reachable. A merge time rises if it grows to over ``rise`` times what it was.
     """
     reader = F.col("reader_now") > F.col("reader_before")
     queue = F.col("backlog_now") > F.col("backlog_before")
+    slower = F.coalesce(F.col("merge_now_ms") > rise * F.col("merge_before_ms"), F.lit(False))
     return samples.withColumn(
         "bottleneck",
-        F.when(F.col("paused"), "paused")
-        .when(reader & ~queue, "reader")
-        .when(queue & (F.col("merge_p95_ms") > 1000), "destination")
+        F.when(~F.col("writer_reachable"), "writer unreachable")
+        .when(queue & slower, "destination")
         .when(queue, "writer")
-        .otherwise("healthy"),
+        .when(reader, "reader or source")
+        .otherwise("none"),
     )
 
 

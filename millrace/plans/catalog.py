@@ -318,13 +318,13 @@ def error_log_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.table(spark, sf_dir, "events").where("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", F.col("props").alias("message"))
 
 
-_TRIAGE = [(1, 0, 10, 0, 0, 20.0, False), (2, 0, 10, 5, 50, 20.0, False), (3, 0, 0, 5, 50, 2000.0, False), (4, 9, 9, 9, 9, 1.0, False), (5, 0, 10, 0, 10, 9000.0, True)]
+_TRIAGE = [(1, 0, 10, 0, 0, 20.0, 20.0, True), (2, 0, 0, 5, 50, 20.0, 21.0, True), (3, 0, 0, 5, 50, 20.0, 2000.0, True), (4, 9, 9, 9, 9, 1.0, 1.0, True), (5, 0, 10, 0, 10, None, None, False)]
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS INTEGER), 'reader'), (2, 'writer'), (3, 'destination'), (4, 'healthy'), (5, 'paused')) AS t(n, bottleneck)")
+@query("SELECT * FROM (VALUES (CAST(1 AS INTEGER), 'reader or source'), (2, 'writer'), (3, 'destination'), (4, 'none'), (5, 'writer unreachable')) AS t(n, bottleneck)")
 def bottleneck_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the bottleneck is, from two readings."""
-    df = spark.createDataFrame(_TRIAGE, "n int, reader_before long, reader_now long, backlog_before long, backlog_now long, merge_p95_ms double, paused boolean")
+    df = spark.createDataFrame(_TRIAGE, "n int, reader_before long, reader_now long, backlog_before long, backlog_now long, merge_before_ms double, merge_now_ms double, writer_reachable boolean")
     return usage.triage(df).select("n", "bottleneck")
 
 
@@ -348,7 +348,7 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DOCS = (
-    "docs AS (SELECT o_orderkey, coalesce(c_name, 'customer ' || o_custkey) || ' observed at ' || coalesce(n_name, 'nation ' || coalesce(CAST(c_nationkey AS VARCHAR), '')) || ' on ' || strftime(o_orderdate, '%Y-%m-%d') || ': ' || coalesce(nullif(trim(o_orderpriority), ''), 'no notes') AS text "
+    "docs AS (SELECT o_orderkey, 'Observation ' || o_orderkey || ' of ' || coalesce(c_name, 'customer ' || o_custkey) || ' at ' || coalesce(n_name, 'nation ' || coalesce(CAST(c_nationkey AS VARCHAR), '')) || ' on ' || strftime(o_orderdate, '%Y-%m-%d') || ': ' || coalesce(nullif(trim(o_orderpriority), ''), 'no notes') AS text "
     "FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 0) ON c_nationkey = n_nationkey)"
 )
 
@@ -360,7 +360,7 @@ def render_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = o.join(c.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey", "left")
     o = documents.looked_up(o, c, "o_custkey", "c_custkey", F.col("c_name"), "who", "customer")
     o = documents.looked_up(o, n.where("n_nationkey % 5 <> 0"), "c_nationkey", "n_nationkey", F.col("n_name"), "place", "nation")
-    return o.select("o_orderkey", documents.observation_text(F.col("who"), F.col("place"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderpriority")).alias("text"))
+    return o.select("o_orderkey", documents.observation_text(F.col("o_orderkey"), F.col("who"), F.col("place"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderpriority")).alias("text"))
 
 
 @query("WITH " + FOLD + " SELECT user_id FROM folded WHERE op <> 'd' AND NOT (op = 'u' AND still_unchanged = 'props')")
@@ -443,12 +443,13 @@ def clip_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.table(spark, sf_dir, "documents").select("doc_id", text.clip(F.col("text")).alias("context"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'seen today, north pond.' ELSE 'moved to north pond.' END AS note FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'seen today, the reed bed.' ELSE 'Ranger log: Ada the blue wildebeest seen resting alone at Old Lake, the reed bed.' END AS note FROM orders")
 def place_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A note's closing place replaced, or the note rewritten."""
-    note = F.when(F.col("o_orderkey") % 2 == 0, "seen today, old lake.").otherwise("unclear")
-    place = F.lit("north pond")
-    return w.table(spark, sf_dir, "orders").select("o_orderkey", text.place_note(note, place, r", [a-z ]+\.$", F.format_string("moved to %s.", place)).alias("note"))
+    note = F.when(F.col("o_orderkey") % 2 == 0, "seen today, old lake. ").otherwise("unclear")
+    place = F.lit("the reed bed")
+    otherwise = documents.ranger_log(F.lit("Ada"), F.lit("blue_wildebeest"), F.lit("Old Lake"), place)
+    return w.table(spark, sf_dir, "orders").select("o_orderkey", text.place_note(note, place, documents.PLACE_SUFFIX, otherwise).alias("note"))
 
 
 @query("SELECT id, CASE WHEN id BETWEEN 9000 AND 9099 THEN 'demo' WHEN id >= 3000000000 THEN 'traffic' ELSE 'readonly' END AS scope FROM (SELECT range AS id FROM range(8990, 9110) UNION ALL SELECT range FROM range(2999999990, 3000000010))")

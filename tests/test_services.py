@@ -96,7 +96,7 @@ def test_documents_and_questions(spark, tmp_path, tables):
     with pytest.raises(LookupError, match="not ready"):
         service.ask("which click", "live", writer.VECTORS, hashed)
     writer.start(log.stream_log(spark, path), str(tmp_path / "cp")).awaitTermination()
-    said = service.ask("click", "live", writer.VECTORS, hashed)
+    said = service.ask("the clicks", "live", writer.VECTORS, hashed)
     assert said["answer"] == "Closest record: user did click" and len(said["sources"]) >= 5
     with pytest.raises(LookupError, match="no snapshot"):
         service.ask("click", "batch", writer.VECTORS, hashed)
@@ -137,15 +137,30 @@ def test_queries_in_blocks(spark):
 def test_text(spark):
     assert [text.stem(x) for x in ("running", "ponies", "classes", "hopped", "sing", "bus", "quickly")] == ["run", "poni", "class", "hop", "sing", "bus", "quick"]
     row = spark.range(1).select(
-        documents.animal_text(F.lit("Ada"), F.lit("african_elephant"), F.lit("collared"), F.lit("watering hole 7")).alias("a"),
-        documents.observation_text(F.lit("Ada"), F.lit("Old Pond"), F.lit("2024"), F.lit("  ")).alias("o"),
+        documents.observation_text(F.lit(5), F.lit("Ada"), F.lit("Old Pond"), F.lit("2024"), F.lit("  ")).alias("o"),
         text.clip(F.lit("x" * 701)).alias("c"), text.meaningful(text.tokens(F.lit("The Big-Élan and 2 cats"))).alias("t"),
         skipped(F.lit("u"), F.array(F.lit("notes")), ["notes"]).alias("s1"), skipped(F.lit("c"), F.array(F.lit("notes")), ["notes"]).alias("s2"), skipped(F.lit("u"), F.array(F.lit("x")), ["notes"]).alias("s3"),
     ).first()
-    assert row.a == "Ada is a african elephant with status collared, at watering hole 7." and row.o == "Ada observed at Old Pond on 2024: no notes"
+    assert row.o == "Observation 5 of Ada at Old Pond on 2024: no notes"
     assert len(row.c) == 703 and row.t == ["big", "élan", "2", "cats"] and (row.s1, row.s2, row.s3) == (True, False, False)
 
 
+def test_wildlife_documents(spark):
+    animals = spark.createDataFrame([(42, "Mosi", "blue_wildebeest")], "animal_id int, name string, species string")
+    holes = spark.createDataFrame([(7, "Reed Lagoon")], "watering_hole_id int, name string")
+    row = dict.fromkeys(("name", "species", "status", "home_watering_hole_id", "animal_id", "watering_hole_id", "observed_at", "notes"))
+    rows = [
+        ("public.animals", {"animal_id": "42"}, row | {"name": "Mosi", "species": "blue_wildebeest", "status": "adult", "home_watering_hole_id": "7"}),
+        ("public.observations", {"observation_id": "5"}, row | {"animal_id": "42", "watering_hole_id": "8", "observed_at": "2024-01-01", "notes": " calm "}),
+    ]
+    df = spark.createDataFrame([(t, pk, *v.values()) for t, pk, v in rows], "table string, pk map<string,string>, " + ", ".join(f"{c} string" for c in row))
+    assert sorted(r.text for r in documents.wildlife(df, animals, holes).collect()) == [
+        "Mosi is a blue wildebeest, status adult, animal id 42. Home: Reed Lagoon (watering hole 7).",
+        "Observation 5 of Mosi (blue wildebeest, animal 42) at watering hole 8 on 2024-01-01: calm",
+    ]
+    assert control.valid_place("the reed bed") and not control.valid_place("the moon")
+
+
 def test_windows_and_pages():
     now = datetime(2024, 1, 1, 12, tzinfo=UTC)
     assert usage.parse_window(now=now) == (datetime(2024, 1, 1, 11, tzinfo=UTC), now)
