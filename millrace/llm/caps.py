@@ -5,8 +5,8 @@ cut in two halves, each half has a code of ``codes`` random directions, and a fi
 of code words. A vector belongs to every filter whose inner product with it exceeds
 ``threshold`` (list decoding: the halves' products are sorted and only pairs that can reach
 the threshold are looked at). Vectors that share a filter are compared exactly, in double
-precision. With 2 x 128 code words and a threshold of 0.385 a pair at cosine 0.9 misses every
-common filter with a chance below one in a hundred; pairs below 0.9 are never linked.
+precision. With 2 x 128 code words and a threshold of 0.355 a pair at cosine 0.9 misses every
+common filter with a chance of about one in a thousand; pairs below 0.9 are never linked.
 
 Equal vectors are compared once, with their number as weight.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .common import components, quoted, stage
 
-COSINE, CODES, THRESHOLD, SEED = 0.9, 128, 0.385, 5
+COSINE, CODES, THRESHOLD, SEED = 0.9, 128, 0.355, 5
 #: Members of a filter that meet in one task at a time.
 TILE = 512
 
