@@ -1,29 +1,37 @@
-"""Embedding near-duplicates by spherical-cap filters.
+"""Embedding near-duplicates: all pairs in blocks, or by spherical-cap filters.
 
-Filters are the unit directions of a random product code: after a random rotation a vector is
-cut in two halves, each half has a code of ``codes`` random directions, and a filter is a pair
-of code words. A vector belongs to every filter whose inner product with it exceeds
-``threshold`` (list decoding: the halves' products are sorted and only pairs that can reach
-the threshold are looked at). Vectors that share a filter are compared exactly, in double
-precision. With 2 x 128 code words and a threshold of 0.355 a pair at cosine 0.9 misses every
-common filter with a chance of about one in a thousand; pairs below 0.9 are never linked.
+By default every vector meets every other of its length: vectors are dealt to blocks of about
+``tile`` by a hash, each pair of blocks is one group, and what a single-precision product can't rule
+out is decided in double precision. No pair at ``cosine`` or above is missed, whatever the vectors;
+the work grows with the square of the number of different vectors.
+
+With a ``threshold`` only vectors that share a filter meet, which misses pairs. Filters are the
+unit directions of a random product code: after a random rotation a vector is cut in two halves,
+each half has a code of ``codes`` random directions, and a filter is a pair of code words. A vector
+belongs to every filter whose inner product with it exceeds ``threshold`` (list decoding: the
+halves' products are sorted and only pairs that can reach the threshold are looked at). A vector that
+exceeds none takes its best filter. In 64 dimensions with 2 x 128 code words a pair at cosine 0.9 misses
+every common filter with a chance of 7 % at a threshold of 0.355.
 
 Equal vectors are compared once, with their number as weight.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import components, quoted, stage
 
-COSINE, CODES, THRESHOLD, SEED = 0.9, 128, 0.355, 5
-#: Members of a filter that meet in one task at a time.
-TILE = 512
+COSINE, CODES, SEED = 0.9, 128, 5
+#: Vectors in a block; of one block so many rows are compared with the other at a time.
+TILE, ROWS = 4096, 256
 
 
 class Filters:
@@ -39,7 +47,7 @@ class Filters:
             self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) * np.sqrt(0.5))
 
     def of(self, unit: np.ndarray, threshold: float) -> list[np.ndarray]:
-        """For each row of unit vectors the numbers of the filters that it exceeds."""
+        """For each row of unit vectors the numbers of the filters that it exceeds, or of its best one."""
         x = unit @ self.turn
         first = x[:, : self.cut] @ self.codes[0].T
         second = x[:, self.cut :] @ self.codes[1].T if x.shape[1] > self.cut else np.zeros((len(x), 1))
@@ -48,7 +56,7 @@ class Filters:
             i = np.flatnonzero(a + b.max() >= threshold)
             j = np.flatnonzero(b + a.max() >= threshold)
             p, q = np.nonzero(a[i, None] + b[j] >= threshold)
-            out.append(i[p] * len(b) + j[q])
+            out.append(i[p] * len(b) + j[q] if len(p) else np.array([a.argmax() * len(b) + b.argmax()]))
         return out
 
 
@@ -65,13 +73,16 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
-def cap_links(vectors: DataFrame, cosine: float = COSINE, codes: int = CODES, threshold: float = THRESHOLD, seed: int = SEED, tile: int = TILE) -> DataFrame:
+def cap_links(vectors: DataFrame, cosine: float = COSINE, codes: int = CODES, threshold: float | None = None, seed: int = SEED, tile: int = TILE) -> DataFrame:
     """Pairs (a, b), a < b, of ``key`` whose ``v`` have a cosine of ``cosine`` or more, once each.
 
-    ``vectors`` has one row a ``key`` (long). A filter's members are dealt to tiles of about ``tile``
+    ``vectors`` has one row a ``key`` (long); ``v`` is an array of floats or doubles. Without a ``threshold`` all
+    vectors of a length are one filter's members. A filter's members are dealt to tiles of about ``tile``
     by a hash; a pair of tiles is one group, so no task meets a whole filter.
     """
-    schema = T.StructType([T.StructField("filter", T.LongType()), T.StructField("key", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
+    element = vectors.schema["v"].dataType.elementType
+    schema = T.StructType([T.StructField("filter", T.LongType()), T.StructField("key", T.LongType()), T.StructField("v", T.ArrayType(element))])
+    stored = to_arrow_type(element)
 
     def decode(batches):
         made: dict[int, Filters] = {}
@@ -84,38 +95,47 @@ def cap_links(vectors: DataFrame, cosine: float = COSINE, codes: int = CODES, th
                 filters = made.setdefault(dim, Filters(dim, codes, seed))
                 found = filters.of(_unit(np.array([vs[i] for i in at])), threshold)
                 n = [len(f) for f in found]
-                if not sum(n):
-                    continue
                 keys = np.repeat(np.array(batch.column(0))[at], n)
                 names = np.concatenate(found).astype(np.int64) + (dim << 40)
                 rows = pa.array(np.repeat(at, n))
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(keys, pa.int64()), batch.column(1).take(rows).cast(pa.list_(pa.float64()))], schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(keys, pa.int64()), batch.column(1).take(rows).cast(pa.list_(stored))], schema.names)
 
-    members = stage(vectors.select("key", "v").mapInArrow(decode, schema), "filters")
+    if threshold is None:
+        members = vectors.select(F.size("v").cast("long").alias("filter"), "key", "v")
+    else:
+        members = stage(vectors.select("key", "v").mapInArrow(decode, schema), "filters")
     sizes = members.groupBy("filter").agg(F.count("*").alias("n")).where("n > 1").select("filter", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    dealt = members.join(sizes, "filter").withColumn("tile", F.pmod(F.xxhash64("key"), "tiles").cast("int"))
+    dealt = members.join(F.broadcast(sizes) if threshold is None else sizes, "filter").withColumn("tile", F.pmod(F.xxhash64("key"), "tiles").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     met = dealt.select("*", other.alias("o")).select("filter", F.least("tile", "o").alias("p"), F.greatest("tile", "o").alias("q"), "tile", "key", "v")
     pair = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
-    def compare(table: pa.Table) -> pa.Table:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         keys = table["key"].to_numpy()
-        unit = _unit(table["v"].combine_chunks().flatten().to_numpy().reshape(len(keys), -1))
+        unit = _unit(table["v"].combine_chunks().flatten().to_numpy().astype(float).reshape(len(keys), -1))
         p, q = table["p"][0].as_py(), table["q"][0].as_py()
         tiles = table["tile"].to_numpy()
         left, right = np.flatnonzero(tiles == p), np.flatnonzero(tiles == q)
-        i, j = np.nonzero(unit[left] @ unit[right].T >= cosine - 1e-9)
-        a, b = left[i], right[j]
-        exact = (unit[a] * unit[b]).sum(1) >= cosine
-        a, b = keys[a[exact]], keys[b[exact]]
-        keep = a < b if p == q else slice(None)
-        a, b = a[keep], b[keep]
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    return met.groupBy("filter", "p", "q").applyInArrow(compare, pair).distinct()
-
-
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, **filters) -> DataFrame:
+        rough = unit.astype(np.float32)
+        # far above the error of a single-precision product of unit vectors
+        least = cosine - 4e-7 * (unit.shape[1] + 4)
+        others = np.ascontiguousarray(rough[right].T)
+        for at in range(0, len(left), ROWS):
+            some = left[at : at + ROWS]
+            i, j = np.nonzero(rough[some] @ others >= least)
+            a, b = some[i], right[j]
+            kept = keys[a] < keys[b] if p == q else np.ones(len(a), bool)
+            a, b = a[kept], b[kept]
+            exact = np.concatenate([np.einsum("ij,ij->i", unit[a[k : k + 65536]], unit[b[k : k + 65536]]) >= cosine for k in range(0, len(a), 65536)] or [np.zeros(0, bool)])
+            a, b = keys[a[exact]], keys[b[exact]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+    found = met.groupBy("filter", "p", "q").applyInArrow(compare, pair)
+    return found if threshold is None else found.distinct()
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, **options) -> DataFrame:
     """One row a vector: the id, ``n_links``, ``component_id``, ``kept``.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
@@ -125,7 +145,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     plain = vectors.select(F.col(quoted(id_col)).alias("id"), _usable(vector_col).alias("v"))
     all_rows = stage(plain, "vectors")
     groups = stage(all_rows.where("v is not null").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("key", F.monotonically_increasing_id()), "distinct_vectors")
-    links = stage(cap_links(groups.select("key", "v"), cosine, **filters), "links")
+    kind = vectors.schema[vector_col].dataType
+    short = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    links = stage(cap_links(groups.select("key", F.col("v").cast("array<float>") if short else "v"), cosine, **options), "links")
     weight = groups.select("key", "n")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(weight.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("linked"))

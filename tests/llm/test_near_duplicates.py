@@ -139,6 +139,27 @@ def test_all_links_with_every_filter(vectors):
     assert found == {i: (sum(i in p for p in want), root[i]) for i in range(len(rows))}
 
 
+def test_no_pair_is_missed_at_any_cosine(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for cosine in np.repeat([0.905, 0.92, 0.95, 0.98, 0.999], 300):
+        x, y = rng.standard_normal((2, 64))
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        rows += [x.tolist(), (cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y)).tolist()]
+    for kind in ("double", "float"):
+        frame = spark.createDataFrame(list(enumerate(rows)), f"vec_id long, embedding array<{kind}>")
+        found = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(frame, tile=700).collect()}
+        assert found == {i: (1, i - i % 2) for i in range(len(rows))}
+
+
+def test_vectors_without_a_filter_take_their_best():
+    from millrace.llm.caps import Filters
+
+    x = np.random.default_rng(2).standard_normal((50, 64))
+    assert [len(f) for f in Filters(64, 8, 5).of(x / np.linalg.norm(x, axis=1)[:, None], 0.9)] == [1] * 50
+
+
 def test_no_vectors(spark, vectors):
     assert near_vectors(vectors[1].limit(0)).count() == 0
 
