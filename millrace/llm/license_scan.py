@@ -1,12 +1,13 @@
 """License scans: set-similarity join of text blocks with license templates.
 
-The blocks of a text are its lines; a line of over ``BLOCK`` words is cut into blocks of that
-length that overlap by half. A block holds a template when at least ``threshold`` of the
-template's different words are in it (containment). Words are ordered by how many documents
+The blocks of a text are ``BLOCK`` of its words, across line breaks, and overlap by half. A block
+holds a template when at least ``threshold`` of the template's different words are in it (containment)
+within a span of one and a half times the template's words; a span is never longer than half a block,
+so each lies in one block as a whole. Words are ordered by how many documents
 hold them, counted over all documents, rarest first, then by name. A block that holds a
 template meets it in its prefix, the ``|T| - ceil(threshold |T|) + 1`` rarest words; it has at
 least ``ceil(threshold |T|)`` different words; and after a first meeting at place i of the prefix
-no more than ``|T| - i`` words can meet. What passes is verified exactly.
+no more than ``|T| - i`` words can meet. What passes is verified exactly, span by span.
 
 The templates are a fixed list, so their index is small whatever the corpus.
 """
@@ -14,6 +15,7 @@ The templates are a fixed list, so their index is small whatever the corpus.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -42,10 +44,10 @@ TEMPLATES = (
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("proprietary", "All rights reserved. No part may be reproduced without written permission"),
+    ("proprietary", "All rights reserved"),
 )
 
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_LINES = bytes(10 if c == 10 else w for c, w in enumerate(_WORD))
 
 
 def words_of(text: str) -> list[bytes]:
@@ -54,14 +56,9 @@ def words_of(text: str) -> list[bytes]:
 
 
 def blocks_of(text: str, size: int = BLOCK):
-    for line in text.encode().translate(_LINES).split(b"\n"):
-        found = line.split()
-        if len(found) <= size:
-            if found:
-                yield found
-        else:
-            for at in range(0, len(found) - size // 2, size // 2):
-                yield found[at : at + size]
+    found = words_of(text)
+    for at in range(0, max(len(found) - size // 2, min(len(found), 1)), size // 2):
+        yield found[at : at + size]
 
 
 def frequencies(docs: DataFrame, vocabulary: Sequence[str], text_col: str = "text") -> dict[str, int]:
@@ -87,7 +84,7 @@ class Index:
     """The templates' prefixes as an inverted index from word to (template, place)."""
 
     def __init__(self, templates, counts: dict[str, int], threshold: float):
-        self.sets, self.need, self.labels = [], [], []
+        self.sets, self.need, self.labels, self.spans = [], [], [], []
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for t, (label, text) in enumerate(templates):
             ordered = sorted({w.decode() for w in words_of(text)}, key=lambda w: (counts.get(w, 0), w))
@@ -95,6 +92,9 @@ class Index:
             self.sets.append(frozenset(w.encode() for w in ordered))
             self.need.append(need)
             self.labels.append(label)
+            self.spans.append(math.ceil(1.5 * len(words_of(text))))
+            if self.spans[-1] > BLOCK // 2:
+                raise ValueError(f"a template may have at most {BLOCK // 3} words")
             for place, w in enumerate(ordered[: len(ordered) - need + 1]):
                 self.prefix.setdefault(w.encode(), []).append((t, place))
         self.words = frozenset(self.prefix)
@@ -108,10 +108,28 @@ class Index:
                 first[t] = min(place, first.get(t, place))
         out = []
         for t, place in first.items():
-            if len(have) >= self.need[t] <= len(self.sets[t]) - place and (n := len(self.sets[t] & have)) >= self.need[t]:
+            if len(have) >= self.need[t] <= len(self.sets[t]) - place and len(self.sets[t] & have) >= self.need[t] and (n := self.within(t, block)) >= self.need[t]:
                 out.append((self.labels[t], n / len(self.sets[t])))
         return out
 
+    def within(self, t: int, block: list[bytes]) -> int:
+        """The most different words of a template in any of its spans of the block."""
+        wanted, span = self.sets[t], self.spans[t]
+        held, most = deque(), 0
+        counts: dict[bytes, int] = {}
+        for at, w in enumerate(block):
+            if w not in wanted:
+                continue
+            held.append((at, w))
+            counts[w] = counts.get(w, 0) + 1
+            while held[0][0] <= at - span:
+                _, gone = held.popleft()
+                counts[gone] -= 1
+                if not counts[gone]:
+                    del counts[gone]
+            most = max(most, len(counts))
+        return most
+
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, keep: Sequence[str] | None = None) -> DataFrame:
     """One row a document with its base phrases and the templates its blocks hold.

@@ -2,6 +2,7 @@
 
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -176,3 +177,25 @@ def test_licenses(spark, odd, corpus, none):
     found = [(r.n_words, r.n_base, -1 if r.first_word is None else r.first_word, -1 if r.last_word is None else r.last_word, r.base_labels, r.labels, r.score) for r in scan(docs).collect()]
     assert sorted(found) == sorted(want) and any(w[4] != w[5] for w in want)
     assert scan(none).count() == 0
+
+
+def plain_spans(text, template):
+    """The largest share of a template's words in any run of one and a half times its length; knows no blocks."""
+    words, want = re.findall(r"[a-z0-9]+", text.lower()), re.findall(r"[a-z0-9]+", template.lower())
+    n = math.ceil(1.5 * len(want))
+    return max((len(set(want) & set(words[i : i + n])) / len(set(want)) for i in range(max(1, len(words) - n + 1))), default=0)
+
+
+def test_licenses_that_are_wrapped_or_far_into_a_text(spark):
+    texts = []
+    for _, t in TEMPLATES:
+        for width in (20, 40, 75):
+            for before in (0, 100, 120, 250, 1000):
+                texts.append("x y\n" * (before // 2) + "\n".join(" * " + line for line in textwrap.wrap(t, width)) + "\nint main()" + " z" * 300)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.labels.split(",") for r in scan(docs).collect()}
+    for i, text in enumerate(texts):
+        own = TEMPLATES[i // 15]
+        assert plain_spans(text, own[1]) == 1 and own[0] in found[i]
+    alone = spark.createDataFrame([(0, "Some text.\nAll rights\nreserved.")], "doc_id long, text string")
+    assert [(r.labels, r.score) for r in scan(alone).collect()] == [("proprietary", 1.0)]
