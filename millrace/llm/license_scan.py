@@ -3,7 +3,9 @@
 The blocks of a text are ``BLOCK`` of its words, across line breaks, and overlap by half. A block
 holds a template when at least ``threshold`` of the template's different words are in it (containment)
 within a span of one and a half times the template's words; a span is never longer than half a block,
-so each lies in one block as a whole. Words are ordered by how many documents
+so each lies in one block as a whole. The words that tell a license from others (``KEYS``) must be in the
+span, and a span ends at words that make it another license (``OTHERS``). Short templates consist of
+words that must all be there. Words are ordered by how many documents
 hold them, counted over all documents, rarest first, then by name. A block that holds a
 template meets it in its prefix, the ``|T| - ceil(threshold |T|) + 1`` rarest words; it has at
 least ``ceil(threshold |T|)`` different words; and after a first meeting at place i of the prefix
@@ -36,17 +38,26 @@ TEMPLATES = (
     ("apache", "Licensed under the Apache License, Version 2.0"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("lgpl", "Lesser General Public License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-nc", "CC BY-NC"),
+    ("cc-by-sa", "CC BY-SA"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("proprietary", "All rights reserved. No part may be reproduced without written permission"),
     ("proprietary", "All rights reserved"),
 )
 
+#: Words of a label's templates that each must stand in the span, where a template has them.
+KEYS = {"mit": ("mit",), "apache": ("apache",), "gpl": ("gnu", "program"), "mpl": ("mozilla",), "cc-by": ("creative", "commons")}
+
+#: Words that make a notice one of another license.
+OTHERS = {
+    "gpl": ("lesser", "library", "affero"),
+    "cc-by": ("sharealike", "noncommercial", "noderivatives", "noderivs"),
+}
+
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -84,7 +95,7 @@ class Index:
     """The templates' prefixes as an inverted index from word to (template, place)."""
 
     def __init__(self, templates, counts: dict[str, int], threshold: float):
-        self.sets, self.need, self.labels, self.spans = [], [], [], []
+        self.sets, self.need, self.labels, self.spans, self.keys, self.others = [], [], [], [], [], []
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for t, (label, text) in enumerate(templates):
             ordered = sorted({w.decode() for w in words_of(text)}, key=lambda w: (counts.get(w, 0), w))
@@ -92,6 +103,8 @@ class Index:
             self.sets.append(frozenset(w.encode() for w in ordered))
             self.need.append(need)
             self.labels.append(label)
+            self.keys.append(self.sets[-1] & {w.encode() for w in KEYS.get(label, ())})
+            self.others.append(frozenset(w.encode() for w in OTHERS.get(label, ())))
             self.spans.append(math.ceil(1.5 * len(words_of(text))))
             if self.spans[-1] > BLOCK // 2:
                 raise ValueError(f"a template may have at most {BLOCK // 3} words")
@@ -108,16 +121,19 @@ class Index:
                 first[t] = min(place, first.get(t, place))
         out = []
         for t, place in first.items():
-            if len(have) >= self.need[t] <= len(self.sets[t]) - place and len(self.sets[t] & have) >= self.need[t] and (n := self.within(t, block)) >= self.need[t]:
+            if len(have) >= self.need[t] <= len(self.sets[t]) - place and self.keys[t] <= have and len(self.sets[t] & have) >= self.need[t] and (n := self.within(t, block)) >= self.need[t]:
                 out.append((self.labels[t], n / len(self.sets[t])))
         return out
 
     def within(self, t: int, block: list[bytes]) -> int:
-        """The most different words of a template in any of its spans of the block."""
-        wanted, span = self.sets[t], self.spans[t]
+        """The most different words of a template in any of its spans of the block that holds all its keys."""
+        wanted, span, keys, others = self.sets[t], self.spans[t], self.keys[t], self.others[t]
         held, most = deque(), 0
         counts: dict[bytes, int] = {}
         for at, w in enumerate(block):
+            if w in others:
+                held.clear()
+                counts.clear()
             if w not in wanted:
                 continue
             held.append((at, w))
@@ -127,13 +143,15 @@ class Index:
                 counts[gone] -= 1
                 if not counts[gone]:
                     del counts[gone]
-            most = max(most, len(counts))
+            if len(counts) > most and keys <= counts.keys():
+                most = len(counts)
         return most
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, keep: Sequence[str] | None = None) -> DataFrame:
     """One row a document with its base phrases and the templates its blocks hold.
 
+    A phrase after a word of ``OTHERS`` of its label counts as base finding, but doesn't put the label among ``labels``.
     ``score`` is the largest containment of a template that a block reaches, 1 where a base phrase stands,
     else 0. Null and empty texts have no words and no labels (empty strings, null places).
     Repeated rows stay repeated; other columns of the input are left out unless in ``keep``.
@@ -141,6 +159,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     vocabulary = sorted({w.decode() for _, t in templates for w in words_of(t)})
     index = Index(templates, frequencies(docs, vocabulary, text_col), threshold)
     sought = [(tuple(w.encode() for w in p.split()), label) for p, label in phrases]
+    others = {label: {w.encode() for w in words} for label, words in OTHERS.items()}
     lasts = {}
     for p, label in sought:
         lasts.setdefault(p[-1], []).append((p, label))
@@ -150,7 +169,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             out = [[] for _ in range(8)]
             for text in texts:
                 found = words_of(text)
-                places, base, n = [], set(), 0
+                places, base, own, n = [], set(), set(), 0
                 for last, options in lasts.items():
                     at = -1
                     for _ in range(found.count(last)):
@@ -160,13 +179,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                             if start >= 0 and tuple(found[start : at + 1]) == p:
                                 places.append(start)
                                 base.add(label)
+                                if not start or found[start - 1] not in others.get(label, ()):
+                                    own.add(label)
                                 n += 1
                 held = {}
                 if not index.words.isdisjoint(found):
                     for block in blocks_of(text):
                         for label, part in index.best(block):
                             held[label] = max(part, held.get(label, 0.0))
-                labels = base | held.keys()
+                labels = own | held.keys()
                 row = (len(found), n, min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if base else max(held.values(), default=0.0), len(held))
                 for column, value in zip(out, row, strict=True):
                     column.append(value)

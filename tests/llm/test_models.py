@@ -199,3 +199,20 @@ def test_licenses_that_are_wrapped_or_far_into_a_text(spark):
         assert plain_spans(text, own[1]) == 1 and own[0] in found[i]
     alone = spark.createDataFrame([(0, "Some text.\nAll rights\nreserved.")], "doc_id long, text string")
     assert [(r.labels, r.score) for r in scan(alone).collect()] == [("proprietary", 1.0)]
+
+
+def test_licenses_get_their_own_label_only(spark):
+    texts = [(t, label) for label, t in TEMPLATES] + [
+        ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+        ("Licensed under CC BY-SA 4.0.", "cc-by-sa"),
+        ("Released under the Apache License", "apache"),
+        ("Licensed under the GNU General Public License, version 2.0", "gpl"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ""),
+        ("rights " + "z " * 40 + "all " + "z " * 40 + "reserved", ""),
+        ("cc " + "z " * 9 + "by " + "z " * 9 + "nc", ""),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "lgpl"),
+        (TEMPLATES[6][1] + ".\n" + TEMPLATES[4][1], "gpl,lgpl"),
+    ]
+    for wrapped in (False, True):
+        docs = spark.createDataFrame([(i, "\n".join(textwrap.wrap(t, 30)) if wrapped else t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+        assert {r.doc_id: r.labels for r in scan(docs).collect()} == {i: label for i, (_, label) in enumerate(texts)}
