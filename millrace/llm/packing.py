@@ -1,9 +1,9 @@
 """Lexical retrieval packing: windows filled with a seed document and its BM25 neighbours.
 
 Documents become token ids with an end id. They are dealt to shards of about ``shard_tokens``
-tokens; each shard has its own BM25 inverted index over token ids, with document frequencies and the mean length
+tokens; each shard has its own BM25 index over token ids, with document frequencies and the mean length
 counted over all documents. A window starts with a seed (what the last window cut off, or the
-next unused document); the shard's unused neighbours of the seed, best score first, fill it, and the last is cut at its
+next unused document); the shard's unused neighbours of the seed, scored by all of its terms, best first, fill it, and the last is cut at its
 end. So all windows of a shard are full but its last tokens, which are cut into powers of two.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .bpe import tokenizer
 from .common import per_document, quoted, stage
 
-WINDOW, SHARD_TOKENS, QUERY_TERMS, K1, B = 1024, 1_000_000, 24, 1.2, 0.75
+WINDOW, SHARD_TOKENS, K1, B = 1024, 1_000_000, 1.2, 0.75
 
 
 def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,33 +49,34 @@ def document_frequencies(tokens: DataFrame, size: int, width: str) -> np.ndarray
 
 
 class Shard:
-    """A BM25 inverted index over the documents of one shard."""
+    """BM25 weights of one shard's documents, a document's terms side by side; used documents are dropped in time."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.terms, term, doc, weight = [], [], [], []
-        for d, ids in enumerate(docs):
+        self.terms, weight = [], []
+        for ids in docs:
             t, tf = _terms(ids[:-1])
             t = t.astype(np.int64)
             self.terms.append(t)
-            term.append(t)
-            doc.append(np.full(len(t), d, np.int32))
             weight.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (len(ids) - 1) / max(mean, 1.0))))
-        term, doc, weight = (np.concatenate(x) for x in (term, doc, weight))
-        by = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[by], weight[by]
-        self.edges = np.searchsorted(term[by], np.arange(len(idf) + 1))
-        self.n, self.idf = len(docs), idf
-
-    def scores(self, seed: int) -> np.ndarray:
-        """BM25 of all documents for the seed's most telling terms that others share."""
-        t = self.terms[seed]
-        t = t[self.edges[t + 1] - self.edges[t] > 1]
-        if len(t) > QUERY_TERMS:
-            t = t[np.argsort(-self.idf[t], kind="stable")[:QUERY_TERMS]]
+        size = np.array([len(t) for t in self.terms])
+        self.held = np.flatnonzero(size)
+        self.size = size[self.held]
+        self.term, self.weight = np.concatenate(self.terms), np.concatenate(weight)
+        self.asked = np.zeros(len(idf), bool)
+        self.n = len(docs)
+
+    def scores(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """BM25 of the unused documents for all terms of the seed."""
+        left = unused[self.held]
+        if 4 * np.count_nonzero(left) <= 3 * len(left):
+            kept = np.repeat(left, self.size)
+            self.term, self.weight, self.held, self.size = self.term[kept], self.weight[kept], self.held[left], self.size[left]
         out = np.zeros(self.n)
-        for a, b in zip(self.edges[t], self.edges[t + 1], strict=True):
-            out[self.doc[a:b]] += self.weight[a:b]
-        return out
+        if len(self.held):
+            self.asked[self.terms[seed]] = True
+            out[self.held] = np.add.reduceat(self.weight * self.asked[self.term], np.cumsum(self.size) - self.size)
+            self.asked[self.terms[seed]] = False
+        return np.where(unused, out, 0.0)
 
 
 def packed(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -111,7 +112,7 @@ def packed(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = W
             start = put(seed, start)
         if not filled:
             continue
-        score = np.where(unused, index.scores(seed), 0.0)
+        score = index.scores(seed, unused)
         while filled and not carried:
             best = int(score.argmax())
             if score[best] <= 0:

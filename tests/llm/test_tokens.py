@@ -116,5 +116,26 @@ def test_neighbours_share_a_window():
     assert sum(len(set(x)) for x in together.values()) <= 12
 
 
+def test_neighbours_by_terms_that_are_not_the_rarest():
+    used, rare, plain = np.resize(np.arange(1, 31), 99), np.arange(1, 31), np.arange(100, 130)
+    docs = [used, np.concatenate([rare, plain]), np.arange(200, 260), np.concatenate([plain, np.arange(300, 310)])]
+    idf = np.where(np.arange(1000) < 50, 5.0, 1.0)
+    rows = packed([np.append(d, 0).astype("<u2") for d in docs], idf, 60.0, window=100)
+    assert rows[:3] == [(0, 0, 100, 0, 0), (1, 0, 61, 1, 0), (3, 0, 39, 1, 61)]
+
+
+def test_scores_are_bm25_of_all_terms():
+    from millrace.llm.packing import B, K1, Shard
+
+    rng = np.random.default_rng(4)
+    docs = [np.append(rng.integers(1, 60, rng.integers(0, 90)), 0) for _ in range(40)]
+    idf, unused = rng.random(60), np.ones(40, bool)
+    shard = Shard(docs, idf, 45.0)
+    for seed in rng.permutation(40):
+        unused[seed] = False
+        want = [sum(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (len(d) - 1) / 45)) for t in set(docs[seed][:-1].tolist()) if (tf := int((d[:-1] == t).sum()))) * unused[i] for i, d in enumerate(docs)]
+        assert np.allclose(shard.scores(seed, unused), want)
+
+
 def test_empty_tables(none):
     assert token_counts(none, JSON, P.PATTERN).count() == encode_and_decode(none, MODEL).count() == pack(none, JSON, P.PATTERN).count() == 0
