@@ -1,17 +1,19 @@
-"""Embedding near-duplicates: all pairs in blocks, or by spherical-cap filters.
+"""Embedding near-duplicates by spherical-cap filters.
 
-By default every vector meets every other of its length: vectors are dealt to blocks of about
-``tile`` by a hash, each pair of blocks is one group, and what a single-precision product can't rule
-out is decided in double precision. No pair at ``cosine`` or above is missed, whatever the vectors;
-the work grows with the square of the number of different vectors.
+Filters are the unit directions of ``CODES`` random product codes. For each, space is cut into two
+random orthogonal halves with ``WORDS`` random directions each; a filter is a pair of words, one a half.
+A vector belongs to all filters whose inner product with it reaches a threshold (list decoding: only
+codes and words that can reach it are looked at); one that reaches none takes its best. Vectors that share
+a filter are compared, exactly.
 
-With a ``threshold`` only vectors that share a filter meet, which misses pairs. Filters are the
-unit directions of a random product code: after a random rotation a vector is cut in two halves,
-each half has a code of ``codes`` random directions, and a filter is a pair of code words. A vector
-belongs to every filter whose inner product with it exceeds ``threshold`` (list decoding: the
-halves' products are sorted and only pairs that can reach the threshold are looked at). A vector that
-exceeds none takes its best filter. In 64 dimensions with 2 x 128 code words a pair at cosine 0.9 misses
-every common filter with a chance of 7 % at a threshold of 0.355.
+The threshold follows from the number of dimensions and the wanted cosine: of ``PAIRS`` seeded random
+pairs at just that cosine it leaves the share ``MISS`` without a common filter. So a pair at the
+limit is missed with about that chance, in any number of dimensions, and a closer one less often.
+
+A pair shares several filters and counts in the first of them, which each vector's list of filters tells. No
+pair leaves its group: a group gives each vector's number of links and, for the components, the
+least vector that it reaches there, so what is sent on grows with the vectors, not with the pairs. A filter
+with many vectors is dealt to tiles, and each pair of tiles is a group of its own.
 
 Equal vectors are compared once, with their number as weight.
 """
@@ -29,39 +31,69 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import components, quoted, stage
 
-COSINE, CODES, SEED = 0.9, 128, 5
-#: Vectors in a block; of one block so many rows are compared with the other at a time.
-TILE, ROWS = 4096, 256
+COSINE, MISS, CODES, WORDS, SEED = 0.9, 0.003, 64, 16, 5
+#: Pairs that the threshold is measured on.
+PAIRS = 4000
+#: Vectors in a tile; of one tile so many rows are compared with the other at a time.
+TILE, ROWS = 4096, 512
 
 
 class Filters:
-    """The product code for one dimension."""
+    """The product codes for one number of dimensions."""
 
-    def __init__(self, dim: int, codes: int, seed: int):
+    def __init__(self, dim: int, cosine: float = COSINE, miss: float = MISS, codes: int = CODES, words: int = WORDS, seed: int = SEED):
         rng = np.random.default_rng([seed, dim])
-        self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        self.cut = (dim + 1) // 2
-        self.codes = []
-        for width in (self.cut, dim - self.cut):
-            c = rng.standard_normal((codes, max(1, width)))
-            self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) * np.sqrt(0.5))
-
-    def of(self, unit: np.ndarray, threshold: float) -> list[np.ndarray]:
-        """For each row of unit vectors the numbers of the filters that it exceeds, or of its best one."""
-        x = unit @ self.turn
-        first = x[:, : self.cut] @ self.codes[0].T
-        second = x[:, self.cut :] @ self.codes[1].T if x.shape[1] > self.cut else np.zeros((len(x), 1))
-        out = []
-        for a, b in zip(first, second, strict=True):
-            i = np.flatnonzero(a + b.max() >= threshold)
-            j = np.flatnonzero(b + a.max() >= threshold)
-            p, q = np.nonzero(a[i, None] + b[j] >= threshold)
-            out.append(i[p] * len(b) + j[q] if len(p) else np.array([a.argmax() * len(b) + b.argmax()]))
+        self.codes, self.words, cut = codes, words, (dim + 1) // 2
+        turn, halves = np.linalg.qr(rng.standard_normal((dim, dim)))[0], []
+        for _ in range(codes):
+            axes = rng.permutation(dim)
+            for part in (turn[:, axes[:cut]], turn[:, axes[cut:]]):
+                w = rng.standard_normal((part.shape[1], words))
+                halves.append(part @ (w / np.linalg.norm(w, axis=0, keepdims=True)) * np.sqrt(0.5) if len(w) else np.zeros((dim, words)))
+        #: All words side by side: code, half, word.
+        self.table = np.concatenate(halves, axis=1).astype(np.float32)
+        self.threshold = self._measured(dim, cosine, miss, rng)
+
+    def _measured(self, dim: int, cosine: float, miss: float, rng) -> float:
+        u, w = rng.standard_normal((2, PAIRS, dim))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        w -= (w * u).sum(1, keepdims=True) * u
+        w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300)
+        best = np.full(PAIRS, -2.0, np.float32)
+        ours, theirs = self._products(u), self._products(cosine * u + np.sqrt(max(0.0, 1 - cosine * cosine)) * w)
+        for c in range(self.codes):
+            for i in range(self.words):
+                met = np.minimum(ours[:, c, 0, i, None] + ours[:, c, 1], theirs[:, c, 0, i, None] + theirs[:, c, 1])
+                np.maximum(best, met.max(1), out=best)
+        return float(np.quantile(best, miss))
+
+    def _products(self, unit: np.ndarray) -> np.ndarray:
+        return (unit.astype(np.float32) @ self.table).reshape(len(unit), self.codes, 2, self.words)
+
+    def of(self, unit: np.ndarray) -> list[np.ndarray]:
+        """For each row of unit vectors the numbers, ascending, of the filters that it reaches, or of its best one."""
+        got = self._products(unit)
+        most = got.max(3)
+        rows, numbers = [], []
+        for c in range(self.codes):
+            able = np.flatnonzero(most[:, c].sum(1) >= self.threshold)
+            first, second = got[able, c, 0], got[able, c, 1]
+            # words of the first half that the best of the second can lift over the threshold
+            r, i = np.nonzero(first + most[able, c, 1, None] >= self.threshold)
+            k, j = np.nonzero(first[r, i, None] + second[r] >= self.threshold)
+            rows.append(able[r[k]])
+            numbers.append((c * self.words + i[k]) * self.words + j)
+        row, number = np.concatenate(rows), np.concatenate(numbers)
+        by = np.argsort(row, kind="stable")
+        out = np.split(number[by], np.searchsorted(row[by], np.arange(1, len(unit))))
+        for at in np.flatnonzero([not len(x) for x in out]):
+            c = int(most[at].sum(1).argmax())
+            out[at] = np.array([(c * self.words + got[at, c, 0].argmax()) * self.words + got[at, c, 1].argmax()])
         return out
 
 
 def _usable(vector: str):
-    """The norm of a vector, null where it can't link: null, empty, zero, or with a component that isn't finite."""
+    """A vector as doubles, null where it can't link: null, empty, zero, or with a component that isn't finite."""
     v = F.col(quoted(vector)).cast("array<double>")
     big = F.array_max(F.transform(v, F.abs))
     fine = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (big > 0)
@@ -73,66 +105,140 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
-def cap_links(vectors: DataFrame, cosine: float = COSINE, codes: int = CODES, threshold: float | None = None, seed: int = SEED, tile: int = TILE) -> DataFrame:
-    """Pairs (a, b), a < b, of ``key`` whose ``v`` have a cosine of ``cosine`` or more, once each.
+def _earlier(lists: list[np.ndarray], number: int) -> np.ndarray:
+    """For each member a bit for each filter before ``number`` that several members share, common ones first."""
+    held = [x[x < number] for x in lists]
+    flat = np.concatenate(held)
+    names, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.full(len(names), -1)
+    shared = np.argsort(-count, kind="stable")[: int((count > 1).sum())]
+    place[shared] = np.arange(len(shared))
+    row, bit = np.repeat(np.arange(len(held)), [len(x) for x in held]), place[at]
+    row, bit = row[bit >= 0], bit[bit >= 0]
+    out = np.zeros((len(held), -(-len(shared) // 64)), np.uint64)
+    np.bitwise_or.at(out, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Let all members that the pairs connect have the least label among them."""
+    while len(a):
+        x, y = label[a], label[b]
+        a, b, x, y = (z[x != y] for z in (a, b, x, y))
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(deeper := label[label], label):
+            label[:] = deeper
+
+
+def _compared(keys, weight, unit, lists, tiles, number: int, p: int, q: int, cosine: float):
+    """(key, least key reached, weight linked) of the members that have links whose first common filter is ``number``."""
+    by = np.argsort(keys, kind="stable")
+    keys, weight, unit, tiles, lists = keys[by], weight[by], unit[by], tiles[by], [lists[i] for i in by]
+    left, right = np.flatnonzero(tiles == p), np.flatnonzero(tiles == q)
+    before = _earlier(lists, number)
+    rough = unit.astype(np.float32)
+    # far above the error of a single-precision product of unit vectors
+    error = 4e-7 * (unit.shape[1] + 4)
+    others = np.ascontiguousarray(rough[right].T)
+    label, linked = np.arange(len(keys)), np.zeros(len(keys), np.int64)
+    for at in range(0, len(left), ROWS):
+        some = left[at : at + ROWS]
+        near = rough[some] @ others
+        i, j = np.nonzero(near >= cosine - error)
+        a, b, near = some[i], right[j], near[i, j]
+        once = (a < b) if p == q else np.ones(len(a), bool)
+        a, b, near = a[once], b[once], near[once]
+        for w in range(before.shape[1]):
+            first = (before[a, w] & before[b, w]) == 0
+            a, b, near = a[first], b[first], near[first]
+        doubtful = np.flatnonzero(near < cosine + error)
+        fine = np.ones(len(a), bool)
+        fine[doubtful] = np.einsum("ij,ij->i", unit[a[doubtful]], unit[b[doubtful]]) >= cosine
+        a, b = a[fine], b[fine]
+        np.add.at(linked, a, weight[b])
+        np.add.at(linked, b, weight[a])
+        _joined(label, a, b)
+    held = np.flatnonzero(linked)
+    return keys[held], keys[label[held]], linked[held]
+
 
-    ``vectors`` has one row a ``key`` (long); ``v`` is an array of floats or doubles. Without a ``threshold`` all
-    vectors of a length are one filter's members. A filter's members are dealt to tiles of about ``tile``
-    by a hash; a pair of tiles is one group, so no task meets a whole filter.
+LINKED = "key long, least long, linked long"
+
+
+def cap_links(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS, codes: int = CODES, words: int = WORDS, seed: int = SEED, tile: int = TILE) -> DataFrame:
+    """Links between the vectors ``v`` of ``key`` (long, one row each) with weight ``n``, at ``cosine`` or above.
+
+    Rows (key, least, linked): in some group the vector ``key`` has links to other vectors of weight
+    ``linked`` and reaches the vector ``least``. Each link found counts once on either side.
     """
     element = vectors.schema["v"].dataType.elementType
-    schema = T.StructType([T.StructField("filter", T.LongType()), T.StructField("key", T.LongType()), T.StructField("v", T.ArrayType(element))])
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("v", T.ArrayType(element)), T.StructField("dim", T.IntegerType()), T.StructField("filters", T.ArrayType(T.IntegerType()))])
     stored = to_arrow_type(element)
+    number = "short" if codes * words * words < 1 << 15 else "int"
 
     def decode(batches):
         made: dict[int, Filters] = {}
-        for batch in batches:
-            by_dim: dict[int, list[int]] = {}
-            vs = batch.column(1).to_pylist()
-            for i, v in enumerate(vs):
-                by_dim.setdefault(len(v), []).append(i)
-            for dim, at in by_dim.items():
-                filters = made.setdefault(dim, Filters(dim, codes, seed))
-                found = filters.of(_unit(np.array([vs[i] for i in at])), threshold)
-                n = [len(f) for f in found]
-                keys = np.repeat(np.array(batch.column(0))[at], n)
-                names = np.concatenate(found).astype(np.int64) + (dim << 40)
-                rows = pa.array(np.repeat(at, n))
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(keys, pa.int64()), batch.column(1).take(rows).cast(pa.list_(stored))], schema.names)
-
-    if threshold is None:
-        members = vectors.select(F.size("v").cast("long").alias("filter"), "key", "v")
-    else:
-        members = stage(vectors.select("key", "v").mapInArrow(decode, schema), "filters")
-    sizes = members.groupBy("filter").agg(F.count("*").alias("n")).where("n > 1").select("filter", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    dealt = members.join(F.broadcast(sizes) if threshold is None else sizes, "filter").withColumn("tile", F.pmod(F.xxhash64("key"), "tiles").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    met = dealt.select("*", other.alias("o")).select("filter", F.least("tile", "o").alias("p"), F.greatest("tile", "o").alias("q"), "tile", "key", "v")
-    pair = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                vs = batch.column(2).to_pylist()
+                by_dim: dict[int, list[int]] = {}
+                for i, v in enumerate(vs):
+                    by_dim.setdefault(len(v), []).append(i)
+                found: list = [None] * len(vs)
+                for dim, at in by_dim.items():
+                    if dim not in made:
+                        made[dim] = Filters(dim, cosine, miss, codes, words, seed)
+                    for i, x in zip(at, made[dim].of(_unit(np.array([vs[i] for i in at], float))), strict=True):
+                        found[i] = x
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.list_(stored)), pa.array(map(len, vs), pa.int32()), pa.array(found, pa.list_(pa.int32()))], schema.names)
+
+    decoded = stage(vectors.select("key", F.col("n").cast("long").alias("n"), "v").mapInArrow(decode, schema), "filters")
+    member = decoded.select("dim", F.explode("filters").alias("filter"), "key", "n", "v", F.col("filters").cast(f"array<{number}>").alias("filters"))
+    crowded = decoded.select("dim", F.explode("filters").alias("filter")).groupBy("dim", "filter").agg(F.count("*").alias("m")).where(F.col("m") > tile)
+    # filters of more than a tile: no more than a code's filters for each length, of ``tile`` vectors or more each
+    crowded = stage(crowded.select("dim", "filter", F.ceil(F.col("m") / tile).cast("int").alias("tiles")), "crowded_filters")
+    dealt = member.join(crowded, ["dim", "filter"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("key"), "tiles").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    met = dealt.select("dim", "filter", F.least("tile", "o").alias("p"), F.greatest("tile", "o").alias("q"), "tile", "key", "n", "v", "filters")
+    group = ["dim", "filter", "p", "q"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
-        keys = table["key"].to_numpy()
-        unit = _unit(table["v"].combine_chunks().flatten().to_numpy().astype(float).reshape(len(keys), -1))
-        p, q = table["p"][0].as_py(), table["q"][0].as_py()
-        tiles = table["tile"].to_numpy()
-        left, right = np.flatnonzero(tiles == p), np.flatnonzero(tiles == q)
-        rough = unit.astype(np.float32)
-        # far above the error of a single-precision product of unit vectors
-        least = cosine - 4e-7 * (unit.shape[1] + 4)
-        others = np.ascontiguousarray(rough[right].T)
-        for at in range(0, len(left), ROWS):
-            some = left[at : at + ROWS]
-            i, j = np.nonzero(rough[some] @ others >= least)
-            a, b = some[i], right[j]
-            kept = keys[a] < keys[b] if p == q else np.ones(len(a), bool)
-            a, b = a[kept], b[kept]
-            exact = np.concatenate([np.einsum("ij,ij->i", unit[a[k : k + 65536]], unit[b[k : k + 65536]]) >= cosine for k in range(0, len(a), 65536)] or [np.zeros(0, bool)])
-            a, b = keys[a[exact]], keys[b[exact]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
-
-    found = met.groupBy("filter", "p", "q").applyInArrow(compare, pair)
-    return found if threshold is None else found.distinct()
+        """Groups lie together in the sorted rows; no more than one is held."""
+        held: list[pa.RecordBatch] = []
+        name = None
+
+        def done():
+            t = pa.Table.from_batches(held)
+            if t.num_rows < 2:
+                return None
+            unit = _unit(t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1))
+            flat = t["filters"].combine_chunks()
+            ends = np.cumsum(np.diff(flat.offsets.to_numpy()))
+            lists = np.split(flat.flatten().to_numpy().astype(np.int64), ends[:-1])
+            _, number, p, q = name
+            return _compared(t["key"].to_numpy(), t["n"].to_numpy(), unit, lists, t["tile"].to_numpy(), number, p, q, cosine)
+
+        out: list[tuple] = []
+        for batch in batches:
+            ids = np.stack([batch.column(i).to_numpy() for i in range(4)])
+            edges = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                at = tuple(ids[:, a].tolist())
+                if at != name:
+                    if held and (found := done()):
+                        out.append(found)
+                    held, name = [], at
+                held.append(batch.slice(a, b - a))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], ["key", "least", "linked"])
+                out = []
+        if held and (found := done()):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["key", "least", "linked"])
+
+    return met.repartition(*group).sortWithinPartitions(*group).mapInArrow(compare, LINKED)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, **options) -> DataFrame:
@@ -140,20 +246,19 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
     vectors of different lengths. Repeated rows and equal vectors count as other vectors linked directly. The
-    component is the smallest id reachable; a null id is its own component and never kept.
+    component is the smallest id reachable; a null id is its own component and never kept. Other columns are left out.
     """
     plain = vectors.select(F.col(quoted(id_col)).alias("id"), _usable(vector_col).alias("v"))
     all_rows = stage(plain, "vectors")
     groups = stage(all_rows.where("v is not null").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("key", F.monotonically_increasing_id()), "distinct_vectors")
     kind = vectors.schema[vector_col].dataType
     short = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
-    links = stage(cap_links(groups.select("key", F.col("v").cast("array<float>") if short else "v"), cosine, **options), "links")
-    weight = groups.select("key", "n")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(weight.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("linked"))
-    classes = components(links).withColumnRenamed("node", "key")
+    links = stage(cap_links(groups.select("key", "n", F.col("v").cast("array<float>") if short else "v"), cosine, **options), "links")
+    degree = links.groupBy("key").agg(F.sum("linked").alias("linked"))
+    classes = components(links, "key", "least").withColumnRenamed("node", "key")
     told = groups.join(degree, "key", "left").join(classes, "key", "left").withColumn("class", F.coalesce("component", "key"))
-    least = told.groupBy("class").agg(F.min("least").alias("component_id"))
+    # written, so that the join on the class can be split where one class is large
+    least = stage(told.groupBy("class").agg(F.min("least").alias("component_id")), "classes")
     by_vector = told.join(least, "class").select("v", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     found = all_rows.join(by_vector, "v", "left")
     component = F.coalesce("component_id", "id")

@@ -134,30 +134,61 @@ def test_vectors_against_all_pairs(vectors, tile):
 def test_all_links_with_every_filter(vectors):
     rows, frame = vectors
     want = plain_links(rows)
-    found = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(frame, threshold=-1.0, codes=4).collect()}
     root = plain_components(len(rows), want)
-    assert found == {i: (sum(i in p for p in want), root[i]) for i in range(len(rows))}
+    for tile in (512, 6):
+        found = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(frame, miss=0.0, codes=24, words=8, tile=tile).collect()}
+        assert found == {i: (sum(i in p for p in want), root[i]) for i in range(len(rows))}
 
 
-def test_no_pair_is_missed_at_any_cosine(spark):
-    rng = np.random.default_rng(11)
-    rows = []
-    for cosine in np.repeat([0.905, 0.92, 0.95, 0.98, 0.999], 300):
-        x, y = rng.standard_normal((2, 64))
-        x /= np.linalg.norm(x)
-        y -= (y @ x) * x
-        rows += [x.tolist(), (cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y)).tolist()]
-    for kind in ("double", "float"):
-        frame = spark.createDataFrame(list(enumerate(rows)), f"vec_id long, embedding array<{kind}>")
-        found = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(frame, tile=700).collect()}
-        assert found == {i: (1, i - i % 2) for i in range(len(rows))}
+def pairs_at(cosines, dim, rng):
+    x, y = rng.standard_normal((2, len(cosines), dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return x, cosines[:, None] * x + np.sqrt(1 - cosines[:, None] ** 2) * y
+
+
+@pytest.mark.parametrize("dim", [3, 16, 64, 96, 128, 384, 768])
+def test_pairs_share_a_filter_in_any_number_of_dimensions(dim):
+    from millrace.llm.caps import MISS, Filters
+
+    filters = Filters(dim)
+    for cosine, missed in ((0.9001, 0.01), (0.92, 0.01), (0.95, 0.005), (0.99, 0.002)):
+        x, y = pairs_at(np.full(2000, cosine), dim, np.random.default_rng(int(1000 * cosine) + dim))
+        a, b = filters.of(x), filters.of(y)
+        assert all(map(len, a)) and MISS < 0.01
+        assert np.mean([np.intersect1d(p, q).size == 0 for p, q in zip(a, b, strict=True)]) <= missed
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_pairs_are_found_at_each_cosine(spark, kind):
+    cosines = np.repeat([0.88, 0.899, 0.901, 0.92, 0.95, 0.98, 0.999], 300)
+    x, y = pairs_at(cosines, 64, np.random.default_rng(11))
+    rows = np.stack((x, y), 1).reshape(-1, 64).tolist()
+    frame = spark.createDataFrame(list(enumerate(rows)), f"vec_id long, embedding array<{kind}>")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(frame, tile=700).collect()}
+    hit = np.array([found[2 * i] == (1, 2 * i) and found[2 * i + 1] == (1, 2 * i) for i in range(len(cosines))])
+    assert not hit[cosines < 0.9].any() and hit[cosines > 0.9].mean() > 0.99
 
 
 def test_vectors_without_a_filter_take_their_best():
     from millrace.llm.caps import Filters
 
     x = np.random.default_rng(2).standard_normal((50, 64))
-    assert [len(f) for f in Filters(64, 8, 5).of(x / np.linalg.norm(x, axis=1)[:, None], 0.9)] == [1] * 50
+    filters = Filters(64)
+    filters.threshold = 0.9
+    assert [len(f) for f in filters.of(x / np.linalg.norm(x, axis=1)[:, None])] == [1] * 50
+
+
+def test_links_of_a_large_group_leave_no_pairs(spark):
+    """300 vectors near one another: 44,850 links, yet no more rows than vectors and their filters."""
+    from millrace.llm.caps import cap_links
+
+    rng = np.random.default_rng(8)
+    rows = (rng.standard_normal(64) + 0.05 * rng.standard_normal((300, 64))).tolist()
+    frame = spark.createDataFrame([(i, 1, v) for i, v in enumerate(rows)], "key long, n long, v array<double>")
+    found = cap_links(frame).collect()
+    assert sum(r.linked for r in found) == 300 * 299 and len(found) < 300 * 40
 
 
 def test_no_vectors(spark, vectors):
