@@ -26,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.conf.set("spark.checkpoint.dir", made := "file://" + tempfile.mkdtemp(prefix="millrace-"))
     return made
@@ -81,8 +81,11 @@ def per_document(df: DataFrame, keep: Sequence[str], fields: str, make: Callable
     """
     new = T._parse_datatype_string(fields)
     keep = [c for c in keep if c.lower() not in {f.name.lower() for f in new}]
-    source = with_text(df, keep, text_col)
-    schema = T.StructType([*source.schema.fields[:-1], *new.fields])
+    # a kept text is sent once
+    own = next((i for i, c in enumerate(keep) if c.lower() == text_col.lower() and isinstance(df.schema[c].dataType, T.StringType)), None)
+    source = with_text(df, keep, text_col) if own is None else df.select(*[F.col(quoted(c)) for c in keep])
+    kept = len(keep)
+    schema = T.StructType([*source.schema.fields[:kept], *new.fields])
     types = [to_arrow_type(f.dataType) for f in new]
     names = schema.names
 
@@ -91,12 +94,22 @@ def per_document(df: DataFrame, keep: Sequence[str], fields: str, make: Callable
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                done = work(batch.column(batch.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, t) for x, t in zip(done, types, strict=True))], names)
+                done = work([t or "" for t in batch.column(kept if own is None else own).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *(pa.array(x, t) for x, t in zip(done, types, strict=True))], names)
 
     return source.mapInArrow(run, schema)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns, named ``c0``, ``c1``, ...: names that clash with nothing."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def number_of(df: DataFrame, name: str) -> str:
+    """The name that ``numbered`` gives a column."""
+    return f"c{[c.lower() for c in df.columns].index(name.lower())}"
+
+
 def fold_of(id_col: str, m: int):
     """crc32 of the id as text, modulo ``m``; a null id counts as the empty text (fold 0)."""
     return F.crc32(F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("")).cast("binary")) % m
@@ -118,7 +131,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return graph.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(graph.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = mark
         both = graph.unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join on a hub can be split
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, per_document, quoted, stage
+from .common import components, number_of, numbered, per_document, quoted, stage
 
 SEED, WORDS, LIMIT, GROUPS, CHUNK = 42, 4, 4, 8, 1 << 15
 LOW = 0x5555555555555555
@@ -127,8 +127,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def labelled(base: DataFrame, classes: DataFrame) -> DataFrame:
     """``base`` (id, fp, ...) with ``component_id``, the smallest id of the class of its fingerprint."""
     by_fp = base.groupBy("fp").agg(F.min("id").alias("least"))
-    grouped = by_fp.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("component", "fp"))
-    least = grouped.groupBy("class").agg(F.min("least").alias("component_id"))
+    grouped = stage(by_fp.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("component", "fp")), "grouped")
+    # written, so that the join on the class can be split where one class is large
+    least = stage(grouped.groupBy("class").agg(F.min("least").alias("component_id")), "classes")
     of = grouped.select("fp", "class").join(least, "class").select("fp", "component_id")
     return base.join(of, "fp", "left")
 
@@ -137,16 +138,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The columns and rows of ``docs``, of each group of near-duplicates only one row.
 
     The row kept has the smallest id of the group; of rows that share it, the one with the
-    smallest hash of its text. Rows without an id count after all others.
+    smallest hash of its text. Rows without an id count after all others. Null and empty texts are near-duplicates
+    of one another; columns keep their values whatever their names.
     """
-    columns = docs.columns
-    renamed = docs.toDF(*[f"c{i}" for i in range(len(columns))])
-    id_at, text_at = (f"c{[c.lower() for c in columns].index(x.lower())}" for x in (id_col, text_col))
-    keyed = stage(
-        fingerprints(renamed.select("*", F.monotonically_increasing_id().alias("row"), F.col(text_at).alias("body")), [*renamed.columns, "row"], "body"), "documents"
-    )
+    renamed, id_at, text_at = numbered(docs), number_of(docs, id_col), number_of(docs, text_col)
+    keyed = stage(fingerprints(renamed.withColumn("row", F.monotonically_increasing_id()), [*renamed.columns, "row"], text_at), "documents")
     classes = components(links(keyed.select("fp")))
     rank = F.struct(F.col(id_at).isNull().alias("n"), F.col(id_at).alias("i"), F.xxhash64(text_at).alias("h"), F.col("row").alias("row"))
     ranked = keyed.select("fp", rank.alias("rank")).groupBy("fp").agg(F.min("rank").alias("rank"))
     first = ranked.join(classes.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("rank").alias("rank"))
-    return keyed.join(first.select(F.col("rank.row").alias("row")), "row", "left_semi").select(*renamed.columns).toDF(*columns)
+    return keyed.join(first.select(F.col("rank.row").alias("row")), "row", "left_semi").select(*renamed.columns).toDF(*docs.columns)

@@ -52,6 +52,28 @@ def test_counts_are_the_librarys(odd, corpus, library):
         assert sorted((r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(docs, JSON, P.PATTERN).collect()) == want
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a " + " \n" * 600_000 + "b", "a" * 300_000, "ab" * 200_000 + " " * 1_200_000 + "é", "€" * 100_000, "x 🙂\t" * 100_000])
+def test_long_runs_encode_as_in_the_library(library, text):
+    bpe, want = tokenizer(JSON, P.PATTERN), library.encode(text, add_special_tokens=False).ids
+    assert bpe.count(text) == len(want) and bpe.encode(text).tolist() == want
+
+
+def test_texts_with_odd_characters_encode_as_in_the_library(library):
+    rng, bpe = random.Random(9), tokenizer(JSON, P.PATTERN)
+    odd = ["🙂", "€", "→", "א", "ب", "ไ", "क", "ี", "\u180e", "\u2003", "\u0301", "𝒳", "①", "²", "\u200d", "ǅ", "Ⅷ", "'", "'s", "<|endoftext|>"]
+    for _ in range(4000):
+        s = "".join(rng.choice(odd) if rng.random() < 0.25 else rng.choice(["a", "B", "7", " ", "  ", "\n", ".", "é", " the", "日", "\t"]) for _ in range(rng.randint(0, 40)))
+        want = library.encode(s, add_special_tokens=False).ids
+        assert bpe.encode(s).tolist() == want and bpe.count(s) == len(want), s
+
+
+def test_only_the_odd_parts_go_to_the_library():
+    bpe = tokenizer(JSON, P.PATTERN)
+    text = "one two three four 🙂 five six seven"
+    assert list(bpe.parts(text)) == [(True, "one two three four"), (False, " 🙂 five"), (True, " six seven")]
+    assert list(bpe.parts("plain")) == [(True, "plain")] and list(bpe.parts("🙂")) == [(False, "🙂")] and bpe.encode("").tolist() == []
+
+
 def test_pieces_are_the_librarys(odd, corpus, pieces):
     for docs in (odd, corpus.limit(150)):
         found = encode_and_decode(docs, MODEL, ids=True).collect()
