@@ -1,7 +1,10 @@
 """Lexical retrieval packing: windows filled with a seed document and its BM25 neighbours.
 
 Documents become token ids with an end id. They are dealt to shards of about ``shard_tokens``
-tokens; each shard has its own BM25 index over token ids, with document frequencies and the mean length
+tokens by their strongest term, the one with the largest BM25 weight among those that other documents hold too: the
+terms lie side by side on a line, each as long as its documents have tokens, and shards are equal cuts of it. So documents
+that are about the same thing meet however large the corpus; a term with many documents spans several shards.
+Each shard has its own BM25 index over token ids, with document frequencies and the mean length
 counted over all documents. A window starts with a seed (what the last window cut off, or the
 next unused document); the shard's unused neighbours of the seed, scored by all of its terms, best first, fill it, and the last is cut at its
 end. So all windows of a shard are full but its last tokens, which are cut into powers of two.
@@ -48,35 +51,75 @@ def document_frequencies(tokens: DataFrame, size: int, width: str) -> np.ndarray
     return out
 
 
+def weights(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """A document's different terms, ascending, and their BM25 weights in it; ``ids`` ends with the end id."""
+    t, tf = _terms(ids[:-1])
+    t = t.astype(np.int64)
+    return t, idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (len(ids) - 1) / max(mean, 1.0)))
+
+
+def strongest(ids: np.ndarray, idf: np.ndarray, df: np.ndarray, mean: float) -> int:
+    """The term by which a document is dealt, the smallest of equals; -1 if it shares none with another."""
+    t, w = weights(ids, idf, mean)
+    w = np.where(df[t] > 1, w, 0.0)
+    return int(t[w.argmax()]) if len(w) and w.max() > 0 else -1
+
+
 class Shard:
-    """BM25 weights of one shard's documents, a document's terms side by side; used documents are dropped in time."""
+    """BM25 weights of one shard's documents, by document and by term.
+
+    A seed is scored along the postings of its terms where these are few, else over all documents, of which used ones
+    are dropped in time; so a seed that shares little costs little, however many documents a shard has.
+    """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         self.terms, weight = [], []
         for ids in docs:
-            t, tf = _terms(ids[:-1])
-            t = t.astype(np.int64)
+            t, w = weights(ids, idf, mean)
             self.terms.append(t)
-            weight.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (len(ids) - 1) / max(mean, 1.0))))
+            weight.append(w)
         size = np.array([len(t) for t in self.terms])
         self.held = np.flatnonzero(size)
         self.size = size[self.held]
         self.term, self.weight = np.concatenate(self.terms), np.concatenate(weight)
+        by = np.argsort(self.term, kind="stable")
+        self.posted, self.posted_weight = np.repeat(np.arange(len(docs)), size)[by], self.weight[by]
+        self.edge = np.concatenate(([0], np.cumsum(np.bincount(self.term, minlength=len(idf)))))
         self.asked = np.zeros(len(idf), bool)
-        self.n = len(docs)
 
-    def scores(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """BM25 of the unused documents for all terms of the seed."""
+    def scores(self, seed: int, unused: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The unused documents, ascending, that share a term with the seed, and their BM25 for all of its terms."""
+        terms = self.terms[seed]
+        start, stop = self.edge[terms], self.edge[terms + 1]
+        n = int((stop - start).sum())
+        if 8 * n < len(self.term):
+            at = np.repeat(start - np.cumsum(stop - start) + stop - start, stop - start) + np.arange(n)
+            doc, weight = self.posted[at], self.posted_weight[at]
+            left = unused[doc]
+            found, number = np.unique(doc[left], return_inverse=True)
+            return found, np.bincount(number, weight[left], len(found))
         left = unused[self.held]
         if 4 * np.count_nonzero(left) <= 3 * len(left):
             kept = np.repeat(left, self.size)
             self.term, self.weight, self.held, self.size = self.term[kept], self.weight[kept], self.held[left], self.size[left]
-        out = np.zeros(self.n)
-        if len(self.held):
-            self.asked[self.terms[seed]] = True
-            out[self.held] = np.add.reduceat(self.weight * self.asked[self.term], np.cumsum(self.size) - self.size)
-            self.asked[self.terms[seed]] = False
-        return np.where(unused, out, 0.0)
+            left = np.ones(len(self.held), bool)
+        if not len(self.held):
+            return self.held, np.zeros(0)
+        self.asked[terms] = True
+        score = np.add.reduceat(self.weight * self.asked[self.term], np.cumsum(self.size) - self.size)
+        self.asked[terms] = False
+        left &= score > 0
+        return self.held[left], score[left]
+
+
+def best(found: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` best-scored documents (or all), best first, of equals the first."""
+    if len(found) > n:
+        least = np.partition(score, len(score) - n)[len(score) - n]
+        above = np.flatnonzero(score > least)
+        kept = np.sort(np.concatenate((above, np.flatnonzero(score == least)[: n - len(above)])))
+        found, score = found[kept], score[kept]
+    return found[np.argsort(-score, kind="stable")]
 
 
 def packed(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -110,21 +153,21 @@ def packed(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = W
         carried = None
         while start < len(docs[seed]):
             start = put(seed, start)
-        if not filled:
+        if not filled or not len(index.terms[seed]):
             continue
-        score = index.scores(seed, unused)
-        while filled and not carried:
-            best = int(score.argmax())
-            if score[best] <= 0:
+        # each document has an id at least, so no more than the open places are needed
+        for d in best(*index.scores(seed, unused), window - filled).tolist():
+            unused[d] = False
+            if (reached := put(d, 0)) < len(docs[d]):
+                carried = (d, reached)
+            if not filled or carried:
                 break
-            score[best], unused[best] = 0.0, False
-            if (reached := put(best, 0)) < len(docs[best]):
-                carried = (best, reached)
     # the open window: cut into sequences whose lengths are powers of two, the longest first
-    last = [p for p in out if p[3] == sequence]
-    del out[len(out) - len(last) :]
+    last = []
+    while out and out[-1][3] == sequence:
+        last.append(out.pop())
     room = 0
-    for d, start, n, _, _ in last:
+    for d, start, n, _, _ in reversed(last):
         while n:
             if not room:
                 size = room = 1 << (filled.bit_length() - 1)
@@ -139,7 +182,8 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_
     """One row a piece of a document.
 
     Null and empty texts are the end id alone. Repeated rows and null ids are documents of their
-    own. Other columns are left out. ``sequence_id`` has the shard in its upper 32 bits.
+    own. Other columns are left out. ``sequence_id`` has the shard in its upper 32 bits. Documents without a term that
+    another holds, empty ones among them, are dealt together.
     """
     spark = docs.sparkSession
     size = max(end_id + 1, tokenizer(tokenizer_path, pattern).library.get_vocab_size())
@@ -155,7 +199,30 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_
     df = document_frequencies(tokens, size, width)
     idf = np.log1p((rows - df + 0.5) / (df + 0.5))
     mean = ((total or 0) - rows) / max(1, rows)
-    shards = max(1, -(-(total or 0) // shard_tokens))
+
+    def terms_of(batch) -> np.ndarray:
+        return np.array([strongest(np.frombuffer(x, width), idf, df, mean) for x in batch.column(1).to_pylist()], np.int64)
+
+    def by_term(batches):
+        held = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            np.add.at(held, terms_of(batch), batch.column(3).to_numpy())
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[some], pa.int64())], ["term", "n"])
+
+    tokens = tokens.select("id", "ids", "row", "n")
+    lengths = np.zeros(size + 1, np.int64)  # the last one: documents without a shared term
+    for r in tokens.mapInArrow(by_term, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        lengths[r.term] = r.n
+    place = np.cumsum(lengths) - lengths
+
+    def dealt(batches):
+        for batch in batches:
+            term = terms_of(batch)
+            rows = batch.column(2).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            at = place[term] + lengths[term] * ((rows >> np.uint64(11)) / float(1 << 53))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((at // shard_tokens).astype(np.int64), pa.int64())], ["id", "ids", "row", "shard"])
+
     kind = plain.schema["id"].dataType
     schema = T.StructType([T.StructField(id_col, kind), *T._parse_datatype_string("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").fields])
     types = [to_arrow_type(f.dataType) for f in schema]
@@ -168,4 +235,5 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_
         out = [(ids[d], s, n, zlib.crc32(held[d][s : s + n].astype("<u4").tobytes()), len(held[d]), shard << 32 | q, o) for d, s, n, q, o in packed(held, idf, mean, window)]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return tokens.select("id", "ids", "row", F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(run, schema)
+    placed = T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType()), T.StructField("row", T.LongType()), T.StructField("shard", T.LongType())])
+    return tokens.mapInArrow(dealt, placed).groupBy("shard").applyInArrow(run, schema)

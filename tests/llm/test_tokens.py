@@ -146,17 +146,76 @@ def test_neighbours_by_terms_that_are_not_the_rarest():
     assert rows[:3] == [(0, 0, 100, 0, 0), (1, 0, 61, 1, 0), (3, 0, 39, 1, 61)]
 
 
-def test_scores_are_bm25_of_all_terms():
-    from millrace.llm.packing import B, K1, Shard
+def plain_bm25(docs, seed, idf, mean):
+    from millrace.llm.packing import B, K1
+
+    return [sum(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (len(d) - 1) / mean)) for t in set(docs[seed][:-1].tolist()) if (tf := int((d[:-1] == t).sum()))) for d in docs]
+
+
+@pytest.mark.parametrize("vocabulary", [60, 2000])
+def test_scores_are_bm25_of_all_terms(vocabulary):
+    from millrace.llm.packing import Shard
 
     rng = np.random.default_rng(4)
-    docs = [np.append(rng.integers(1, 60, rng.integers(0, 90)), 0) for _ in range(40)]
-    idf, unused = rng.random(60), np.ones(40, bool)
+    docs = [np.append(rng.integers(1, vocabulary, rng.integers(0, 90)), 0) for _ in range(40)]
+    idf, unused = rng.random(vocabulary) + 0.1, np.ones(40, bool)
     shard = Shard(docs, idf, 45.0)
     for seed in rng.permutation(40):
         unused[seed] = False
-        want = [sum(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (len(d) - 1) / 45)) for t in set(docs[seed][:-1].tolist()) if (tf := int((d[:-1] == t).sum()))) * unused[i] for i, d in enumerate(docs)]
-        assert np.allclose(shard.scores(seed, unused), want)
+        want = np.array(plain_bm25(docs, seed, idf, 45.0)) * unused
+        found, score = shard.scores(seed, unused)
+        assert found.tolist() == np.flatnonzero(want).tolist() and np.allclose(score, want[found])
+
+
+@pytest.mark.parametrize("vocabulary", [30, 400])
+def test_windows_take_the_best_neighbours_in_turn(vocabulary):
+    """The whole choice against a plain version: the seed, then the unused document of the highest BM25, the first of equals."""
+    rng = np.random.default_rng(vocabulary)
+    docs = [np.append(rng.integers(1, vocabulary, rng.integers(0, 25)), 0).astype("<u2") for _ in range(120)]
+    docs += [docs[3], docs[3], docs[5]]
+    idf, window = np.ceil(rng.random(vocabulary) * 3), 64
+    unused, order, filled, seed = set(range(len(docs))), [], 0, None
+    while unused or seed is not None:
+        if seed is None:
+            seed = min(unused)
+            unused.remove(seed)
+            order.append(seed)
+            filled += len(docs[seed])
+        filled %= window
+        score, seed_next = plain_bm25(docs, seed, idf, 13.0), None
+        while filled and seed_next is None and unused:
+            d = max(unused, key=lambda i: (round(score[i], 9), -i))
+            if score[d] <= 0:
+                break
+            unused.remove(d)
+            order.append(d)
+            filled += len(docs[d])
+            if filled > window:
+                seed_next = d
+            elif filled == window:
+                filled = 0
+        seed = seed_next
+    found = packed(docs, idf, 13.0, window)
+    assert list(dict.fromkeys(d for d, *_ in found)) == order
+
+
+def test_many_short_documents_are_packed_in_time():
+    import time
+
+    began = time.perf_counter()
+    for docs in ([np.zeros(1, "<u2")] * 1_000_000, [np.array([1, 2 + i % 60_000, 0], "<u2") for i in range(100_000)], [np.array([2 + i, 0], "<u2") for i in range(60_000)]):
+        rows = packed(docs, np.ones(1 << 16), 1.0)
+        assert sum(r[2] for r in rows) == sum(map(len, docs))
+    assert time.perf_counter() - began < 60
+
+
+def test_documents_about_the_same_thing_meet_in_a_shard(spark):
+    words = ["alpha", "river", "engine", "garden", "violin", "copper", "winter", "planet"]
+    rows = [(i, f"the one that is in it and of the {words[i % 8]} {words[i % 8]}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shard = {r.doc_id: r.sequence_id >> 32 for r in pack(docs, JSON, P.PATTERN, shard_tokens=2000).collect()}
+    assert len(set(shard.values())) > 4
+    assert sum(len({shard[i] for i in range(w, 800, 8)}) for w in range(8)) <= 20
 
 
 def test_empty_tables(none):
