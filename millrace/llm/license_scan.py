@@ -5,11 +5,14 @@ holds a template when at least ``threshold`` of the template's different words a
 within a span of one and a half times the template's words; a span is never longer than half a block,
 so each lies in one block as a whole. The words that tell a license from others (``KEYS``) must be in the
 span, and a span ends at words that make it another license (``OTHERS``). Short templates consist of
-words that must all be there. Words are ordered by how many documents
-hold them, counted over all documents, rarest first, then by name. A block that holds a
-template meets it in its prefix, the ``|T| - ceil(threshold |T|) + 1`` rarest words; it has at
-least ``ceil(threshold |T|)`` different words; and after a first meeting at place i of the prefix
-no more than ``|T| - i`` words can meet. What passes is verified exactly, span by span.
+words that must all be there.
+
+Of a block only its words that some template has matter: its set. All sets are ordered alike, by how many documents
+hold a word, counted over all documents, rarest first, then by name. Where a block's set B holds a template's set T to
+the threshold, ``need = ceil(threshold |T|)``, the two share a word among the first ``|T| - need + 1`` of T and the first
+``|B| - need + 1`` of B (prefix filter); B has ``need`` words or more (length filter); and with c words shared up to place
+i of T and j of B no more than ``c + min(|T| - i, |B| - j) - 1`` can be shared, places counted from 0 (positional
+filter). What passes is verified exactly, span by span.
 
 The templates are a fixed list, so their index is small whatever the corpus.
 """
@@ -95,34 +98,52 @@ class Index:
     """The templates' prefixes as an inverted index from word to (template, place)."""
 
     def __init__(self, templates, counts: dict[str, int], threshold: float):
-        self.sets, self.need, self.labels, self.spans, self.keys, self.others = [], [], [], [], [], []
-        self.prefix: dict[bytes, list[tuple[int, int]]] = {}
+        self.need, self.size, self.labels, self.spans, self.keys, self.others, self.sets = [], [], [], [], [], [], []
+        vocabulary = sorted({w.decode() for _, text in templates for w in words_of(text)}, key=lambda w: (counts.get(w, 0), w))
+        #: The global order: each word's rank.
+        self.rank = {w.encode(): r for r, w in enumerate(vocabulary)}
+        self.words = frozenset(self.rank)
+        self.prefix: dict[int, list[tuple[int, int]]] = {}
+        self.met = self.too_short = self.out_of_place = self.verified = 0
         for t, (label, text) in enumerate(templates):
-            ordered = sorted({w.decode() for w in words_of(text)}, key=lambda w: (counts.get(w, 0), w))
-            need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
-            self.sets.append(frozenset(w.encode() for w in ordered))
+            ranks = sorted({self.rank[w] for w in words_of(text)})
+            need = max(1, math.ceil(threshold * len(ranks) - 1e-9))
+            self.sets.append(frozenset(words_of(text)))
             self.need.append(need)
+            self.size.append(len(ranks))
             self.labels.append(label)
             self.keys.append(self.sets[-1] & {w.encode() for w in KEYS.get(label, ())})
             self.others.append(frozenset(w.encode() for w in OTHERS.get(label, ())))
             self.spans.append(math.ceil(1.5 * len(words_of(text))))
             if self.spans[-1] > BLOCK // 2:
                 raise ValueError(f"a template may have at most {BLOCK // 3} words")
-            for place, w in enumerate(ordered[: len(ordered) - need + 1]):
-                self.prefix.setdefault(w.encode(), []).append((t, place))
-        self.words = frozenset(self.prefix)
+            for place, r in enumerate(ranks[: len(ranks) - need + 1]):
+                self.prefix.setdefault(r, []).append((t, place))
+        self.least = min(self.need, default=0)
+
+    def candidates(self, block: list[bytes]) -> list[int]:
+        """The templates that the prefix, length and positional filters leave."""
+        held = sorted(self.rank[w] for w in self.words.intersection(block))
+        shared: dict[int, int] = {}
+        out_of_place = set()
+        for j, r in enumerate(held[: max(0, len(held) - self.least + 1)]):
+            for t, i in self.prefix.get(r, ()):
+                if t not in shared:
+                    self.met += 1
+                    self.too_short += len(held) < self.need[t]
+                shared[t] = shared.get(t, 0) + 1
+                if len(held) >= self.need[t] and shared[t] + min(self.size[t] - i, len(held) - j) - 1 < self.need[t]:
+                    out_of_place.add(t)
+        self.out_of_place += len(out_of_place)
+        return [t for t in shared if len(held) >= self.need[t] and t not in out_of_place]
 
     def best(self, block: list[bytes]) -> list[tuple[str, float]]:
         """(label, containment) of every template that the block holds."""
-        have = frozenset(block)
-        first: dict[int, int] = {}
-        for w in self.words & have:
-            for t, place in self.prefix[w]:
-                first[t] = min(place, first.get(t, place))
         out = []
-        for t, place in first.items():
-            if len(have) >= self.need[t] <= len(self.sets[t]) - place and self.keys[t] <= have and len(self.sets[t] & have) >= self.need[t] and (n := self.within(t, block)) >= self.need[t]:
-                out.append((self.labels[t], n / len(self.sets[t])))
+        for t in self.candidates(block):
+            self.verified += 1
+            if (n := self.within(t, block)) >= self.need[t]:
+                out.append((self.labels[t], n / self.size[t]))
         return out
 
     def within(self, t: int, block: list[bytes]) -> int:
