@@ -35,11 +35,21 @@ def shared_folder(spark: SparkSession) -> str:
 _staged: list[str] = []
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete what this process has staged; call it when the results that read it are written."""
+def mark() -> int:
+    """A point in this process's staging, for ``clear``."""
+    return len(_staged)
+
+
+def clear(spark: SparkSession, since: int = 0, but_last: bool = False) -> None:
+    """Delete what this process has staged since a ``mark``, but for the last table where that is asked for.
+
+    Call it when the results that read the tables are written.
+    """
     jvm = spark.sparkContext._jvm
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+    gone = _staged[since : len(_staged) - but_last]
+    _staged[since:] = _staged[len(_staged) - but_last :] if len(_staged) > since else []
+    for folder in gone:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

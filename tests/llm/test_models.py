@@ -8,11 +8,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from millrace.llm import katz
 from millrace.llm.license_scan import TEMPLATES, Index, blocks_of, scan
-from millrace.llm.quality import judged, quality, statistics
-from millrace.llm.toxicity import toxicity, train
+from millrace.llm.quality import Forest, base_failed, judged, quality, statistics
+from millrace.llm.quality import fit as rules_fit
+from millrace.llm.toxicity import Model, fit, hashed, sentences, toxicity, train
 
 
 class Plain:
@@ -147,12 +149,73 @@ def test_toxicity_on_held_out_rows(corpus, labels, odd, none):
     assert {r.score for r in toxicity(odd, labels).where("doc_id in (1, 2, 3)").collect()} == {0.0}
 
 
+def small_model(rows):
+    weights, bias = train([(*hashed(text), label) for text, label in rows], least=1)
+    named = {w: weights[h] for text, _ in rows for _, _, found in sentences(text) for w in found if (h := xxhash.xxh64_intdigest(w)) in weights}
+    return Model(named, bias)
+
+
 def test_offending_sentence_is_found():
     rows = [("all is fine. you fool. good day.", 1), ("all is fine. good day.", 0), ("what a fool. fine.", 1), ("a good day. fine.", 0)] * 10
-    score, where = train(rows, least=1).score("good day. you fool. fine.")
+    score, where = small_model(rows).score("good day. you fool. fine.")
     assert score > 0.5 and [x[:2] for x in where] == [(9, 18)]
 
 
+def test_scores_are_noisy_or(corpus):
+    """1 - prod(1 - p) over sentences, p a logistic function of a sentence's words and their beginnings."""
+    rng = np.random.default_rng(1)
+    texts = [r.text or "" for r in corpus.select("text").limit(200).collect()] + ["", " . ! ", "Ünfug über alles? ja"]
+    words = sorted({w for t in texts for w in re.findall(r"[^\W\d_]+", t.lower())})
+    weights = {w: float(rng.normal()) for w in words[::3]} | {w[:4] + "*": float(rng.normal()) for w in words[::5] if len(w) > 4} | {w[:5] + "*": 0.7 for w in words[::7] if len(w) > 5}
+    model = Model(weights, -3.0)
+    for text in texts:
+        clear, offending = 1.0, 0
+        for sentence in re.split(r"[.!?\n]", text):
+            found = set(re.findall(r"[^\W\d_]+", sentence.lower()))
+            found |= {w[:n] + "*" for w in set(found) for n in (4, 5) if len(w) > n}
+            if found:
+                p = 1 / (1 + math.exp(-(-3.0 + sum(weights.get(w, 0.0) for w in found))))
+                clear *= 1 - p
+                offending += p >= 0.5
+        score, where = model.score(text)
+        assert score == pytest.approx(1 - clear, abs=1e-9) and len(where) == offending
+
+
+def test_fit_takes_rows_while_their_features_fit(corpus, labels):
+    few, whole, none = (fit(corpus, labels, features=n) for n in (60_000, 10**9, 0))
+    assert few.weights and whole.weights and few.weights != whole.weights and none.weights == {}
+
+
+def test_forest_scores_by_path_lengths():
+    rng = np.random.default_rng(2)
+    good, others = rng.normal(size=(600, 7)), rng.normal(6, 1, (40, 7))
+    assert len(Forest(good, others, trees=30).unseen()) == 600
+    forest = Forest(good, others, trees=20)
+    rows = np.concatenate((good[:40], others, np.full((1, 7), 60.0)))
+
+    def expected(n):
+        return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+
+    def length(tree, row, at=0, depth=0):
+        feature, cut, left, right, path = (x[at] for x in tree)
+        if feature < 0:
+            assert path >= depth
+            return path
+        return length(tree, row, left if row[feature] < cut else right, depth + 1)
+
+    want = [2 ** -(np.mean([length(t, r) for t in forest.trees]) / expected(forest.sample)) for r in rows]
+    found = forest.scores(rows)
+    assert np.allclose(found, want) and found[40:].min() > np.median(found[:40]) and found[-1] > found[:40].max()
+
+
+def test_threshold_comes_from_rows_that_the_trees_have_not_seen(corpus, labels):
+    forest, threshold = rules_fit(corpus, labels, loss=0.02)
+    rows = corpus.join(labels, "doc_id").collect()
+    seen = [(r.quality, statistics(r.text or "")) for r in rows]
+    good = np.array([f for q, (c, f) in seen if q == 1 and not base_failed(c)])
+    assert (forest.scores(good) > threshold).mean() < 0.04
+
+
 #: Words that a notice must or must not hold for its label; besides the templates all that this version knows.
 PLAIN_KEYS = {"mit": {"mit"}, "apache": {"apache"}, "gpl": {"gnu", "program"}, "mpl": {"mozilla"}, "cc-by": {"creative", "commons"}}
 PLAIN_OTHERS = {"gpl": {"lesser", "library", "affero"}, "cc-by": {"sharealike", "noncommercial", "noderivatives", "noderivs"}}
@@ -218,6 +281,13 @@ def test_each_filter_leaves_blocks_out(corpus):
                 assert i in index.candidates(b) or len(s & set(b)) < index.need[i]
 
 
+def plain_spans(text, template):
+    """The largest share of a template's words in any run of one and a half times its length; knows no blocks."""
+    words, want = re.findall(r"[a-z0-9]+", text.lower()), re.findall(r"[a-z0-9]+", template.lower())
+    n = math.ceil(1.5 * len(want))
+    return max((len(set(want) & set(words[i : i + n])) / len(set(want)) for i in range(max(1, len(words) - n + 1))), default=0)
+
+
 def test_licenses_that_are_wrapped_or_far_into_a_text(spark):
     texts = []
     for _, t in TEMPLATES:

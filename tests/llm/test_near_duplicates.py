@@ -218,6 +218,31 @@ def test_pipeline_on_odd_rows(spark, odd):
             work(spark, rest, "/root/testdata/sf0.01").collect()
 
 
+def test_pipeline_leaves_columns_alone_whatever_their_names(spark, corpus):
+    """Columns named like the stages' own results keep their values."""
+    extra = ["score", "kept", "predicted", "offending", "anomaly", "base_failed", "n_words", "FP", "row", "body", "spans", "rules", "c0", "held", "__text", "__body"]
+    docs = corpus.select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in extra])
+    for _, work in corpus_pipeline.STAGES[:4]:
+        after = work(spark, docs, "/root/testdata/sf0.01")
+        assert after.columns == docs.columns
+        rows = after.collect()
+        assert rows and all(r[c] == f"{c} {r.doc_id}" for r in rows for c in extra)
+        docs = spark.createDataFrame(rows, after.schema)
+
+
+def test_pipeline_clears_what_its_stages_staged(spark, tmp_path):
+    from millrace.llm import common
+
+    other = common.stage(spark.range(3), "others")
+    before = common.mark()
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and other.count() == 3
+    # the last stage's input and its own tables
+    assert common.mark() - before <= 3
+    common.clear(spark, before)
+    assert common.mark() == before and other.count() == 3
+
+
 def test_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
