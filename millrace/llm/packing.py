@@ -34,35 +34,26 @@ def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[first], np.diff(np.append(first, len(s)))
 
 
-def document_frequencies(tokens: DataFrame, size: int, width: str) -> np.ndarray:
-    """In how many documents each of the vocabulary's ``size`` ids occurs."""
-
-    def run(batches):
-        df = np.zeros(size, np.int64)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                df[_terms(np.frombuffer(x, width)[:-1])[0]] += 1
-        held = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(df[held], pa.int64())], ["id", "n"])
-
-    out = np.zeros(size, np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        out[r.id] = r.n
-    return out
+def weights(t: np.ndarray, tf: np.ndarray, length, idf: np.ndarray, mean: float) -> np.ndarray:
+    """BM25 weights of terms that stand ``tf`` times in documents of ``length`` tokens."""
+    return idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1.0)))
 
 
-def weights(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
-    """A document's different terms, ascending, and their BM25 weights in it; ``ids`` ends with the end id."""
-    t, tf = _terms(ids[:-1])
-    t = t.astype(np.int64)
-    return t, idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (len(ids) - 1) / max(mean, 1.0)))
+def strongest(t: np.ndarray, tf: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, idf: np.ndarray, df: np.ndarray, mean: float) -> np.ndarray:
+    """The terms by which documents are dealt, the smallest of equals; -1 where a document shares none with another.
 
-
-def strongest(ids: np.ndarray, idf: np.ndarray, df: np.ndarray, mean: float) -> int:
-    """The term by which a document is dealt, the smallest of equals; -1 if it shares none with another."""
-    t, w = weights(ids, idf, mean)
-    w = np.where(df[t] > 1, w, 0.0)
-    return int(t[w.argmax()]) if len(w) and w.max() > 0 else -1
+    ``t`` and ``tf`` are the documents' terms side by side, ``sizes`` how many each has.
+    """
+    out = np.full(len(sizes), -1, np.int64)
+    held = np.flatnonzero(sizes)
+    if len(held):
+        w = np.where(df[t] > 1, weights(t, tf, np.repeat(lengths, sizes), idf, mean), 0.0)
+        first = np.cumsum(sizes[held]) - sizes[held]
+        top = np.maximum.reduceat(w, first)
+        at = np.where(w == np.repeat(top, sizes[held]), np.arange(len(w)), len(w))
+        best = np.minimum.reduceat(at, first)
+        out[held] = np.where(top > 0, t[best], -1)
+    return out
 
 
 class Shard:
@@ -73,23 +64,26 @@ class Shard:
     """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.terms, weight = [], []
-        for ids in docs:
-            t, w = weights(ids, idf, mean)
-            self.terms.append(t)
-            weight.append(w)
+        own = [_terms(ids[:-1]) for ids in docs]
+        self.terms = [t for t, _ in own]
         size = np.array([len(t) for t in self.terms])
         self.held = np.flatnonzero(size)
         self.size = size[self.held]
-        self.term, self.weight = np.concatenate(self.terms), np.concatenate(weight)
+        # terms keep their narrow type, which sorts fastest
+        self.term = np.concatenate(self.terms)
+        length = np.repeat([len(ids) - 1 for ids in docs], size)
+        self.weight = weights(self.term, np.concatenate([n for _, n in own]), length, idf, mean)
         by = np.argsort(self.term, kind="stable")
         self.posted, self.posted_weight = np.repeat(np.arange(len(docs)), size)[by], self.weight[by]
         self.edge = np.concatenate(([0], np.cumsum(np.bincount(self.term, minlength=len(idf)))))
-        self.asked = np.zeros(len(idf), bool)
+        # wide from here on: what is looked up for each seed
+        self.term = self.term.astype(np.int64)
+        self.asked = np.zeros(len(idf))
+        self.first = np.cumsum(self.size) - self.size
 
     def scores(self, seed: int, unused: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The unused documents, ascending, that share a term with the seed, and their BM25 for all of its terms."""
-        terms = self.terms[seed]
+        terms = self.terms[seed].astype(np.int64)
         start, stop = self.edge[terms], self.edge[terms + 1]
         n = int((stop - start).sum())
         if 8 * n < len(self.term):
@@ -102,12 +96,15 @@ class Shard:
         if 4 * np.count_nonzero(left) <= 3 * len(left):
             kept = np.repeat(left, self.size)
             self.term, self.weight, self.held, self.size = self.term[kept], self.weight[kept], self.held[left], self.size[left]
+            self.first = np.cumsum(self.size) - self.size
             left = np.ones(len(self.held), bool)
         if not len(self.held):
             return self.held, np.zeros(0)
-        self.asked[terms] = True
-        score = np.add.reduceat(self.weight * self.asked[self.term], np.cumsum(self.size) - self.size)
-        self.asked[terms] = False
+        self.asked[terms] = 1.0
+        part = self.asked.take(self.term)
+        part *= self.weight
+        score = np.add.reduceat(part, self.first)
+        self.asked[terms] = 0.0
         left &= score > 0
         return self.held[left], score[left]
 
@@ -191,37 +188,63 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_
 
     def make():
         bpe = tokenizer(tokenizer_path, pattern)
-        return lambda texts: [x := [np.append(bpe.encode(t), np.uint32(end_id)).astype(width).tobytes() for t in texts], [len(i) // int(width[-1]) for i in x]]
+
+        def work(texts):
+            ids = [np.append(bpe.encode(t), np.uint32(end_id)).astype(width) for t in texts]
+            own = [_terms(x[:-1]) for x in ids]
+            return [[x.tobytes() for x in ids], [len(x) for x in ids], [t.tobytes() for t, _ in own], [n.astype("<u4").tobytes() for _, n in own]]
+
+        return work
+
+    def flat(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        """The arrays of a binary column side by side, and their sizes."""
+        held = column.to_pylist()
+        return np.frombuffer(b"".join(held), kind), np.array([len(x) // int(kind[-1]) for x in held], np.int64)
 
     plain = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
-    tokens = stage(per_document(plain, ["id"], "ids binary, n long", make).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    tokens = stage(per_document(plain, ["id"], "ids binary, n long, terms binary, counts binary", make).withColumn("row", F.monotonically_increasing_id()), "tokens")
     rows, total = tokens.agg(F.count("*"), F.sum("n")).first()
-    df = document_frequencies(tokens, size, width)
+
+    def held(batches):
+        """In how many documents each term occurs."""
+        df = np.zeros(size, np.int64)
+        for batch in batches:
+            df += np.bincount(flat(batch.column(0), width)[0], minlength=size)
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(df[some], pa.int64())], ["term", "n"])
+
+    def summed(frame: DataFrame, most: int) -> np.ndarray:
+        """Totals by term: no more rows than the vocabulary has."""
+        out = np.zeros(most, np.int64)
+        for r in frame.groupBy("term").agg(F.sum("n").alias("n")).collect():
+            out[r.term] = r.n
+        return out
+
+    df = summed(tokens.select("terms").mapInArrow(held, "term int, n long"), size)
     idf = np.log1p((rows - df + 0.5) / (df + 0.5))
     mean = ((total or 0) - rows) / max(1, rows)
 
     def terms_of(batch) -> np.ndarray:
-        return np.array([strongest(np.frombuffer(x, width), idf, df, mean) for x in batch.column(1).to_pylist()], np.int64)
+        t, sizes = flat(batch.column(0), width)
+        return strongest(t, flat(batch.column(1), "<u4")[0], sizes, batch.column(2).to_numpy() - 1, idf, df, mean)
 
     def by_term(batches):
-        held = np.zeros(size + 1, np.int64)
+        out = np.zeros(size + 1, np.int64)
         for batch in batches:
-            np.add.at(held, terms_of(batch), batch.column(3).to_numpy())
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[some], pa.int64())], ["term", "n"])
-
-    tokens = tokens.select("id", "ids", "row", "n")
-    lengths = np.zeros(size + 1, np.int64)  # the last one: documents without a shared term
-    for r in tokens.mapInArrow(by_term, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        lengths[r.term] = r.n
+            np.add.at(out, terms_of(batch), batch.column(2).to_numpy())
+        some = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(out[some], pa.int64())], ["term", "n"])
+
+    # the last one: documents without a shared term
+    lengths = summed(tokens.select("terms", "counts", "n").mapInArrow(by_term, "term int, n long"), size + 1)
     place = np.cumsum(lengths) - lengths
 
     def dealt(batches):
         for batch in batches:
             term = terms_of(batch)
-            rows = batch.column(2).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            rows = batch.column(5).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             at = place[term] + lengths[term] * ((rows >> np.uint64(11)) / float(1 << 53))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((at // shard_tokens).astype(np.int64), pa.int64())], ["id", "ids", "row", "shard"])
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(4), batch.column(5), pa.array((at // shard_tokens).astype(np.int64), pa.int64())], ["id", "ids", "row", "shard"])
 
     kind = plain.schema["id"].dataType
     schema = T.StructType([T.StructField(id_col, kind), *T._parse_datatype_string("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").fields])
@@ -236,4 +259,4 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     placed = T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType()), T.StructField("row", T.LongType()), T.StructField("shard", T.LongType())])
-    return tokens.mapInArrow(dealt, placed).groupBy("shard").applyInArrow(run, schema)
+    return tokens.select("terms", "counts", "n", "id", "ids", "row").mapInArrow(dealt, placed).groupBy("shard").applyInArrow(run, schema)
