@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Mapping
+import time
+from collections.abc import Callable, Mapping
+from contextlib import nullcontext
 from dataclasses import asdict, dataclass
+from datetime import UTC, datetime
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import english, row_json
+from millrace.functions.text import english, place_note, row_json
 from millrace.operators import latency, retrieve, usage, verify
-from millrace.operators.documents import PLACES
+from millrace.operators.documents import PLACE_SUFFIX, PLACES, ranger_log
+from millrace.operators.merge import reset_or_insert
+from millrace.sources import log
 from millrace.sources.errors import read_errors
-from millrace.sources.registry import Registry
-from millrace.streaming.replicate import Flush, Gate
+from millrace.sources.registry import Registry, Settings
+from millrace.streaming.progress import offsets
+from millrace.streaming.replicate import Flush, Gate, Hold
 from millrace.streaming.store import Store
 
+LONGEST_VERIFY = 45.0
 PAGE, LARGEST_PAGE = 10, 100
 #: Ids that a demonstration may create, and from which on load traffic may only update.
 DEMO_IDS, TRAFFIC_FROM = (9000, 9099), 3_000_000_000
@@ -67,9 +76,131 @@ def lookup(source: DataFrame, replica: DataFrame, key: str, value) -> DataFrame:
     return row(source, "source").crossJoin(row(replica, "replica"))
 
 
-def poke(op: str, table: str, pk: dict[str, str], after: dict[str, str] | None, lsn: int, unchanged: list[str] = ()) -> tuple:
-    """One change row of a demonstration write, to be run through fold and merge."""
-    return (op, table, lsn, None, pk, after, list(unchanged), {})
+class Publisher(Protocol):
+    """Takes change rows and returns when they are safe."""
+
+    def publish(self, changes: DataFrame) -> None: ...
+
+
+class Asker(Protocol):
+    """Answers questions over the documents."""
+
+    def ask(self, question: str, mode: str) -> dict: ...
+
+
+class LogPublisher:
+    """Appends to the change log's files."""
+
+    def __init__(self, path: str, partitions: int = 4):
+        self.path, self.partitions = path, partitions
+
+    def publish(self, changes: DataFrame) -> None:
+        log.publish(changes, self.path, self.partitions)
+
+
+OBSERVATIONS, ANIMALS, HOLES = "public.observations", "public.animals", "public.watering_holes"
+OBSERVATION_TYPES = {"observation_id": "bigint", "animal_id": "bigint", "watering_hole_id": "bigint", "observed_at": "timestamp with time zone", "notes": "text"}
+
+
+def first_by(df: DataFrame, key: str) -> DataFrame:
+    """The row with the smallest key."""
+    return df.orderBy(key).limit(1)
+
+
+def default_row(animals: DataFrame, holes: DataFrame, observation_id: Column, place: Column, at: Column) -> DataFrame:
+    """A demonstration row in its default shape: the first animal at the first watering hole."""
+    a = first_by(animals.select("animal_id", F.col("name").alias("animal"), "species"), "animal_id")
+    h = first_by(holes.select("watering_hole_id", F.col("name").alias("hole")), "watering_hole_id")
+    note = ranger_log(F.col("animal"), F.col("species"), F.col("hole"), place)
+    return a.crossJoin(h).select(observation_id.alias("observation_id"), F.col("animal_id").cast("long").alias("animal_id"), F.col("watering_hole_id").cast("long").alias("watering_hole_id"), at.alias("observed_at"), note.alias("notes"))
+
+
+def moved_rows(rows: DataFrame, animals: DataFrame, holes: DataFrame, place: Column) -> DataFrame:
+    """Observations with another place in their notes; notes without one are written anew from the names of the row's own animal and watering hole."""
+    a = animals.select("animal_id", F.col("name").alias("__animal"), F.col("species").alias("__species"))
+    h = holes.select("watering_hole_id", F.col("name").alias("__hole"))
+    anew = F.when(F.col("__animal").isNotNull() & F.col("__hole").isNotNull(), ranger_log(F.col("__animal"), F.col("__species"), F.col("__hole"), place))
+    out = rows.join(a, "animal_id", "left").join(h, "watering_hole_id", "left")
+    return out.withColumn("notes", place_note(F.coalesce("notes", F.lit("")), place, PLACE_SUFFIX, anew)).select(*rows.columns)
+
+
+class Demo:
+    """Writes of visitors: one observation of the source is created or reset, moved, or deleted, and the change published.
+
+    The source's tables are in a store, whose manifest numbers are the log's LSNs; its clock is read just before the commit.
+    """
+
+    def __init__(self, source: Store, publisher: Publisher, clock: Callable[[], float] = time.time):
+        self.source, self.publisher, self.clock = source, publisher, clock
+
+    def poke(self, op: str, pk: Mapping[str, object], place: str | None = None, table: str = OBSERVATIONS, **given) -> dict:
+        if table != OBSERVATIONS:
+            raise ValueError(f"only {OBSERVATIONS} can be changed")
+        if given:
+            raise ValueError("free text is not accepted, send a place")
+        if set(pk) != {"observation_id"}:
+            raise ValueError("pk must be the observation_id")
+        if op not in ("c", "u", "d"):
+            raise ValueError("op must be c, u or d")
+        i = key_of(pk)
+        scope = "demo" if DEMO_IDS[0] <= i <= DEMO_IDS[1] else "traffic" if i >= TRAFFIC_FROM else "readonly"
+        if scope == "readonly":
+            raise ValueError(f"observation {i} is read only")
+        if scope == "traffic" and op != "u":
+            raise ValueError("traffic observations can only be updated")
+        place = PLACES[0] if op == "c" and not place else place
+        if op != "d" and not valid_place(place or ""):
+            raise ValueError("place must be one of: " + ", ".join(PLACES))
+        base = self.source.manifest()
+        held, animals, holes = (self.source.read(t, state=base) for t in (OBSERVATIONS, ANIMALS, HOLES))
+        own, where = held.where(F.col("observation_id") == i), F.lit(place)
+        if op == "c":
+            now = F.timestamp_micros(F.lit(int(self.clock() * 1e6)))
+            fresh = default_row(animals, holes, F.lit(i).cast("long"), where, now)
+            # a row that exists is put back to that shape, but for its time
+            after = reset_or_insert(held, fresh.select(*held.columns), ["observation_id"], ["observed_at"])
+        elif op == "u":
+            if own.isEmpty():
+                raise LookupError(f"no observation {i} on the source")
+            after = held.where(F.col("observation_id") != i).unionByName(moved_rows(own, animals, holes, where))
+        else:
+            after = held.where(F.col("observation_id") != i)
+        existed = not own.isEmpty()
+        at = self.clock()
+        self.source.commit({OBSERVATIONS: (after, ["observation_id"], None)}, now=at, base=base)
+        lsn = self.source.manifest()["number"]
+        # a reset of a row is an update, as in any log of the source
+        sent = "d" if op == "d" else "u" if existed else "c"
+        if op != "d" or existed:
+            self.publisher.publish(self._change(sent, i, lsn, at))
+        return {"op": op, "table": table, "pk": i, "commit_ts": datetime.fromtimestamp(at, UTC)} | ({} if op == "d" else {"place": place})
+
+    def _change(self, op: str, i: int, lsn: int, at: float) -> DataFrame:
+        spark = self.source.spark
+        rest = [c for c in OBSERVATION_TYPES if c != "observation_id"]
+        after = F.create_map(*[x for c in rest for x in (F.lit(c), F.col(c).cast("string"))]) if op != "d" else F.lit(None).cast("map<string,string>")
+        rows = spark.range(1).select(F.lit(i).alias("observation_id")) if op == "d" else self.source.read(OBSERVATIONS).where(F.col("observation_id") == i)
+        types = F.create_map(*[F.lit(x) for kv in OBSERVATION_TYPES.items() for x in kv])
+        return rows.select(
+            F.lit(op).alias("op"), F.lit(OBSERVATIONS).alias("table"), F.lit(lsn).cast("long").alias("lsn"), F.timestamp_micros(F.lit(int(at * 1e6))).alias("commit_ts"),
+            F.create_map(F.lit("observation_id"), F.col("observation_id").cast("string")).alias("pk"), after.alias("after"), F.array().cast("array<string>").alias("unchanged"),
+            types.alias("types"), F.lit(0).alias("partition"), F.lit(lsn).cast("long").alias("offset"),
+        )
+
+
+@dataclass(frozen=True)
+class View:
+    """A table that may be read page by page: its key, the column that says what changed last, the columns shown, and whether the source lacks it."""
+
+    key: str
+    recency: str
+    columns: tuple[str, ...] = ()
+    replica_only: bool = False
+
+
+def counted(source: DataFrame | None, replica: DataFrame | None) -> dict[str, int | None]:
+    """Rows on both sides; null where a side lacks the table."""
+    return {"source": None if source is None else source.count(), "replica": None if replica is None else replica.count()}
 
 
 @dataclass(frozen=True)
@@ -95,11 +226,17 @@ class Access:
 class Service:
     """What a control API answers, without HTTP."""
 
-    def __init__(self, store: Store, registry: Registry, error_log: str, access: Access | None = None, gate: Gate | None = None):
-        self.store, self.registry, self.error_log = store, registry, error_log
+    def __init__(self, store: Store, registry: Registry, error_log: str, access: Access | None = None, gate: Gate | None = None, clock: Callable[[], float] = time.time):
+        self.store, self.registry, self.error_log, self.clock = store, registry, error_log, clock
         self.access, self.gate = access or Access(), gate or Gate()
         self.flushes: list[Flush] = []
 
+    @classmethod
+    def configured(cls, spark, settings: Settings, registry: Registry) -> Service:
+        """A service over the settings' store, error log, token and origins."""
+        access = Access(token=settings.token or None, origins=tuple(o.strip() for o in settings.origins.split(",") if o.strip()))
+        return cls(Store(spark, settings.store), registry, settings.error_log, access)
+
     def record(self, flush: Flush) -> None:
         self.flushes = [*self.flushes, flush][-usage.RING :]
 
@@ -137,8 +274,10 @@ class Service:
             raise ValueError("action must be pause or resume")
         return {"paused": self.gate.paused}
 
-    def verify(self, sources: Mapping[str, DataFrame], timeout: float = 0.0, exact: bool = True) -> dict:
-        """Compare every source with its replica, again until they match or time is up."""
+    def verify(self, sources: Mapping[str, DataFrame], timeout: float = 0.0, exact: bool = False, hold: Hold | None = None) -> dict:
+        """Compare every source with its replica once, or for up to 45 seconds until they match, with the load held back meanwhile."""
+        if not 0 <= timeout <= LONGEST_VERIFY:
+            raise ValueError(f"timeout must be {LONGEST_VERIFY} seconds at most")
         last: list[dict] = []
 
         def once() -> bool:
@@ -147,7 +286,42 @@ class Service:
             last[:] = [r.asDict() for r in verify.compare(tables, replicas, exact).collect()]
             return all(r["matches"] for r in last)
 
-        return {"matches": verify.converge(once, timeout), "tables": last}
+        with hold if hold is not None and timeout else nullcontext():
+            return {"matches": verify.converge(once, timeout), "tables": last}
+
+    def table(self, name: str, views: Mapping[str, View], source: DataFrame | None = None, limit: str | None = None, offset: str | None = None, order: str | None = None) -> dict:
+        """A page of a table on both sides, newest first or by key, with both counts."""
+        if name not in views:
+            raise ValueError("this table can't be read")
+        view, (n, at) = views[name], page_bounds(limit, offset)
+        replica = self.store.read(name) if self.store.exists(name) else None
+        source = None if view.replica_only else source
+
+        def rows(df: DataFrame | None) -> list[dict]:
+            if df is None:
+                return []
+            found = page(df, [view.key], None if order == "pk" else view.recency, n, at)
+            return [json.loads(r.j) for r in found.select(row_json(list(view.columns) or df.columns).alias("j")).collect()]
+
+        return {"table": name, "pk": view.key, "recency": view.recency, "replica_only": view.replica_only, "limit": n, "offset": at, "counts": counted(source, replica), "source": rows(source), "replica": rows(replica)}
+
+    def row(self, name: str, pk: str, views: Mapping[str, View], source: DataFrame) -> dict:
+        """One row on both sides; null where it is missing."""
+        if name not in views or views[name].replica_only:
+            raise ValueError("this table can't be read")
+        key = key_of({views[name].key: pk})
+        replica = self.store.read(name) if self.store.exists(name) else source.limit(0)
+        found = lookup(source, replica, views[name].key, key).first()
+        return {"table": name, "pk": key, "source": found.source and json.loads(found.source), "replica": found.replica and json.loads(found.replica)}
+
+    def traffic(self, hold: Hold) -> dict:
+        """Whether the load is held back."""
+        return {"held": hold.active()}
+
+    def lag(self, slot: dict, progress: dict | None) -> dict:
+        """Lags of the source's reader and of the writer, by partition."""
+        parts = [{"partition": p, "committed": max(0, c or 0), "end": e, "lag": max(0, e - max(0, c or 0))} for p, c, e in offsets(progress)] if progress else []
+        return {"slot": slot, "backlog": sum(p["lag"] for p in parts), "partitions": parts}
 
     def latency(self, table: str, since=None) -> str:
         return latency.report(self.store.read(table), since)
@@ -168,4 +342,7 @@ class Service:
         near = retrieve.top(retrieve.vector_scores(docs, query), docs)
         hits = retrieve.contexts(retrieve.hybrid(words, near), docs).join(docs.select("key", "commit_ts"), "key").orderBy("rank").collect()
         found = [r.context for r in hits]
-        return {"answer": (answerer or retrieve.Extractive()).answer(question, found), "sources": [r.asDict() for r in hits], "as_of": self.store.as_of(name), "newest": max((r.commit_ts for r in hits if r.commit_ts), default=None)}
+        newest = max((r.commit_ts for r in hits if r.commit_ts), default=None)
+        out = {"answer": (answerer or retrieve.Extractive()).answer(question, found), "sources": [r.asDict() for r in hits], "as_of": self.store.as_of(name), "newest": newest}
+        # a copy lags behind by its age; live answers are as fresh as their newest row
+        return out | {"stale_by": max(0.0, self.clock() - out["as_of"]) if mode == "batch" else None}

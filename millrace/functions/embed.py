@@ -1,7 +1,10 @@
 """Embedders: an interface, feature hashing, and vector functions."""
 
-from collections.abc import Callable, Sequence
-from typing import Iterator, Protocol
+import json
+import time
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -54,24 +57,35 @@ def fnv1a_many(features: list[bytes], longest: int = 64) -> np.ndarray:
     return out
 
 
+#: Features whose hashes an embedder remembers.
+REMEMBERED = 500_000
+
+
 class HashEmbedder:
     """Feature hashing of words (weight 1) and word pairs (0.5), signed by the hash's top bit, of unit length.
 
-    A text without words is the first unit vector.
+    A text without words is the first unit vector. Hashes of features are remembered, up to ``REMEMBERED``.
     """
 
     def __init__(self, dim: int):
         self.dim, self.name = dim, f"hash-{dim}"
+        self.numbers: dict[str, int] = {}
+        self.hashes = np.zeros(0, np.uint64)
+
+    def _numbered(self, features: list[str]) -> list[int]:
+        return [self.numbers.setdefault(f, len(self.numbers)) for f in features]
 
     def embed(self, texts: Sequence[str], query: bool = False) -> list[list[float]]:
-        numbers: dict[str, int] = {}
         each, weights = [], []
+        if len(self.numbers) > REMEMBERED:
+            self.numbers, self.hashes = {}, self.hashes[:0]
         for t in texts:
             found = words(t or "")
             pairs = list(map(" ".join, zip(found, found[1:])))
-            each.append(np.array([numbers.setdefault(f, len(numbers)) for f in (*found, *pairs)], np.int64))
+            each.append(np.array(self._numbered(found) + self._numbered(pairs), np.int64))
             weights.append(np.repeat([1.0, 0.5], [len(found), len(pairs)]))
-        hashes = fnv1a_many([f.encode() for f in numbers])
+        fresh = list(islice(self.numbers, len(self.hashes), None))
+        hashes = self.hashes = np.concatenate((self.hashes, fnv1a_many([f.encode() for f in fresh])))
         slots = (hashes % np.uint64(self.dim)).astype(np.int64)
         signs = np.where(hashes >> np.uint64(63), -1.0, 1.0)
         out = []
@@ -86,6 +100,88 @@ class HashEmbedder:
         return np.array(self.embed([text])[0], np.float32)
 
 
+class HostedEmbedder:
+    """Asks a service for vectors, ``chunk`` texts at a time.
+
+    ``transport`` posts a JSON body and gives status and body of the answer, or raises OSError; the service answers with
+    ``data``, a list of ``index`` and ``embedding``. Busy and failing services (429, 5xx, no connection) are asked again, up to
+    ``attempts`` times in all, each time half a second later; other errors and vectors of another length raise.
+    """
+
+    def __init__(self, model: str, dim: int, transport: Callable[[bytes], tuple[int, bytes]], extra: Callable[[bool], dict] = lambda query: {}, chunk: int = 64, attempts: int = 3, sleep: Callable[[float], None] = time.sleep):
+        self.model, self.dim, self.name = model, dim, model
+        self.transport, self.extra, self.chunk, self.attempts, self.sleep = transport, extra, chunk, attempts, sleep
+
+    def embed(self, texts: Sequence[str], query: bool = False) -> list[list[float]]:
+        texts = list(texts)
+        return [v for at in range(0, len(texts), self.chunk) for v in self._asked(texts[at : at + self.chunk], query)]
+
+    def _asked(self, texts: list[str], query: bool) -> list[list[float]]:
+        body = json.dumps({"model": self.model, "input": texts} | self.extra(query)).encode()
+        why = ""
+        for attempt in range(self.attempts):
+            if attempt:
+                self.sleep(0.5 * attempt)
+            try:
+                status, answer = self.transport(body)
+            except OSError as e:
+                why = str(e)
+                continue
+            if status == 200:
+                return self._placed(json.loads(answer)["data"], len(texts))
+            why = f"status {status}: {cut_bytes(answer)}"
+            if status != 429 and status < 500:
+                break
+        raise RuntimeError(f"{self.name}: {why}")
+
+    def _placed(self, data: list[dict], n: int) -> list[list[float]]:
+        if len(data) != n:
+            raise RuntimeError(f"{self.name}: asked for {n} embeddings, got {len(data)}")
+        out: list[list[float] | None] = [None] * n
+        for d in data:
+            if not 0 <= d["index"] < n:
+                raise RuntimeError(f"{self.name}: index {d['index']} is out of range")
+            if len(d["embedding"]) != self.dim:
+                raise RuntimeError(f"{self.name}: {len(d['embedding'])} dimensions instead of {self.dim}")
+            out[d["index"]] = [float(x) for x in d["embedding"]]
+        if None in out:
+            raise RuntimeError(f"{self.name}: an index is given twice")
+        return out
+
+
+def cut_bytes(raw: bytes, most: int = 300) -> str:
+    """The beginning of an answer, for messages."""
+    return raw[:most].decode(errors="replace") + ("..." if len(raw) > most else "")
+
+
+def http_post(url: str, key: str, timeout: float = 30.0) -> Callable[[bytes], tuple[int, bytes]]:
+    """A transport over HTTP with a bearer key."""
+    def post(body: bytes) -> tuple[int, bytes]:
+        from urllib import error, request
+
+        asked = request.Request(url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+        try:
+            with request.urlopen(asked, timeout=timeout) as r:
+                return r.status, r.read()
+        except error.HTTPError as e:
+            return e.code, e.read()
+
+    return post
+
+
+def make_embedder(provider: str, dim: int, model: str = "", url: str = "", key: str = "", transport=None) -> Embedder | None:
+    """``none``: no vectors; ``hash``; ``hosted``: a service at ``url``, which needs a key."""
+    if provider in ("", "none"):
+        return None
+    if provider == "hash":
+        return HashEmbedder(dim)
+    if provider != "hosted":
+        raise ValueError(f"unknown embedder {provider!r}: none, hash or hosted")
+    if not key:
+        raise ValueError("a hosted embedder needs a key")
+    return HostedEmbedder(model, dim, transport or http_post(url, key), lambda query: {"dimensions": dim})
+
+
 #: Texts embedded at a time.
 CHUNK = 512
 

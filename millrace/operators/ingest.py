@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.schema import SNAPSHOT, type_name
+from millrace.operators.codec import canonical
+from millrace.schema import SNAPSHOT, source_type, type_name
 
 #: relation(relation_id, table, columns array<struct<name, oid, is_key>>)
 #: tuple(xid, seq, action insert/update/delete, relation_id, values array<struct<kind, text>>, old array<...>)
 #: kind: t text, n null, u unchanged
+#: raw messages: see ``sources.wal``
+ACTIONS = {"I": "insert", "U": "update", "D": "delete"}
 
 
 def _entries(columns: Column, values: Column, keep) -> Column:
@@ -22,8 +25,11 @@ def _entries(columns: Column, values: Column, keep) -> Column:
 
 
 def decode_tuples(tuples: DataFrame, relations: DataFrame) -> DataFrame:
-    """Join tuples with their relations and build op, pk, after, unchanged, types, old_pk and error."""
-    joined = tuples.join(relations, "relation_id", "left")
+    """Join tuples with their relations and build op, pk, after, unchanged, types, old_pk and error. Other actions are skipped."""
+    return _decoded(tuples.where(F.col("action").isin(*ACTIONS.values())).join(relations, "relation_id", "left"))
+
+
+def _decoded(joined: DataFrame) -> DataFrame:
     cols, vals, old = F.col("columns"), F.col("values"), F.col("old")
     delete = F.col("action") == "delete"
     shown = F.when(delete, old).otherwise(vals)
@@ -42,7 +48,7 @@ def decode_tuples(tuples: DataFrame, relations: DataFrame) -> DataFrame:
     fine = error.isNull()
     old_pk = F.when(fine & (F.col("action") == "update") & old.isNotNull(), _entries(cols, old, keyed))
     return joined.select(
-        *[c for c in ("xid", "seq") if c in tuples.columns],
+        *[c for c in ("xid", "seq") if c in joined.columns],
         F.when(F.col("action") == "insert", "c").when(F.col("action") == "update", "u").when(delete, "d").alias("op"),
         "table",
         F.when(fine, pk).alias("pk"),
@@ -72,20 +78,28 @@ def split_key_changes(changes: DataFrame) -> DataFrame:
     return changes.select(*named, F.explode(F.when(moved, both).otherwise(same)).alias("e")).select(*named, "e.*")
 
 
-def carry_key_changes(changes: DataFrame) -> DataFrame:
+def values_of(rows: DataFrame, table: str, keys: list[str], columns: list[str]) -> DataFrame:
+    """A replica's rows as (table, k, after): their key as canonical text and their other values as text."""
+    text = lambda cols: F.create_map(*[x for c in cols for x in (F.lit(c), F.col(c).cast("string"))]) if cols else F.create_map().cast("map<string,string>")
+    return rows.select(F.lit(table).alias("table"), canonical(text(sorted(keys))).alias("k"), text(columns).alias("after"))
+
+
+def carry_key_changes(changes: DataFrame, replica: DataFrame | None = None) -> DataFrame:
     """Fill what a moved row did not resend from the old key's last known values before the move.
 
-    Needs ``prev_pk`` and ``offset``. Values are looked up within these changes; what they don't hold stays unchanged.
+    Needs ``prev_pk`` and ``offset``. Values are looked up within these changes, then in the replica as it was before them
+    (see ``values_of``); what neither holds stays unchanged. Only rows of keys that were moved are looked at.
     """
-    moves = changes.where("prev_pk is not null and size(unchanged) > 0")
-    past = changes.where("after is not null").select(F.col("table").alias("t"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("pk")))).alias("k"), F.col("offset").alias("o"), F.explode("after").alias("c", "v"))
-    key = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("prev_pk"))))
+    moves = changes.where("prev_pk is not null and size(unchanged) > 0").select("table", "offset", canonical(F.col("prev_pk")).alias("k"), "unchanged")
+    past = changes.where("after is not null").select("table", canonical(F.col("pk")).alias("k"), F.col("offset").alias("o"), "after")
+    if replica is not None:
+        past = past.unionByName(replica.select("table", "k", F.lit(-1).cast("long").alias("o"), "after"))
     found = (
-        moves.select("table", "offset", key.alias("k"), F.explode("unchanged").alias("c"))
-        .join(past.withColumnRenamed("t", "table"), ["table", "k", "c"])
-        .where("o < offset")
-        .groupBy("table", "offset", "c").agg(F.max_by("v", "o").alias("v"))
-        .groupBy("table", "offset").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("carried"))
+        moves.join(past, ["table", "k"]).where("o < offset")
+        .select("table", "offset", "unchanged", "o", F.explode("after").alias("c", "v"))
+        .where(F.array_contains("unchanged", F.col("c")))
+        .groupBy("table", "offset", "c").agg(F.max_by(F.struct("v"), "o").alias("v"))
+        .groupBy("table", "offset").agg(F.map_from_entries(F.collect_list(F.struct("c", F.col("v.v")))).alias("carried"))
     )
     out = changes.join(found, ["table", "offset"], "left")
     use = (F.col("op") == "c") & F.col("carried").isNotNull()
@@ -97,18 +111,34 @@ def stamp_commits(changes: DataFrame, commits: DataFrame) -> DataFrame:
     return changes.drop("lsn", "commit_ts").join(commits.select("xid", "lsn", "commit_ts"), "xid")
 
 
-def stamp_by_window(changes: DataFrame, xid: str = "xid") -> DataFrame:
-    """The same where a commit is known by the largest LSN of its changes."""
-    w = Window.partitionBy(xid)
-    return changes.withColumn("commit_ts", F.max_by("commit_ts", "lsn").over(w)).withColumn("lsn", F.max("lsn").over(w))
+def relation_versions(raw: DataFrame) -> DataFrame:
+    """Relations with the part of the log, from one LSN to before the next, that each description holds for."""
+    w = Window.partitionBy("relation_id").orderBy("lsn")
+    first = F.when(F.row_number().over(w) > 1, F.col("lsn")).otherwise(F.lit(0))
+    return raw.where("kind = 'R'").select("relation_id", "relation.*", first.alias("since"), F.coalesce(F.lead("lsn").over(w), F.lit((1 << 63) - 1)).alias("before"))
+
+
+def assembled(raw: DataFrame) -> DataFrame:
+    """Raw messages of whole transactions as change rows, with ``error`` where a row can't be decoded.
+
+    Rows of a transaction carry its commit's LSN and time; those without a commit vanish, as do messages of no use here. A
+    row's own place in the log is its ``offset``, and an update that changes a key becomes a delete and a create.
+    """
+    commits = raw.where("kind = 'C'").select("xid", "lsn", "commit_ts")
+    action = F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv])
+    tuples = raw.where(F.col("kind").isin(*ACTIONS)).select("xid", F.col("lsn").alias("seq"), action[F.col("kind")].alias("action"), "relation_id", "values", "old")
+    versions = relation_versions(raw).withColumnRenamed("relation_id", "r")
+    named = tuples.join(versions, (F.col("relation_id") == F.col("r")) & (F.col("seq") >= F.col("since")) & (F.col("seq") < F.col("before")), "left")
+    rows = split_key_changes(stamp_commits(_decoded(named), commits))
+    return rows.withColumnRenamed("seq", "offset").withColumn("partition", F.lit(0)).drop("xid")
 
 
 def snapshot_events(rows: DataFrame, table: str, keys: list[str], start, types: dict[str, str] | None = None) -> DataFrame:
-    """A table's rows as snapshot events: lsn 0, one commit time, values as text."""
+    """A table's rows as snapshot events: lsn 0, one commit time, values as text, types by the source's names."""
     if not keys:
         raise ValueError(f"{table} has no key")
     text = lambda cols: F.create_map(*[x for c in cols for x in (F.lit(c), F.col(c).cast("string"))]) if cols else F.create_map().cast("map<string,string>")
-    types = types or {f.name: f.dataType.simpleString() for f in rows.schema}
+    types = types or {f.name: source_type(f.dataType) for f in rows.schema}
     rest = [c for c in rows.columns if c not in keys]
     return rows.select(
         F.lit(SNAPSHOT).alias("op"),

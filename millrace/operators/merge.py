@@ -18,7 +18,7 @@ def merge(target: DataFrame, folded: DataFrame, keys: Sequence[str], columns: Se
 
     A delete removes its row and one without a row is ignored; other changes insert or update, with
     ``still_unchanged`` columns keeping the target's value. With ``guard`` a change whose LSN is
-    below the row's is old and leaves it as it is. Keys join null-safe; both sides shuffle on them once.
+    below the row's is old and leaves it as it is; a snapshot row (LSN 0) so only replaces snapshot rows. Keys join null-safe; both sides shuffle on them once.
     """
     t, s = target.alias("t"), folded.alias("s")
     match = None
@@ -27,7 +27,7 @@ def merge(target: DataFrame, folded: DataFrame, keys: Sequence[str], columns: Se
         match = same if match is None else match & same
     joined = t.withColumn("__t", F.lit(True)).alias("t").join(s, match, "full_outer")
     has_t, has_s = F.col("t.__t").isNotNull(), F.col("s.op").isNotNull()
-    old = has_t & has_s & (F.col("s.lsn") > 0) & (F.col("s.lsn") < F.coalesce(F.col(f"t.{LSN}"), F.lit(0))) if guard else F.lit(False)
+    old = has_t & has_s & (F.col("s.lsn") < F.coalesce(F.col(f"t.{LSN}"), F.lit(0))) if guard else F.lit(False)
     use = has_s & ~old
     kept = joined.where((use & (F.col("s.op") != "d")) | (~use & has_t))
     key = [F.coalesce(F.col(f"t.{quoted(k)}"), F.col(f"s.{quoted(k)}")).alias(k) for k in keys]

@@ -11,9 +11,12 @@ from millrace import control, schema
 from millrace.functions import embed, text
 from millrace.operators import codec, documents, ingest, latency, retrieve, usage, verify
 from millrace.operators import fold as folds
-from millrace.operators.merge import APPLY_TS, COMMIT_TS, LSN
+from millrace.operators.merge import APPLY_TS, COMMIT_TS, LSN, empty_replica, merge
 from millrace.plans import workload as w
+from millrace.sources import registry
+from millrace.sources.errors import read_errors
 from millrace.streaming.ratelimit import limited
+from millrace.streaming.replicate import from_raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -180,7 +183,7 @@ def merge_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH ch AS (SELECT o_custkey AS k, o_orderkey AS pos, CASE WHEN o_orderkey % 97 = 0 THEN 'd' ELSE 'u' END AS op, CAST(round(CAST(o_totalprice AS DECIMAL(18, 2)) * 0.01, 2) AS DOUBLE) AS bal FROM orders WHERE o_orderkey % 97 = 0 OR o_orderkey % 10 = 0), "
+    "WITH ch AS (SELECT o_custkey AS k, o_orderkey AS pos, CASE WHEN o_orderkey % 97 = 0 THEN 'd' ELSE 'u' END AS op, CAST(round(CAST(o_totalprice AS DECIMAL(18, 2)) * 0.01, 2) AS DOUBLE) AS bal FROM orders), "
     "l AS (SELECT k, arg_max(op, pos) AS op, arg_max(bal, pos) AS bal, max(pos) FILTER (op = 'd') AS dead FROM ch GROUP BY k) "
     "SELECT coalesce(c_custkey, k) AS c_custkey, CASE WHEN l.k IS NULL THEN c_acctbal ELSE bal END AS c_acctbal, CASE WHEN TRUE THEN c_name END AS c_name FROM customer FULL JOIN l ON c_custkey = k WHERE l.k IS NULL OR op <> 'd'"
 )
@@ -222,7 +225,7 @@ _REGION = "r_regionkey || '|' || r_name"
 def verify_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables against equal copies."""
     tables = {n: (w.table(spark, sf_dir, n), [k]) for n, k in (("nation", "n_nationkey"), ("region", "r_regionkey"))}
-    return verify.compare(tables, tables)
+    return verify.compare(tables, tables, exact=True)
 
 
 @query(
@@ -234,7 +237,7 @@ def verify_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against a copy with a changed and a missing row, and one that can't be read."""
     n = w.table(spark, sf_dir, "nation")
     bad = n.where("n_nationkey <> 5").withColumn("n_name", F.when(F.col("n_nationkey") == 3, "X").otherwise(F.col("n_name")))
-    return verify.compare({"nation": (n, ["n_nationkey"]), "region": (w.table(spark, sf_dir, "region"), ["r_regionkey"])}, {"nation": (bad, ["n_nationkey"])})
+    return verify.compare({"nation": (n, ["n_nationkey"]), "region": (w.table(spark, sf_dir, "region"), ["r_regionkey"])}, {"nation": (bad, ["n_nationkey"])}, exact=True)
 
 
 _APPLIED = "a AS (SELECT *, ts + (event_id % 40) * INTERVAL 100 MILLISECOND + INTERVAL 500 MILLISECOND AS applied, ((event_id % 40) * 100000 + 500000) / 1e6 AS s FROM events)"
@@ -314,8 +317,8 @@ def merge_ms_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, props AS message FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 100")
 def error_log_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest errors."""
-    return w.table(spark, sf_dir, "events").where("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", F.col("props").alias("message"))
+    """The newest errors of a written error log."""
+    return read_errors(spark, w.error_log(spark, sf_dir)).select(F.col("errorDetail").cast("long").alias("event_id"), "message")
 
 
 _TRIAGE = [(1, 0, 10, 0, 0, 20.0, 20.0, True), (2, 0, 0, 5, 50, 20.0, 21.0, True), (3, 0, 0, 5, 50, 20.0, 2000.0, True), (4, 9, 9, 9, 9, 1.0, 1.0, True), (5, 0, 10, 0, 10, None, None, False)]
@@ -373,26 +376,40 @@ def render_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIM = 64
 
 
-@query()
+_FEATURES = (
+    "w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{Nd}]+'), lambda x: x <> '') AS ws FROM documents), "
+    "f AS (SELECT doc_id, unnest(ws) AS feature, 1.0 AS weight FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])), 0.5 FROM w), "
+    "g AS (SELECT doc_id, feature, sum(weight) AS weight FROM f GROUP BY ALL), "
+    f"h AS (SELECT feature, list_reduce(list_prepend({embed.FNV_OFFSET}::HUGEINT, list_transform(range(0, octet_length(encode(feature))), lambda i: ('0x' || substr(hex(encode(feature)), 2 * i + 1, 2))::HUGEINT)), "
+    f"lambda a, x: (xor(a, x) * {embed.FNV_PRIME}) % 18446744073709551616) AS h FROM (SELECT DISTINCT feature FROM g)), "
+    f"s AS (SELECT doc_id, (h % {DIM})::BIGINT AS slot, CAST(sum(CASE WHEN h >= 9223372036854775808 THEN -weight ELSE weight END) AS DOUBLE) AS v FROM g JOIN h USING (feature) GROUP BY ALL), "
+    "n AS (SELECT doc_id, sqrt(sum(v * v)) AS size FROM s GROUP BY doc_id), "
+    f"e AS (SELECT d.doc_id, r.range AS slot, CAST(CASE WHEN coalesce(size, 0) = 0 THEN (CASE WHEN r.range = 0 THEN 1 ELSE 0 END) ELSE coalesce(v, 0) / size END AS FLOAT) AS x "
+    f"FROM documents d CROSS JOIN range({DIM}) r LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id AND s.slot = r.range)"
+)
+
+
+@query("WITH " + _FEATURES + " SELECT doc_id, string_agg(CAST(round(CAST(x AS DOUBLE) * 10000) AS BIGINT), ',' ORDER BY slot) AS embedding FROM e GROUP BY doc_id")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as feature-hashed vectors; iterated hashing is not for SQL (tested against a plain version)."""
-    return w.table(spark, sf_dir, "documents").select("doc_id", embed.hash_embed(F.col("text"), DIM).alias("embedding"))
+    """Documents as feature-hashed vectors, written as ten thousandths."""
+    rows = w.table(spark, sf_dir, "documents").select("doc_id", embed.hash_embed(F.col("text"), DIM).alias("v"))
+    return rows.select("doc_id", F.array_join(F.transform("v", lambda x: F.round(x.cast("double") * 10000).cast("long")), ",").alias("embedding"))
 
 
 @query(
     "SELECT question_id, vec_id, CAST(pos AS INTEGER) AS pos, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, vec_id) AS pos FROM "
-    "(SELECT q.vec_id AS question_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5 AND e.vec_id >= 5)) WHERE pos <= 5"
+    "(SELECT q.vec_id AS question_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)) WHERE pos <= 5"
 )
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest vectors of five queries, exactly."""
+    """The nearest other vectors of every twentieth vector, exactly, among all."""
     return _near(spark, sf_dir).select("question_id", F.col("key").alias("vec_id"), "pos", F.round("score", 6).alias("score"))
 
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = w.table(spark, sf_dir, "embeddings")
-    docs = e.where("vec_id >= 5").select(F.col("vec_id").alias("key"), "embedding", F.lit(None).cast("timestamp").alias("updated_at"))
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("question_id"), "embedding")
-    return retrieve.top(retrieve.vector_scores(docs, q), docs)
+    docs = e.select(F.col("vec_id").alias("key"), "embedding", F.lit(None).cast("timestamp").alias("updated_at"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    return retrieve.top(retrieve.vector_scores(docs, q).where("key <> question_id"), docs)
 
 
 _KEYWORDS = (
@@ -459,9 +476,15 @@ def poke_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("id", control.scope_of(F.col("id")).alias("scope"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS client, CAST(epoch_us(ts) AS BIGINT) AS at, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), "
+    "r AS (SELECT client, at, id, n, TRUE AS accepted, [at] AS kept FROM e WHERE n = 1 UNION ALL "
+    "SELECT e.client, e.at, e.id, e.n, len(list_filter(r.kept, lambda x: x > e.at - 21600000000)) < 3, "
+    "CASE WHEN len(list_filter(r.kept, lambda x: x > e.at - 21600000000)) < 3 THEN list_append(list_filter(r.kept, lambda x: x > e.at - 21600000000), e.at) ELSE r.kept END "
+    "FROM r JOIN e ON e.client = r.client AND e.n = r.n + 1) SELECT client, at, id, accepted FROM r"
+)
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most three accepted events a user in six hours; acceptance is recursive (tested against a plain version)."""
+    """At most three accepted events a user in six hours; acceptance is recursive."""
     e = w.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("client"), micros("ts").alias("at"), F.col("event_id").alias("id"))
     return limited(e, 3, 6 * 3_600_000_000)
 
@@ -479,3 +502,131 @@ def last_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's last three changes."""
     out = usage.last_rows(w.table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("pos")), "user_id", "pos", 3)
     return out.withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("pos"))).cast("long"))
+
+
+_WAL = FOLD.replace("AS unsent FROM events)", "AS unsent FROM events WHERE (event_id // 7) % 11 <> 0)")
+
+
+@query("WITH " + _WAL + ", c AS (SELECT event_id // 7 AS xid, max(event_id) * 2 + 2 AS lsn, arg_max(CAST(epoch_us(ts) AS BIGINT), event_id) AS at_us FROM events GROUP BY 1) SELECT user_id, event_type, value, props, c.at_us, c.lsn FROM folded JOIN c ON c.xid = pos // 7 WHERE op <> 'd'")
+def wal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw replication messages decoded, stamped with their commits, folded and merged."""
+    changes, _ = from_raw(w.raw_events(spark, sf_dir))
+    return _users(w.applied(w.no_users(spark), changes))
+
+
+@query("SELECT CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey + 10000000 ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'M' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders")
+def moved_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that moved to another key keep what was not resent."""
+    changes, _ = from_raw(w.raw_moves(spark, sf_dir))
+    folded = folds.typed(folds.key_columns(folds.fold(ingest.carry_key_changes(changes), sorted(w.ORDER_COLUMNS)), w.ORDER_KEYS), w.ORDER_COLUMNS)
+    return merge(empty_replica(spark, w.ORDER_KEYS, w.ORDER_COLUMNS), folded, ["o_orderkey"], sorted(w.ORDER_COLUMNS), F.lit(w.START)).select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+_CUSTOMER = "c_custkey || '|' || CAST(c_acctbal AS DECIMAL(38, 6)) || '|' || c_mktsegment || '|' || c_name || '|' || c_nationkey"
+_ORDERS = "o_orderkey || '|' || o_custkey || '|' || CAST(epoch_us(o_orderdate) AS BIGINT) || '|' || o_orderpriority || '|' || o_orderstatus || '|' || CAST(o_totalprice AS DECIMAL(38, 6))"
+_CHECKED = (("customer", _CUSTOMER, "c_custkey"), ("orders", _ORDERS, "o_orderkey"))
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> dict:
+    return {n: (w.table(spark, sf_dir, n), [k]) for n, _, k in _CHECKED}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, * FROM ({_checksum_sql(n, c, k)})" for n, c, k in _CHECKED).replace("AS n,", "AS n_rows,"))
+def table_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and ordered digests of customers and orders."""
+    a, b = (verify.checksum(df, keys).select(F.lit(n).alias("table_name"), "*") for n, (df, keys) in _checked(spark, sf_dir).items())
+    return a.unionByName(b)
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows, CAST(sum(h) AS VARCHAR) AS hash_sum, bit_xor(h) AS hash_xor FROM (SELECT ('0x' || left(md5({c}), 15))::BIGINT AS h FROM {n})" for n, c, _ in _CHECKED))
+def additive_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and order-free sums of the rows' hashes, of customers and orders."""
+    a, b = (verify.additive_checksum(df, keys).select(F.lit(n).alias("table_name"), "*") for n, (df, keys) in _checked(spark, sf_dir).items())
+    return a.unionByName(b)
+
+
+@query(
+    "SELECT 'customer' AS table_name, (SELECT count(*) FROM customer) AS source_rows, (SELECT count(*) FROM customer) AS replica_rows, TRUE AS matches UNION ALL "
+    "SELECT 'orders', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders), FALSE"
+)
+def verify_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers against an equal copy in another order, orders against one with a changed price."""
+    tables = _checked(spark, sf_dir)
+    (c, ck), (o, ok) = tables["customer"], tables["orders"]
+    first = o.agg(F.min("o_orderkey")).first()[0]
+    changed = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") == first, F.col("o_totalprice") + 0.01).otherwise(F.col("o_totalprice")))
+    out = verify.compare(tables, {"customer": (c.repartition(5), ck), "orders": (changed, ok)})
+    return out.select("table_name", "source_rows", "replica_rows", "matches")
+
+
+@query(
+    "WITH d AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, count(*) FILTER (event_type = 'view') AS reader, count(*) FILTER (event_type = 'click') AS backlog, quantile_cont(value, 0.5) AS ms FROM events GROUP BY 1), "
+    "p AS (SELECT *, lag(reader) OVER (ORDER BY day) AS r0, lag(backlog) OVER (ORDER BY day) AS b0, lag(ms) OVER (ORDER BY day) AS m0 FROM d) "
+    "SELECT strftime(day, '%Y-%m-%d') AS day, CASE WHEN backlog > b0 AND coalesce(ms > 1.2 * m0, FALSE) THEN 'destination' WHEN backlog > b0 THEN 'writer' WHEN reader > r0 THEN 'reader or source' ELSE 'none' END AS bottleneck FROM p WHERE r0 IS NOT NULL"
+)
+def lag_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the bottleneck was, day by day, from each day's reading and the one before: one row a day."""
+    e = w.table(spark, sf_dir, "events").withColumn("day", F.to_date(F.col("ts").cast("timestamp")))
+    d = e.groupBy("day").agg(F.count_if(F.col("event_type") == "view").alias("reader_now"), F.count_if(F.col("event_type") == "click").alias("backlog_now"), F.expr("percentile_cont(0.5) within group (order by value)").alias("merge_now_ms"))
+    before = d.select(F.date_add("day", 1).alias("day"), *[F.col(f"{c}_now{x}").alias(f"{c}_before{x}") for c, x in (("reader", ""), ("backlog", ""), ("merge", "_ms"))])
+    return usage.triage(d.join(before, "day").withColumn("writer_reachable", F.lit(True))).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "bottleneck")
+
+
+def _animals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as animals and nations as watering holes."""
+    c = w.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("animal_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("species"))
+    return c, w.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("watering_hole_id"), F.col("n_name").alias("name"))
+
+
+_LOG = "'Ranger log: ' || c_name || ' the ' || replace(c_mktsegment, '_', ' ') || ' seen resting alone at ' || n_name || ', the shallows.'"
+
+
+@query(f"SELECT CAST(9001 AS BIGINT) AS observation_id, CAST(c_custkey AS BIGINT) AS animal_id, CAST(n_nationkey AS BIGINT) AS watering_hole_id, {_LOG} AS notes FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 1), (SELECT * FROM nation ORDER BY n_nationkey LIMIT 1)")
+def demo_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A demonstration row in its default shape: first animal, first watering hole."""
+    animals, holes = _animals(spark, sf_dir)
+    return control.default_row(animals, holes, F.lit(9001).cast("long"), F.lit("the shallows"), F.lit(w.START).cast("timestamp")).drop("observed_at")
+
+
+@query(f"SELECT o_orderkey AS observation_id, CASE WHEN o_orderkey % 2 = 0 THEN 'seen with calves, the shallows.' ELSE {_LOG} END AS notes FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = o_orderkey % 30")
+def moved_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations moved to another place; notes without a place are written anew from the row's own names, where both are known."""
+    animals, holes = _animals(spark, sf_dir)
+    k = F.col("o_orderkey")
+    rows = w.table(spark, sf_dir, "orders").select(k.alias("observation_id"), F.col("o_custkey").alias("animal_id"), (k % 30).alias("watering_hole_id"), F.when(k % 2 == 0, "seen with calves, old lake. ").otherwise("unclear").alias("notes"))
+    return control.moved_rows(rows, animals, holes, F.lit("the shallows")).select("observation_id", "notes")
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS source, (SELECT count(*) FROM orders WHERE o_orderkey % 97 <> 0) AS replica")
+def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a table on both sides, as a page shows them."""
+    o = w.table(spark, sf_dir, "orders")
+    return spark.createDataFrame([tuple(control.counted(o, o.where("o_orderkey % 97 <> 0")).values())], "source long, replica long")
+
+
+@query(
+    "WITH a AS (SELECT 't' || (range // 5) AS \"table\", range % 5 AS number, 'c' || (range % 5) AS \"column\", range % 7 = 6 AS dropped FROM range(500)), i AS (SELECT 't' || (range // 2) AS \"table\", range % 2 AS number, 1 - range % 2 AS place FROM range(190)) "
+    "SELECT \"table\", \"column\", 'text' AS type, place IS NOT NULL AS is_key, place FROM a LEFT JOIN i USING (\"table\", number) WHERE NOT dropped"
+)
+def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of a catalog's tables with their places in the keys."""
+    n = F.col("id")
+    name = lambda x: F.concat(F.lit("t"), F.floor(x).cast("string")).alias("table")
+    attributes = spark.range(500).select(name(n / 5), (n % 5).alias("number"), F.concat(F.lit("c"), n % 5).alias("column"), F.lit("text").alias("type"), (n % 7 == 6).alias("dropped"))
+    return registry.catalog_columns(attributes, spark.range(190).select(name(n / 2), (n % 2).alias("number"), (1 - n % 2).alias("place")))
+
+
+@query("SELECT range AS id, left(repeat(md5(CAST(range AS VARCHAR)), 7), 200) AS payload FROM range(10000)")
+def generated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filler rows for load."""
+    return w.generated(spark, 10_000)
+
+
+@query()
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword and vector hits of the benchmark's questions over all documents, merged (tested against a plain version)."""
+    hits, docs = _words(spark, sf_dir)
+    vectors = docs.select("key", embed.hash_embed(F.col("text"), DIM).alias("embedding"), "updated_at")
+    asked = w.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), embed.hash_embed(F.col("text"), DIM).alias("embedding"))
+    near = retrieve.top(retrieve.vector_scores(vectors, asked), docs)
+    return retrieve.hybrid(hits, near).select("question_id", F.col("key").alias("doc_id"), "rank", "found_by")

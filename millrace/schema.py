@@ -76,6 +76,13 @@ def replica_type(name: Column) -> Column:
     return F.when(name.isin(*KEPT_TYPES), name).otherwise(F.lit("text"))
 
 
+def source_type(kind: T.DataType) -> str:
+    """The source's name for a Spark type; ``text`` for those it has none for."""
+    if isinstance(kind, T.DecimalType):
+        return "numeric"
+    return next((n for n, t in SPARK_TYPES.items() if t == kind), "text")
+
+
 def spark_type(name: str) -> T.DataType:
     return SPARK_TYPES.get(name, T.StringType())
 

@@ -11,10 +11,13 @@ from millrace.operators.codec import encoded
 MESSAGES = T.StructType().add("key", T.StringType()).add("value", T.StringType()).add("partition", T.IntegerType()).add("offset", T.LongType())
 
 
-def publish(changes: DataFrame, path: str, partitions: int = 4) -> None:
-    """Append messages; rows of one key go to one log partition. ``offset`` must order each key's changes."""
+def publish(changes: DataFrame, path: str, partitions: int = 4, events: int = 0) -> None:
+    """Append messages; rows of one key go to one log partition. ``offset`` must order each key's changes.
+
+    Files hold at most ``events`` messages, if that is given, so that a stream of so many files a batch has bounded batches.
+    """
     messages = encoded(changes).withColumn("partition", F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int"))
-    messages.select(*MESSAGES.names).repartition(partitions, "partition").write.mode("append").parquet(path)
+    messages.select(*MESSAGES.names).repartition(partitions, "partition").sortWithinPartitions("partition", "offset").write.option("maxRecordsPerFile", events).mode("append").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.schema import ordered_columns
 
@@ -55,9 +56,28 @@ class Registry:
 
 
 def catalog_tables(spark: SparkSession, database: str = "default") -> list[str]:
+    """Names of a database's tables, in order."""
     return sorted(f"{database}.{t.name}" for t in spark.catalog.listTables(database) if not t.isTemporary)
 
 
+def catalog_columns(attributes: DataFrame, indexes: DataFrame) -> DataFrame:
+    """(table, column, type, is_key, place) from a catalog's attributes and primary indexes.
+
+    attributes(table, number, column, type, dropped); indexes(table, number, place) with the place of a column in the key. Dropped
+    columns are left out; columns outside the key have no place. A table without a key has no key columns.
+    """
+    held = attributes.where(~F.col("dropped"))
+    return held.join(indexes, ["table", "number"], "left").select("table", "column", "type", F.col("place").isNotNull().alias("is_key"), "place")
+
+
+def tables_of(columns: DataFrame) -> dict[str, Table]:
+    """Tables from ``catalog_columns``: keys in the index's order. Tables without a key can't be replicated and raise."""
+    held: dict[str, list] = {}
+    for r in columns.orderBy("table", F.asc_nulls_last("place"), "column").collect():
+        held.setdefault(r["table"], []).append(r)
+    return {t: Table(t, {r["column"]: r["type"] for r in rows if r["is_key"]}, {r["column"]: r["type"] for r in rows if not r["is_key"]}) for t, rows in held.items()}
+
+
 _UNITS = {"ms": 0.001, "s": 1.0, "m": 60.0, "h": 3600.0}
 
 
@@ -75,13 +95,30 @@ def whole_number(text: str | None, default: int) -> int:
 
 @dataclass(frozen=True)
 class Settings:
-    """What a deployment can set; read once from the environment."""
+    """What a deployment can set; read once from the environment, empty texts and malformed numbers counting as unset."""
 
+    source: str = "wal"
+    store: str = "store"
+    checkpoints: str = "checkpoints"
+    broker: str = "localhost:9092"
     topic: str = "cdc.events"
+    slot: str = "millrace"
+    publication: str = ""
+    error_log: str = "errors.jsonl"
+    hold: str = "hold"
+    token: str = ""
+    origins: str = "http://localhost:3000"
+    rate_limit: int = 30
     flush_events: int = 500
     flush_seconds: float = 2.0
     vector_flush_events: int = 200
-    vector_dim: int = 1536
+    vector_flush_seconds: float = 2.0
+    embed_provider: str = "hash"
+    embed_model: str = ""
+    embed_url: str = ""
+    embed_key: str = ""
+    embed_dim: int = 1536
+    embed_chunk: int = 64
     snapshot_seconds: float = 300.0
     partitions: int = 4
 
@@ -91,7 +128,35 @@ class Settings:
         out = {}
         for name, of in cls.__dataclass_fields__.items():
             text = env.get(prefix + name.upper())
-            if text is None:
+            if not text:
                 continue
             out[name] = text if of.type == "str" else whole_number(text, of.default) if of.type == "int" else seconds_of(text, of.default)
         return cls(**out)
+
+    def tables(self, registry: Registry) -> list[str]:
+        """The tables that the publication names (separated by commas), or all."""
+        wanted = {t.strip() for t in self.publication.split(",") if t.strip()}
+        if missing := wanted - set(registry.published()):
+            raise ValueError(f"not registered: {', '.join(sorted(missing))}")
+        return [t for t in registry.published() if not wanted or t in wanted]
+
+    def stream(self, spark: SparkSession):
+        """The topic, in batches by number of events or age."""
+        from millrace.sources.log import stream_topic
+
+        return stream_topic(spark, self.broker, self.topic, self.flush_events, f"{self.flush_seconds:g}s")
+
+    def wal(self, spark: SparkSession):
+        """The recorded log, in batches by number of events; start it with ``every`` for their age."""
+        from millrace.sources.wal import stream_wal
+
+        return stream_wal(spark, self.source, f"{self.store}/slots", self.slot, self.flush_events)
+
+    @property
+    def every(self) -> str:
+        return f"{self.flush_seconds:g} seconds"
+
+    def embedder(self, transport=None):
+        from millrace.functions.embed import make_embedder
+
+        return make_embedder(self.embed_provider, self.embed_dim, self.embed_model, self.embed_url, self.embed_key, transport)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,15 +17,23 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 RESULT = "client string, at long, id long, accepted boolean"
 
 
-def admit(times: list[int], recent: list[int], limit: int, window: int) -> tuple[list[bool], list[int]]:
-    """Which of the ordered times are accepted, given accepted ones before; and those that still count."""
-    out = []
-    for t in times:
-        recent = [x for x in recent if x > t - window]
-        out.append(len(recent) < limit)
-        if out[-1]:
-            recent.append(t)
-    return out, recent
+def admit(times: np.ndarray, recent: list[int], limit: int, window: int) -> tuple[np.ndarray, list[int]]:
+    """Which of the ordered times are accepted, given accepted ones before; and those that still count.
+
+    Requests up to the limit are taken as they come; from then on the next one is the first that is a window younger than
+    the ``limit``-th last, and what lies between is passed over at once.
+    """
+    out = np.zeros(len(times), bool)
+    at = 0
+    while at < len(times) and limit > 0:
+        if len(recent) >= limit:
+            at = max(at, int(np.searchsorted(times, recent[-limit] + window, "left")))
+            if at == len(times):
+                break
+        out[at] = True
+        recent = [*recent[1 - limit :], int(times[at])] if limit > 1 else [int(times[at])]
+        at += 1
+    return out, [x for x in recent if len(times) == 0 or x > times[-1] - window]
 
 
 def limited(requests: DataFrame, limit: int, window_us: int = 60_000_000) -> DataFrame:
@@ -38,13 +47,17 @@ def limited(requests: DataFrame, limit: int, window_us: int = 60_000_000) -> Dat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client, recent = object(), []
         for df in batches:
+            names, times = df["client"].to_numpy(), df["at"].to_numpy()
+            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(df)]
             accepted = []
-            for c, t in zip(df["client"], df["at"], strict=True):
-                if c != client:
-                    client, recent = c, []
-                (ok,), recent = admit([t], recent, limit, window_us)
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                if names[a] != client:
+                    client, recent = names[a], []
+                ok, recent = admit(times[a:b], recent, limit, window_us)
                 accepted.append(ok)
-            yield df.assign(accepted=accepted)
+            yield df.assign(accepted=np.concatenate(accepted) if accepted else [])
 
     return ordered.mapInPandas(run, RESULT)
 
@@ -55,7 +68,7 @@ def limited_stream(requests: DataFrame, limit: int, window_us: int = 60_000_000)
     def run(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         recent = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["at", "id"])
-        accepted, recent = admit(rows["at"].tolist(), recent, limit, window_us)
+        accepted, recent = admit(rows["at"].to_numpy(), recent, limit, window_us)
         state.update((recent,))
         yield rows[["client", "at", "id"]].assign(accepted=accepted)
 

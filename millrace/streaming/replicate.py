@@ -10,13 +10,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.codec import decoded, rejected
+from millrace.functions.embed import check_dim
+from millrace.operators import codec
 from millrace.operators.documents import deleted, to_render, vector_rows
 from millrace.operators.fold import fold, key_columns, typed
-from millrace.operators.ingest import snapshot_events
+from millrace.operators.ingest import assembled, carry_key_changes, snapshot_events, values_of
 from millrace.operators.merge import empty_replica, evolve, merge, upsert
 from millrace.sources.registry import Registry, Table
-from millrace.streaming.store import Store
+from millrace.streaming.store import Conflict, Store
+
+#: How often a batch starts over when another writer has changed one of its tables.
+ATTEMPTS = 5
 
 
 @dataclass
@@ -29,57 +33,91 @@ class Flush:
     at: float
 
 
+def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Change rows and rejected messages of the change log."""
+    return codec.decoded(messages), codec.rejected(messages)
+
+
+def from_raw(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Change rows and rejected rows of raw replication messages."""
+    rows = assembled(raw)
+    return rows.where("error is null").drop("error"), rows.where("error is not null")
+
+
 class Replicator:
     """Folds and merges batches of changes into the store's replicas."""
 
-    def __init__(self, store: Store, registry: Registry, query: str, clock: Callable[[], float] = time.time, on_flush: Callable[[Flush], None] | None = None, on_reject: Callable[[DataFrame], None] | None = None):
+    def __init__(
+        self, store: Store, registry: Registry, query: str, clock: Callable[[], float] = time.time, on_flush: Callable[[Flush], None] | None = None,
+        on_reject: Callable[[DataFrame], None] | None = None, decode: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = from_messages,
+    ):
         self.store, self.registry, self.query, self.clock = store, registry, query, clock
-        self.on_flush, self.on_reject = on_flush, on_reject
+        self.on_flush, self.on_reject, self.decode = on_flush, on_reject, decode
 
-    def merged(self, table: Table, changes: DataFrame) -> tuple[DataFrame, list[str], list[int]]:
-        """The touched buckets of a table after its changes."""
+    def merged(self, table: Table, changes: DataFrame, base: dict) -> tuple[DataFrame, list[str], list[int] | None]:
+        """The touched buckets of a table after its changes; rows that moved to another key bring along what was not resent."""
         keys, rest = list(table.keys), table.columns
-        folded = typed(key_columns(fold(changes, list(rest)), table.keys), rest).persist()
-        touched = self.store.touched(folded, keys)
-        target = self.store.read(table.name, touched) if self.store.exists(table.name) else empty_replica(self.store.spark, table.keys, rest)
+        touched = self.store.touched(key_columns(changes.select("pk"), table.keys), keys, table.name, base)
+        target = self.store.read(table.name, touched, base) if self.store.exists(table.name, base) else empty_replica(self.store.spark, table.keys, rest)
         target = evolve(target, rest)
+        if "prev_pk" in changes.columns:
+            changes = carry_key_changes(changes, values_of(target, table.name, keys, list(rest)))
+        folded = typed(key_columns(fold(changes, list(rest)), table.keys), rest)
         now = F.timestamp_micros(F.lit(int(self.clock() * 1e6)))
         return merge(target, folded, keys, sorted(rest), now), keys, touched
 
-    def apply(self, changes: DataFrame, batch: int | None = None) -> bool:
+    def _once(self, changes: DataFrame, held: list[str], query: str, batch: int | None) -> bool:
+        base = self.store.manifest()
+        if batch is not None and self.store.committed(query, base) >= batch:
+            return False
+        out, began = {}, {}
+        for name in held:
+            began[name] = time.monotonic()
+            out[name] = self.merged(self.registry.tables[name], changes.where(F.col("table") == name), base)
+        done = self.store.commit(out, query, batch, self.clock(), base)
+        for name, start in began.items():
+            if self.on_flush:
+                self.on_flush(Flush(name, -1 if batch is None else batch, time.monotonic() - start, self.clock()))
+        return done
+
+    def apply(self, changes: DataFrame, batch: int | None = None, query: str | None = None) -> bool:
         """Merge a batch of change rows into all tables and commit once; False if it was committed before."""
-        if batch is not None and self.store.committed(self.query) >= batch:
+        query = query or self.query
+        if batch is not None and self.store.committed(query) >= batch:
             return False
         changes = changes.persist()
-        out, flushes = {}, []
         try:
-            held = sorted(r[0] for r in changes.select("table").distinct().collect())
-            for name in held:
-                if name not in self.registry.tables:
-                    continue
-                began = time.monotonic()
-                out[name] = self.merged(self.registry.tables[name], changes.where(F.col("table") == name))
-                flushes.append((name, began))
-            done = self.store.commit(out, self.query, batch, self.clock())
+            held = sorted(r[0] for r in changes.select("table").distinct().collect() if r[0] in self.registry.tables)
+            for attempt in range(ATTEMPTS):
+                try:
+                    return self._once(changes, held, query, batch)
+                except Conflict:
+                    if attempt + 1 == ATTEMPTS:
+                        raise
         finally:
             changes.unpersist()
-        for name, began in flushes:
-            if self.on_flush:
-                self.on_flush(Flush(name, -1 if batch is None else batch, time.monotonic() - began, self.clock()))
-        return done
+        raise AssertionError("unreachable")
 
     def batch(self, messages: DataFrame, batch: int) -> None:
         """A ``foreachBatch`` sink: Spark records the batch as done only after this has committed."""
+        changes, rejected = self.decode(messages)
         if self.on_reject:
-            self.on_reject(rejected(messages))
-        self.apply(decoded(messages), batch)
+            self.on_reject(rejected)
+        self.apply(changes, batch)
 
     def backfill(self, tables: Mapping[str, DataFrame], start) -> None:
-        """Snapshot rows before any stream starts; a crash leaves nothing and a repeat changes nothing."""
+        """Snapshot rows before any stream starts.
+
+        A table's backfill is a batch of its own: a crash leaves nothing of it and a repeat is skipped, so it neither undoes
+        what streams have changed since nor brings back what they have deleted.
+        """
         for name, rows in sorted(tables.items()):
             t = self.registry.tables[name]
             events = snapshot_events(rows.select(*t.ordered), name, list(t.keys), start)
-            self.apply(events.withColumn("partition", F.lit(0)).withColumn("offset", F.lit(0).cast("long")))
+            self.apply(events.withColumn("partition", F.lit(0)).withColumn("offset", F.lit(0).cast("long")), 0, f"backfill of {name}")
+
+    def backfilled(self, name: str) -> bool:
+        return self.store.committed(f"backfill of {name}") >= 0
 
     def start(self, stream: DataFrame, checkpoint: str, every: str | None = None, gate: Gate | None = None):
         """Run over a stream of messages; without ``every``, until what is there has been read."""
@@ -97,29 +135,69 @@ class DocumentWriter:
 
     VECTORS = "search.documents"
 
-    def __init__(self, store: Store, registry: Registry, query: str, embedded: Mapping[str, list[str]], render: Callable[[DataFrame], DataFrame], embed, clock: Callable[[], float] = time.time):
+    def __init__(self, store: Store, registry: Registry, query: str, embedded: Mapping[str, list[str]], render: Callable[[DataFrame], DataFrame], embed, clock: Callable[[], float] = time.time, embedder=None):
+        """``embedder``, if given, is asked for its dimension, which must be that of the stored vectors."""
         self.store, self.registry, self.query = store, registry, query
-        self.embedded, self.render, self.embed, self.clock = embedded, render, embed, clock
+        self.embedded, self.render, self.embed, self.clock, self.embedder = embedded, render, embed, clock, embedder
+        if embedder is not None and (dim := store.meta(self.VECTORS).get("dim")):
+            check_dim(dim, embedder)
+
+    def _once(self, folded: DataFrame, batch: int) -> None:
+        base = self.store.manifest()
+        now = F.timestamp_micros(F.lit(int(self.clock() * 1e6)))
+        rows = vector_rows(self.render(to_render(folded, self.embedded)), self.embed(F.col("text")), now)
+        keys = ["table", "pk_key"]
+        touched = self.store.touched(folded, keys, self.VECTORS, base)
+        target = self.store.read(self.VECTORS, touched, base) if self.store.exists(self.VECTORS, base) else self.store.spark.createDataFrame([], rows.schema)
+        notes = {self.VECTORS: {"dim": self.embedder.dim}} if self.embedder is not None else None
+        self.store.commit({self.VECTORS: (upsert(target, rows, deleted(folded, self.embedded), keys), keys, touched)}, self.query, batch, self.clock(), base, notes)
 
     def batch(self, messages: DataFrame, batch: int) -> None:
         if self.store.committed(self.query) >= batch:
             return
-        changes = decoded(messages).where(F.col("table").isin(*self.embedded))
+        changes = codec.decoded(messages).where(F.col("table").isin(*self.embedded))
         columns = sorted({c for t in self.embedded for c in self.registry.tables[t].columns})
         folded = fold(changes, columns).persist()
-        now = F.timestamp_micros(F.lit(int(self.clock() * 1e6)))
-        rows = vector_rows(self.render(to_render(folded, self.embedded)), self.embed(F.col("text")), now)
-        keys = ["table", "pk_key"]
-        touched = self.store.touched(folded, keys)
-        target = self.store.read(self.VECTORS, touched) if self.store.exists(self.VECTORS) else self.store.spark.createDataFrame([], rows.schema)
-        self.store.commit({self.VECTORS: (upsert(target, rows, deleted(folded, self.embedded), keys), keys, touched)}, self.query, batch, self.clock())
-        folded.unpersist()
+        try:
+            for attempt in range(ATTEMPTS):
+                try:
+                    return self._once(folded, batch)
+                except Conflict:
+                    if attempt + 1 == ATTEMPTS:
+                        raise
+        finally:
+            folded.unpersist()
 
     def start(self, stream: DataFrame, checkpoint: str, every: str | None = None):
         writer = stream.writeStream.queryName(self.query).option("checkpointLocation", checkpoint).foreachBatch(self.batch)
         return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+class SnapshotLoop:
+    """Refreshes the copy of a table that batch answers come from: soon after the start, then in turn."""
+
+    def __init__(self, store: Store, table: str, copy: str | None = None, first: float = 20.0, every: float = 300.0, clock: Callable[[], float] = time.time):
+        self.store, self.table, self.copy = store, table, copy or table + ".snapshot"
+        self.first, self.every, self.clock = first, every, clock
+        self.due = clock() + first
+
+    def tick(self) -> bool:
+        """Refresh if it is time; a table that isn't there yet is tried again next time."""
+        if self.clock() < self.due:
+            return False
+        self.due = self.clock() + self.every
+        try:
+            self.store.snapshot(self.table, self.copy, self.clock())
+        except LookupError:
+            return False
+        return True
+
+    def run(self, stopped: Callable[[], bool], sleep: Callable[[float], None] = time.sleep) -> None:
+        while not stopped():
+            self.tick()
+            sleep(max(0.0, min(1.0, self.due - self.clock())))
+
+
 class Gate:
     """Pause and resume; a timed pause lifts itself and any explicit change cancels its timer."""
 
