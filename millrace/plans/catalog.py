@@ -477,11 +477,11 @@ def poke_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS client, CAST(epoch_us(ts) AS BIGINT) AS at, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), "
-    "r AS (SELECT client, at, id, n, TRUE AS accepted, [at] AS kept FROM e WHERE n = 1 UNION ALL "
-    "SELECT e.client, e.at, e.id, e.n, len(list_filter(r.kept, lambda x: x > e.at - 21600000000)) < 3, "
-    "CASE WHEN len(list_filter(r.kept, lambda x: x > e.at - 21600000000)) < 3 THEN list_append(list_filter(r.kept, lambda x: x > e.at - 21600000000), e.at) ELSE r.kept END "
-    "FROM r JOIN e ON e.client = r.client AND e.n = r.n + 1) SELECT client, at, id, accepted FROM r"
+    "WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS client, CAST(epoch_us(ts) AS BIGINT) AS \"at\", event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), "
+    "r AS (SELECT client, \"at\", id, n, TRUE AS accepted, [\"at\"] AS kept FROM e WHERE n = 1 UNION ALL "
+    "SELECT e.client, e.\"at\", e.id, e.n, len(list_filter(r.kept, lambda x: x > e.\"at\" - 21600000000)) < 3, "
+    "CASE WHEN len(list_filter(r.kept, lambda x: x > e.\"at\" - 21600000000)) < 3 THEN list_append(list_filter(r.kept, lambda x: x > e.\"at\" - 21600000000), e.\"at\") ELSE r.kept END "
+    "FROM r JOIN e ON e.client = r.client AND e.n = r.n + 1) SELECT client, \"at\", id, accepted FROM r"
 )
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most three accepted events a user in six hours; acceptance is recursive."""

@@ -117,7 +117,7 @@ class Settings:
     embed_model: str = ""
     embed_url: str = ""
     embed_key: str = ""
-    embed_dim: int = 1536
+    vector_dim: int = 1536
     embed_chunk: int = 64
     snapshot_seconds: float = 300.0
     partitions: int = 4
@@ -159,4 +159,4 @@ class Settings:
     def embedder(self, transport=None):
         from millrace.functions.embed import make_embedder
 
-        return make_embedder(self.embed_provider, self.embed_dim, self.embed_model, self.embed_url, self.embed_key, transport)
+        return make_embedder(self.embed_provider, self.vector_dim, self.embed_model, self.embed_url, self.embed_key, transport)
