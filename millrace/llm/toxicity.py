@@ -21,6 +21,8 @@ from .common import fold_of, number_of, numbered, per_document, quoted, stage
 #: Most labelled rows that the weights are fitted on, by order of a hash of their id, and most features in them all together.
 LABELLED, FEATURES = 4000, 20_000_000
 FOLDS = 5
+#: Features that are looked up at a time.
+BLOCK = 1 << 18
 #: Lengths of the beginnings of words that are features too, for words never seen whole.
 BEGINNINGS = (4, 5)
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -74,15 +76,23 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], least: int = 3, steps:
     y = np.array([label for _, _, label in rows], float)
     if not 0 < y.sum() < len(y):
         return {}, -30.0 if not y.sum() else 0.0
-    names, each = np.unique(np.concatenate([h for h, _, _ in rows]), return_inverse=True)
-    doc = np.repeat(np.arange(len(rows)), [len(h) for h, _, _ in rows])
-    once = np.unique(doc * len(names) + each)
-    held = np.bincount(once % max(1, len(names)), minlength=len(names)) >= least
-    names, number = names[held], np.cumsum(held) - 1
+    # narrow numbers and no array of pairs: this stands in the driver's memory
+    every = np.concatenate([h for h, _, _ in rows])
+    names = np.unique(every)
+    each = np.empty(len(every), np.int32)
+    for at in range(0, len(every), BLOCK):
+        each[at : at + BLOCK] = np.searchsorted(names, every[at : at + BLOCK])
+    del every
+    of, edges = np.zeros(len(names), np.int32), np.cumsum([0, *(len(h) for h, _, _ in rows)])
+    for start, end in zip(edges, edges[1:]):
+        of[np.unique(each[start:end])] += 1
+    held = of >= least
+    names, number = names[held], (np.cumsum(held) - 1).astype(np.int32)
     sizes = np.concatenate([s for _, s, _ in rows])
-    sd = np.repeat(np.arange(len(rows)), [len(s) for _, s, _ in rows])
-    es, kept = np.repeat(np.arange(len(sizes)), sizes), held[each]
-    ew, es = number[each[kept]].astype(np.int32), es[kept].astype(np.int32)
+    sd = np.repeat(np.arange(len(rows), dtype=np.int32), [len(s) for _, s, _ in rows])
+    kept = held[each]
+    ew, es = number[each[kept]], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[kept]
+    del each, kept
     if not len(names):
         return {}, 0.0
     weight = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
@@ -127,8 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model({}, -30.0)
     last = sized[fits - 1]
     order = F.struct(F.xxhash64("id").alias("o"), "id", "h")
-    rows = packed.where(order <= F.struct(F.lit(last.o).alias("o"), F.lit(last.id).alias("id"), F.lit(last.h).alias("h"))).orderBy(order).collect()
-    weights, bias = train([(np.frombuffer(r.hashes, np.uint64), np.frombuffer(r.sizes, np.int32), int(r.label)) for r in rows])
+    rows = packed.where(order <= F.struct(F.lit(last.o).alias("o"), F.lit(last.id).alias("id"), F.lit(last.h).alias("h"))).orderBy(order).select("hashes", "sizes", "label").toArrow()
+    weights, bias = train([(np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(s.as_buffer(), np.int32), int(y.as_py())) for h, s, y in zip(*rows.columns, strict=True)])
 
     def names():
         return lambda texts: [[sorted(w for w in set().union(*(x for _, _, x in sentences(t))) if xxhash.xxh64_intdigest(w) in weights) for t in texts]]
