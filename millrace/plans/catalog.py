@@ -376,20 +376,22 @@ def render_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIM = 64
 
 
-_FEATURES = (
-    "w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{Nd}]+'), lambda x: x <> '') AS ws FROM documents), "
-    "f AS (SELECT doc_id, unnest(ws) AS feature, 1.0 AS weight FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])), 0.5 FROM w), "
-    "g AS (SELECT doc_id, feature, sum(weight) AS weight FROM f GROUP BY ALL), "
-    f"h AS (SELECT feature, list_reduce(list_prepend({embed.FNV_OFFSET}::HUGEINT, list_transform(range(0, octet_length(encode(feature))), lambda i: ('0x' || substr(hex(encode(feature)), 2 * i + 1, 2))::HUGEINT)), "
-    f"lambda a, x: (xor(a, x) * {embed.FNV_PRIME}) % 18446744073709551616) AS h FROM (SELECT DISTINCT feature FROM g)), "
-    f"s AS (SELECT doc_id, (h % {DIM})::BIGINT AS slot, CAST(sum(CASE WHEN h >= 9223372036854775808 THEN -weight ELSE weight END) AS DOUBLE) AS v FROM g JOIN h USING (feature) GROUP BY ALL), "
-    "n AS (SELECT doc_id, sqrt(sum(v * v)) AS size FROM s GROUP BY doc_id), "
-    f"e AS (SELECT d.doc_id, r.range AS slot, CAST(CASE WHEN coalesce(size, 0) = 0 THEN (CASE WHEN r.range = 0 THEN 1 ELSE 0 END) ELSE coalesce(v, 0) / size END AS FLOAT) AS x "
-    f"FROM documents d CROSS JOIN range({DIM}) r LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id AND s.slot = r.range)"
-)
+def _vectors(table: str, key: str, p: str = "") -> str:
+    """SQL tables, ending with ``e`` (key, slot, x), that give the hashed vectors of a table's texts."""
+    return (
+        f"{p}w AS (SELECT {key}, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> '') AS ws FROM {table}), "
+        f"{p}f AS (SELECT {key}, unnest(ws) AS feature, 1.0 AS weight FROM {p}w UNION ALL SELECT {key}, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])), 0.5 FROM {p}w), "
+        f"{p}g AS (SELECT {key}, feature, sum(weight) AS weight FROM {p}f GROUP BY ALL), "
+        f"{p}h AS (SELECT feature, list_reduce(list_prepend({embed.FNV_OFFSET}::HUGEINT, list_transform(range(0, octet_length(encode(feature))), lambda i: ('0x' || substr(hex(encode(feature)), 2 * i + 1, 2))::HUGEINT)), "
+        f"lambda a, x: (xor(a, x) * {embed.FNV_PRIME}) % 18446744073709551616) AS h FROM (SELECT DISTINCT feature FROM {p}g)), "
+        f"{p}s AS (SELECT {key}, (h % {DIM})::BIGINT AS slot, CAST(sum(CASE WHEN h >= 9223372036854775808 THEN -weight ELSE weight END) AS DOUBLE) AS v FROM {p}g JOIN {p}h USING (feature) GROUP BY ALL), "
+        f"{p}n AS (SELECT {key}, sqrt(sum(v * v)) AS size FROM {p}s GROUP BY {key}), "
+        f"{p}e AS (SELECT d.{key}, r.range AS slot, CAST(CASE WHEN coalesce(size, 0) = 0 THEN (CASE WHEN r.range = 0 THEN 1 ELSE 0 END) ELSE coalesce(v, 0) / size END AS FLOAT) AS x "
+        f"FROM {table} d CROSS JOIN range({DIM}) r LEFT JOIN {p}n ON {p}n.{key} = d.{key} LEFT JOIN {p}s ON {p}s.{key} = d.{key} AND {p}s.slot = r.range)"
+    )
 
 
-@query("WITH " + _FEATURES + " SELECT doc_id, string_agg(CAST(round(CAST(x AS DOUBLE) * 10000) AS BIGINT), ',' ORDER BY slot) AS embedding FROM e GROUP BY doc_id")
+@query("WITH " + _vectors("documents", "doc_id") + " SELECT doc_id, string_agg(CAST(round(CAST(x AS DOUBLE) * 10000) AS BIGINT), ',' ORDER BY slot) AS embedding FROM e GROUP BY doc_id")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as feature-hashed vectors, written as ten thousandths."""
     rows = w.table(spark, sf_dir, "documents").select("doc_id", embed.hash_embed(F.col("text"), DIM).alias("v"))
@@ -622,9 +624,17 @@ def generated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.generated(spark, 10_000)
 
 
-@query()
+@query(
+    "WITH " + _KEYWORDS + ", " + _vectors("documents", "doc_id", "d_") + ", " + _vectors("benchmark", "item_id", "b_") + ", "
+    "dv AS (SELECT doc_id, list(CAST(x AS DOUBLE) ORDER BY slot) AS v FROM d_e GROUP BY doc_id), bv AS (SELECT item_id, list(CAST(x AS DOUBLE) ORDER BY slot) AS v FROM b_e GROUP BY item_id), "
+    "near AS (SELECT item_id, doc_id, list_cosine_similarity(dv.v, bv.v) AS score FROM dv, bv), "
+    "vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS pos FROM near) WHERE pos <= 5), "
+    "hits AS (SELECT item_id, doc_id, 0 AS source, pos FROM kw UNION ALL SELECT item_id, doc_id, 1, pos FROM vec), "
+    "fst AS (SELECT item_id, doc_id, min(source * 10 + pos) AS place FROM hits GROUP BY 1, 2) "
+    "SELECT item_id AS question_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY place) AS INTEGER) AS rank, CASE WHEN place < 10 THEN 'keyword' ELSE 'vector' END AS found_by FROM fst"
+)
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword and vector hits of the benchmark's questions over all documents, merged (tested against a plain version)."""
+    """Keyword and vector hits of the benchmark's questions over all documents, merged."""
     hits, docs = _words(spark, sf_dir)
     vectors = docs.select("key", embed.hash_embed(F.col("text"), DIM).alias("embedding"), "updated_at")
     asked = w.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), embed.hash_embed(F.col("text"), DIM).alias("embedding"))
