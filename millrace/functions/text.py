@@ -1,6 +1,7 @@
 """Text functions: tokens, stems, clipping, templates, place notes."""
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -9,30 +10,102 @@ from pyspark.sql.functions import pandas_udf
 
 CLIP = 700
 
-#: English words that carry no meaning for search.
+#: The usual English words that carry no meaning for search (the public Snowball list).
 STOP_WORDS = tuple(
-    "a about after all also am an and any are as at be because been before being but by can could did do does for from had has have he her here him his how i if in into is it its "
-    "just me more most my no not now of on one only or other our out over own same she so some such than that the their them then there these they this those through to too under up "
-    "very was we were what when where which while who whom why will with would you your".split()
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom "
+    "this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between "
+    "into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other "
+    "some such no nor not only own same so than too very s t can will just don should now".split()
 )
 
+#: Fixed values of the public English (Porter2) stemming algorithm: whole words with stems of their own, words that its first
+#: step leaves as they are, and the endings of its later steps with what replaces them.
+STEMS = {
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
+    "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes",
+}
+WHOLE = ("inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed")
+SECOND = {
+    "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al",
+    "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": "",
+}
+THIRD = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
+FOURTH = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion")
+_REGION = re.compile("[aeiouy][^aeiouy]")
+_SHORT = re.compile("(?:^|.*[^aeiouy])[aeiouy][^aeiouywxY]$|^[aeiouy][^aeiouy]$")
+
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+", -1), lambda x: x != "")
 
 
+def _ending(word: str, endings) -> str:
+    """The longest of the endings that the word has."""
+    return max((e for e in endings if word.endswith(e)), key=len, default="")
+
+
+@lru_cache(1 << 16)
 def stem(word: str) -> str:
-    """A light English stemmer: plurals, -ing, -ed, -ly."""
-    if len(word) <= 3 or not word.isascii():
+    """The stem of a lower-cased English word, by the public Porter2 rules. Words of two letters and other scripts stay.
+
+    A ``y`` that is a consonant is written ``Y`` meanwhile. The two regions are what follows the first consonant after a vowel,
+    in the word and again in that.
+    """
+    if len(word) <= 2 or not word.isascii():
         return word
-    for ending, less in (("sses", 2), ("ies", 2), ("ing", 3), ("edly", 4), ("ed", 2), ("ly", 2), ("s", 1)):
-        if word.endswith(ending) and not word.endswith("ss"):
-            base = word[: len(word) - less]
-            if len(base) >= 3 and re.search("[aeiouy]", base):
-                return base[:-1] if ending in ("ing", "ed", "edly") and base[-1] == base[-2] and base[-1] not in "lsz" else base
-            return word
-    return word
+    if word in STEMS:
+        return STEMS[word]
+    w = re.sub("([aeiouy])y", r"\1Y", "Y" + word[1:] if word[0] == "y" else word)
+    start = _REGION.search(w)
+    r1 = next((len(x) for x in ("gener", "commun", "arsen") if w.startswith(x)), start.end() if start else len(w))
+    start = _REGION.search(w, r1)
+    r2 = start.end() if start else len(w)
+
+    # plurals
+    e = _ending(w, ("sses", "ied", "ies", "us", "ss", "s"))
+    if e == "sses":
+        w = w[:-2]
+    elif e in ("ied", "ies"):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif e == "s" and re.search("[aeiouy]", w[:-2]):
+        w = w[:-1]
+    if w in WHOLE:
+        return w
+    # past and present forms
+    e = _ending(w, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
+    base = w[: len(w) - len(e)]
+    if e in ("eed", "eedly"):
+        w = base + "ee" if len(base) >= r1 else w
+    elif e and re.search("[aeiouy]", base):
+        w = base
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif w[-2:] in ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt"):
+            w = w[:-1]
+        elif len(w) <= r1 and _SHORT.match(w):
+            w += "e"
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in "aeiouy":
+        w = w[:-1] + "i"
+    # endings that are made of others
+    e = _ending(w, SECOND)
+    base = w[: len(w) - len(e)]
+    if e and len(base) >= r1 and (e != "ogi" or base.endswith("l")) and (e != "li" or base[-1:] in tuple("cdeghkmnrt")):
+        w = base + SECOND[e]
+    e = _ending(w, THIRD)
+    base = w[: len(w) - len(e)]
+    if e and len(base) >= (r2 if e == "ative" else r1):
+        w = base + THIRD[e]
+    e = _ending(w, FOURTH)
+    base = w[: len(w) - len(e)]
+    if e and len(base) >= r2 and (e != "ion" or base.endswith(("s", "t"))):
+        w = base
+    # a closing e or l
+    if w.endswith("e") and (len(w) > r2 or (len(w) > r1 and not _SHORT.match(w[:-1]))):
+        w = w[:-1]
+    elif w.endswith("ll") and len(w) > r2:
+        w = w[:-1]
+    return w.replace("Y", "y")
 
 
 def english(text: Column) -> Column:
@@ -40,8 +113,7 @@ def english(text: Column) -> Column:
 
     @pandas_udf("array<string>")
     def stemmed(words: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        return pd.Series([[known.get(x) or known.setdefault(x, stem(x)) for x in row] for row in words], dtype=object)
+        return pd.Series([list(map(stem, row)) for row in words], dtype=object)
 
     return stemmed(meaningful(tokens(text)))
 

@@ -246,6 +246,19 @@ def test_latency_report(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == ["minute", "n_rows", "avg_s", "p95_s", "max_s"]
 
 
+def test_stems_are_those_of_the_public_algorithm():
+    want = {
+        "consign": "consign", "consigned": "consign", "consignment": "consign", "consistency": "consist", "consistently": "consist", "consolation": "consol", "console": "consol",
+        "consolatory": "consolatori", "consolingly": "consol", "consols": "consol", "conspicuously": "conspicu", "conspiracy": "conspiraci", "conspirators": "conspir", "constable": "constabl",
+        "constancy": "constanc", "consternation": "constern", "knack": "knack", "knackeries": "knackeri", "knavish": "knavish", "kneaded": "knead", "kneel": "kneel", "knightly": "knight",
+        "knives": "knive", "knots": "knot", "knocker": "knocker", "knowledge": "knowledg", "skies": "sky", "ties": "tie", "cries": "cri", "gas": "gas", "gaps": "gap", "kiwis": "kiwi",
+        "hoping": "hope", "hopping": "hop", "luxuriated": "luxuri", "by": "by", "say": "say", "cry": "cri", "youth": "youth", "boy": "boy", "generally": "general", "communism": "communism",
+        "proceed": "proceed", "agreed": "agre", "feed": "feed", "rationalization": "ration", "hopefulness": "hope", "sensibility": "sensibl", "roll": "roll", "controll": "control", "été": "été", "is": "is", "": "",
+    }
+    assert {x: text.stem(x) for x in want} == want
+    assert len(text.STOP_WORDS) == len(set(text.STOP_WORDS)) == 127
+
+
 def test_settings_and_registry(spark):
     s = registry.Settings.load({"MILLRACE_FLUSH_EVENTS": "12", "MILLRACE_FLUSH_SECONDS": "1m30s", "MILLRACE_VECTOR_DIM": "-3", "MILLRACE_TOPIC": "x"})
     assert (s.flush_events, s.flush_seconds, s.vector_dim, s.topic) == (12, 90.0, 1536, "x")
