@@ -2,10 +2,11 @@
 
 A 64-bit fingerprint is mapped to the bit counts of its 32 two-bit segments, a point of
 {0,1,2}^32 kept packed in one long. The Manhattan distance of two points never exceeds the
-Hamming distance of the fingerprints. The segments form eight groups; points within
-Manhattan distance 4 agree wholly on four groups or more, so the cells of the grids over each
-choice of four groups (70 grids) hold every such pair together. Cells are joined, pairs kept in
-the first grid that holds them, and the exact Hamming distance decides.
+Hamming distance of the fingerprints. The segments form ``g`` groups; points within
+Manhattan distance 4 agree wholly on ``g - 4`` groups or more, so the cells of the grids over each
+choice of ``g - 4`` groups (70 grids of eight groups) hold every such pair together. Cells are joined, pairs kept in
+the first grid that holds them, and the exact Hamming distance decides. More groups make more grids
+with smaller cells; ``g`` follows the number of fingerprints (``groups_for``), and any ``g`` finds the same pairs.
 
 Cells with more than ``dense`` different fingerprints are not compared pair by pair: there,
 two fingerprints within four bits share a midpoint within two bits of both, and only such
@@ -14,6 +15,7 @@ share one, so each midpoint links its fingerprints to the smallest (2,081 midpoi
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -23,8 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import components, number_of, numbered, per_document, quoted, stage
 
-SEED, WORDS, LIMIT, GROUPS, CHUNK = 42, 4, 4, 8, 1 << 15
+SEED, WORDS, LIMIT, CHUNK = 42, 4, 4, 1 << 15
 LOW = 0x5555555555555555
+SEGMENTS = 32
+#: Numbers of groups to choose from, and the cost of comparing two fingerprints of a cell against that of a row of a grid.
+GROUPS, COMPARED = (8, 10, 12, 16), 0.05
 
 
 def signed(x: int) -> int:
@@ -59,11 +64,36 @@ def _embedded(fp: Column) -> Column:
     return even.bitwiseXOR(odd).bitwiseOR(F.shiftleft(even.bitwiseAND(odd), 1))
 
 
-def _group(g: int) -> int:
-    return 0xFF << (8 * g)
+def _bounds(groups: int) -> list[int]:
+    """Where each group of segments starts, and the end."""
+    return [round(i * SEGMENTS / groups) for i in range(groups + 1)]
 
 
-def links(fps: DataFrame, limit: int = LIMIT, dense: int = 4096) -> DataFrame:
+def _masks(groups: int) -> list[int]:
+    """The bits of each group."""
+    at = _bounds(groups)
+    return [(1 << 2 * b) - (1 << 2 * a) for a, b in zip(at, at[1:])]
+
+
+def grids_of(groups: int, limit: int = LIMIT) -> list[tuple[int, int]]:
+    """Each grid's bits, and a mark for each earlier group that it leaves out."""
+    masks = _masks(groups)
+    return [(sum(masks[g] for g in k), sum(1 << g for g in range(max(k)) if g not in k)) for k in combinations(range(groups), groups - limit)]
+
+
+def groups_for(n: int, limit: int = LIMIT) -> int:
+    """The number of groups with the least expected work a fingerprint, among ``n`` that are spread like random ones.
+
+    Two random segments have the same bit count with a chance of 3/8.
+    """
+
+    def work(groups: int) -> float:
+        return sum(1 + COMPARED * n / 2 * 0.375 ** (mask.bit_count() // 2) for mask, _ in grids_of(groups, limit))
+
+    return min(GROUPS, key=work)
+
+
+def links(fps: DataFrame, limit: int = LIMIT, dense: int = 4096, groups: int | None = None) -> DataFrame:
     """Edges (a, b) between different values of ``fp`` that give the components of all pairs within ``limit`` bits.
 
     Every edge is itself such a pair or, in dense cells, joins two fingerprints with a common
@@ -74,10 +104,11 @@ def links(fps: DataFrame, limit: int = LIMIT, dense: int = 4096) -> DataFrame:
     each = stage(fps.where("fp is not null").select("fp").distinct(), "fingerprints")
     # dealt out evenly, as each fingerprint becomes a row a grid
     dealt = each.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    # each grid: number, mask of its groups, and a bit for each earlier group that it leaves out
-    grids = [(i, signed(sum(_group(g) for g in k)), sum(1 << 8 * g for g in range(max(k)) if g not in k)) for i, k in enumerate(combinations(range(GROUPS), GROUPS - LIMIT))]
+    groups = groups or groups_for(each.count(), limit)
+    grids = grids_of(groups, limit)
+    grid = F.expr("array(" + ", ".join(f"struct({i}S AS k, {signed(m)}L AS m)" for i, (m, _) in enumerate(grids)) + ")")
     v = _embedded(F.col("fp"))
-    cells = dealt.select("fp", F.explode(F.array(*[F.struct(F.lit(k).cast("short").alias("k"), v.bitwiseAND(F.lit(m)).alias("cell"), F.lit(w).cast("long").alias("w")) for k, m, w in grids])).alias("c")).select("c.k", "c.cell", "c.w", "fp")
+    cells = dealt.select("fp", F.explode(grid).alias("g")).select(F.col("g.k").alias("k"), v.bitwiseAND(F.col("g.m")).alias("cell"), "fp")
     crowded = stage(cells.groupBy("k", "cell").count().where(F.col("count") > dense).select("k", "cell"), "dense_cells")
     any_crowded = not crowded.isEmpty()
     open_cells = cells.join(crowded, ["k", "cell"], "left_anti") if any_crowded else cells
@@ -87,11 +118,10 @@ def links(fps: DataFrame, limit: int = LIMIT, dense: int = 4096) -> DataFrame:
     x = _embedded(fa).bitwiseXOR(_embedded(fb))
     low, high = x.bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(LOW))
     manhattan = F.bit_count(low) + 2 * F.bit_count(high.bitwiseAND(F.bitwise_not(low)))
-    differ = x
-    for shift in (1, 2, 4):
-        differ = differ.bitwiseOR(F.shiftrightunsigned(differ, shift))
+    differ = reduce(Column.bitwiseOR, [F.when(x.bitwiseAND(F.lit(signed(m))) != 0, 1 << g).otherwise(0) for g, m in enumerate(_masks(groups))])
     # no group outside the grid and before its last is wholly alike: no earlier grid holds the pair
-    first = differ.bitwiseAND(F.col("p.w")) == F.col("p.w")
+    earlier = F.element_at(F.expr("array(" + ", ".join(str(w) for _, w in grids) + ")"), F.col("p.k").cast("int") + 1)
+    first = differ.bitwiseAND(earlier) == earlier
     pairs = a.join(
         b,
         (F.col("p.k") == F.col("q.k")) & (F.col("p.cell") == F.col("q.cell")) & (fa < fb) & (manhattan <= limit)

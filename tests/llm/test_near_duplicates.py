@@ -1,6 +1,7 @@
 """SimHash and embedding near-duplicates, components, and the pipeline."""
 
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -69,6 +70,34 @@ def test_components_of_fingerprints(spark, monkeypatch, dense):
         assert len(pairs) == len(set(pairs)) == len(linked)
 
 
+@pytest.mark.parametrize("groups", [10, 12])
+def test_pairs_are_the_same_with_any_number_of_groups(spark, groups):
+    import millrace.llm.simhash as S
+
+    rng = random.Random(groups)
+    values = {0, (1 << 64) - 1}
+    for _ in range(25):
+        x = rng.getrandbits(64)
+        values.add(x)
+        for n in (1, 2, 3, 4, 4, 5):
+            values.add(x ^ sum(1 << b for b in rng.sample(range(64), n)))
+    values = sorted(map(signed, values))
+    want = sorted((a, b) for i, a in enumerate(values) for b in values[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4)
+    frame = spark.createDataFrame([(v,) for v in values], "fp long")
+    assert sorted((r.a, r.b) for r in S.links(frame, groups=groups).collect()) == want
+
+
+def test_grids_follow_the_number_of_fingerprints():
+    import millrace.llm.simhash as S
+
+    assert len(S.grids_of(8)) == 70 and [S.groups_for(n) for n in (0, 10**6, 10**8, 10**9, 10**10)] == [8, 8, 8, 10, 12]
+    for groups in S.GROUPS:
+        masks = S._masks(groups)
+        assert sum(masks) == (1 << 64) - 1 and len(masks) == groups
+        # four changed groups at most leave a grid untouched
+        assert all(any(not m & sum(masks[g] for g in c) for m, _ in S.grids_of(groups)) for c in list(combinations(range(groups), 4))[::37])
+
+
 def test_near_duplicate_documents(odd, corpus, none):
     docs = odd.select("doc_id", "text").where("doc_id is not null").unionByName(corpus.select("doc_id", "text").where("doc_id >= 100"))
     rows = docs.collect()
