@@ -125,6 +125,18 @@ def fold_of(id_col: str, m: int):
     return F.crc32(F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("")).cast("binary")) % m
 
 
+#: Most partitions that ``spread`` asks for; beyond it a partition holds several groups.
+PARTITIONS = 100_000
+
+
+def spread(df: DataFrame, groups: int, key: str) -> DataFrame:
+    """Shuffled by ``key`` into a partition a group where there are more groups than the session has partitions.
+
+    So what a task reads stays as large as a few groups however many there are; grouping by ``key`` needs no other shuffle.
+    """
+    return df.repartition(min(groups, PARTITIONS), key) if groups > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: columns ``node``, ``component``.
 

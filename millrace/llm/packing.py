@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .bpe import tokenizer
-from .common import per_document, quoted, stage
+from .common import per_document, quoted, spread, stage
 
 WINDOW, SHARD_TOKENS, K1, B = 1024, 1_000_000, 1.2, 0.75
 
@@ -259,4 +259,5 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     placed = T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType()), T.StructField("row", T.LongType()), T.StructField("shard", T.LongType())])
-    return tokens.select("terms", "counts", "n", "id", "ids", "row").mapInArrow(dealt, placed).groupBy("shard").applyInArrow(run, schema)
+    shards = (total or 0) // shard_tokens + 1
+    return spread(tokens.select("terms", "counts", "n", "id", "ids", "row").mapInArrow(dealt, placed), shards, "shard").groupBy("shard").applyInArrow(run, schema)
