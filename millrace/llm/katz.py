@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import SLICE, TEXT, fold_of, quoted, stage, with_text
+from .common import SLICE, TEXT, fold_of, quoted, spread, stage, with_text
 
 ORDER, FOLDS, GOOD_TURING = 2, 10, 5
 BLOCK_TOKENS, SHARD_TOKENS = 1_500_000, 3_000_000
@@ -302,7 +302,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     spark, most = docs.sparkSession, GOOD_TURING
     plain = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     made = stage(blocks(plain, "id", "text", folds, order, block_tokens), "blocks", rows_per_file=1)
-    tokens = made.agg(F.sum("tokens")).first()[0] or 0
+    tokens, n_blocks = made.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-order * tokens // shard_tokens))
 
     def count_requests(batches):
@@ -312,7 +312,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                 for k in range(1, order + 1):
                     yield _batch(_asked(r["block"], k, grams.keys[k - 1], shards, grams.count[k - 1].astype(np.uint32)), ASKED)
 
-    told = stage(made.mapInArrow(count_requests, ASKED).groupBy("shard").applyInArrow(lambda t: _counts(t, order, most, bool(tables)), TOLD), "counts")
+    told = stage(spread(made.mapInArrow(count_requests, ASKED), shards, "shard").groupBy("shard").applyInArrow(lambda t: _counts(t, order, most, bool(tables)), TOLD), "counts")
     stats = told.where("block = -1").select("k", F.posexplode("stats")).groupBy("k", "pos").agg(F.sum("col").alias("n")).collect()
     by_order: dict[int, list[float]] = {}
     for r in sorted(stats, key=lambda r: (r.k, r.pos)):
@@ -329,7 +329,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     def gathered(answers: DataFrame):
         empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in made.schema if f.name != "block"]
         rows = made.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("shard", "int"), ("k", "int"), ("x", "binary"), ("y", "binary"))))
-        return rows.unionByName(answers.select("block", *empty, "shard", "k", "x", "y")).groupBy("block")
+        return spread(rows.unionByName(answers.select("block", *empty, "shard", "k", "x", "y")), n_blocks, "block").groupBy("block")
 
     def sum_requests(k: int):
         def run(table: pa.Table) -> pa.Table:
@@ -344,7 +344,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         return run
 
     for k in range(2, order + 1):
-        answers = stage(gathered(told).applyInArrow(sum_requests(k), ASKED).groupBy("shard").applyInArrow(lambda t: _sums(t, bool(tables)), TOLD), "sums")
+        answers = stage(spread(gathered(told).applyInArrow(sum_requests(k), ASKED), shards, "shard").groupBy("shard").applyInArrow(lambda t: _sums(t, bool(tables)), TOLD), "sums")
         kept(answers, "append")
         told = told.unionByName(answers.where("block >= 0").drop("stats"))
 
