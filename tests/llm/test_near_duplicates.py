@@ -70,7 +70,7 @@ def test_components_of_fingerprints(spark, monkeypatch, dense):
         assert len(pairs) == len(set(pairs)) == len(linked)
 
 
-@pytest.mark.parametrize("groups", [10, 12])
+@pytest.mark.parametrize("groups", [10, 12, 16])
 def test_pairs_are_the_same_with_any_number_of_groups(spark, groups):
     import millrace.llm.simhash as S
 
