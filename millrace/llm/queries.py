@@ -77,6 +77,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -90,11 +96,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_packing,
         op10_simhash,
+        op12_importance_resampling,
     )
 }
 
 
 def oracles() -> dict[str, str]:
-    from .oracle import secret_scan_sql
+    from .oracle import importance_sql, secret_scan_sql
 
-    return {"op1_secret_scan": secret_scan_sql()}
+    return {"op1_secret_scan": secret_scan_sql(), "op12_importance_resampling": importance_sql()}
