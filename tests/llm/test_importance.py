@@ -65,9 +65,10 @@ def test_ties_and_repeats(spark):
     text = "alpha beta gamma " * 8
     rows = [(i % 7, text if i % 3 else text + "delta") for i in range(90)] + [(None, text)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    aimed = spark.createDataFrame([(text,)], "text string")
     for percent in (5, 50, 100):
-        out = got(resample(frame, frame.limit(1), percent=percent))
-        assert out == plain(rows, [frame.first().text], percent=percent)
+        out = got(resample(frame, aimed, percent=percent))
+        assert out == plain(rows, [text], percent=percent)
         assert sorted(r[4] for r in out if r[4]) == list(range(1, percent * 91 // 100 + 1))
 
 
