@@ -69,3 +69,35 @@ def importance_sql() -> str:
     words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     runs = "unnest(flatten(list_transform(range(1, 4), lambda n: list_transform(range(1, greatest(len(w) - n + 2, 1)), lambda i: array_to_string(w[i:i + n - 1], ' ')))))"
     return _IMPORTANCE.replace("@words@", words).replace("@runs@", runs)
+
+
+_WHOLE = """
+SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor({factor} * x::DOUBLE)) AS q FROM embeddings
+WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+"""
+
+
+def hard_negatives_sql() -> str:
+    """All pairs of anchors and rows, ranked."""
+    return f"""
+WITH v AS (SELECT r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, q FROM ({_WHOLE.format(factor=256)}) WHERE label IS NOT NULL),
+met AS (
+  SELECT a.r, a.vec_id AS anchor_id, b.r AS other, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r AND len(a.q) = len(b.q)),
+positives AS (SELECT r, anchor_id, other, vec_id, score FROM met WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, other) <= 5),
+negatives AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.r, p.other ORDER BY n.score DESC, n.vec_id, n.other) AS rank
+  FROM positives p JOIN met n ON p.r = n.r AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 10
+"""
+
+
+def top_k_sql() -> str:
+    """All pairs of queries and rows, ranked."""
+    return f"""
+WITH v AS ({_WHOLE.format(factor=64)}),
+met AS (SELECT a.r, a.vec_id AS query_id, b.r AS other, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.r <> b.r AND len(a.q) = len(b.q)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, other) AS rank FROM met)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM placed WHERE rank <= 20
+"""

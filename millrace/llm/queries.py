@@ -83,6 +83,21 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .vptree import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(_table(spark, sf_dir, "embeddings"), label=label)
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .impact import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,12 +111,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_packing,
         op10_simhash,
+        op11_hard_negatives,
         op12_importance_resampling,
+        op13_exact_top_k,
     )
 }
 
 
 def oracles() -> dict[str, str]:
-    from .oracle import importance_sql, secret_scan_sql
+    from .oracle import hard_negatives_sql, importance_sql, secret_scan_sql, top_k_sql
 
-    return {"op1_secret_scan": secret_scan_sql(), "op12_importance_resampling": importance_sql()}
+    return {"op1_secret_scan": secret_scan_sql(), "op11_hard_negatives": hard_negatives_sql(), "op12_importance_resampling": importance_sql(), "op13_exact_top_k": top_k_sql()}
