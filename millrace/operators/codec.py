@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.schema import CHANGE, ENVELOPE, OPS
+from millrace.schema import CHANGE, ENVELOPE, LATER, OPS
 
 
 #: Times keep their microseconds.
@@ -24,8 +24,14 @@ def message_key(table: Column, pk: Column) -> Column:
 
 
 def encoded(changes: DataFrame) -> DataFrame:
-    """Change rows as ``key`` and ``value`` of messages; null fields stay in the JSON."""
-    value = F.to_json(F.struct(*ENVELOPE.names), {"ignoreNullFields": "false", **TIMES})
+    """Change rows as ``key`` and ``value`` of messages; null fields stay in the JSON.
+
+    Without ``prev_pk`` no row was moved; without ``seq`` a change's ``offset`` is its place in the source's log.
+    """
+    seq = F.col("seq") if "seq" in changes.columns else F.col("offset") if "offset" in changes.columns else F.lit(None)
+    prev = F.col("prev_pk") if "prev_pk" in changes.columns else F.lit(None)
+    fields = [*(F.col(n) for n in ENVELOPE.names if n not in LATER), prev.cast("map<string,string>").alias("prev_pk"), seq.cast("long").alias("seq")]
+    value = F.to_json(F.struct(*fields), {"ignoreNullFields": "false", **TIMES})
     rest = [c for c in ("partition", "offset") if c in changes.columns]
     return changes.select(message_key(F.col("table"), F.col("pk")).alias("key"), value.alias("value"), *rest)
 

@@ -6,10 +6,13 @@ small dimension with ordered columns. All checks are columns, so bad rows can be
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.codec import canonical
+from millrace.operators.scratch import checkpointed
 from millrace.schema import SNAPSHOT, source_type, type_name
 
 #: relation(relation_id, table, columns array<struct<name, oid, is_key>>)
@@ -29,7 +32,7 @@ def decode_tuples(tuples: DataFrame, relations: DataFrame) -> DataFrame:
     return _decoded(tuples.where(F.col("action").isin(*ACTIONS.values())).join(relations, "relation_id", "left"))
 
 
-def _decoded(joined: DataFrame) -> DataFrame:
+def _decoded(joined: DataFrame, more: Sequence[str] = ()) -> DataFrame:
     cols, vals, old = F.col("columns"), F.col("values"), F.col("old")
     delete = F.col("action") == "delete"
     shown = F.when(delete, old).otherwise(vals)
@@ -57,6 +60,7 @@ def _decoded(joined: DataFrame) -> DataFrame:
         F.when(fine, types).alias("types"),
         old_pk.alias("old_pk"),
         error.alias("error"),
+        *more,
     )
 
 
@@ -84,26 +88,59 @@ def values_of(rows: DataFrame, table: str, keys: list[str], columns: list[str])
     return rows.select(F.lit(table).alias("table"), canonical(text(sorted(keys))).alias("k"), text(columns).alias("after"))
 
 
-def carry_key_changes(changes: DataFrame, replica: DataFrame | None = None) -> DataFrame:
-    """Fill what a moved row did not resend from the old key's last known values before the move.
+def _sources(changes: DataFrame, moves: DataFrame, replica: DataFrame | None) -> DataFrame:
+    """For each unsent column of each move, what its old key's history says last before it: a value, or the move that brought the row there.
 
-    Needs ``prev_pk`` and ``offset``. Values are looked up within these changes, then in the replica as it was before them
-    (see ``values_of``); what neither holds stays unchanged. Only rows of keys that were moved are looked at.
+    Rows (table, at, c, known, v, via): ``via`` is the place of an earlier move, ``at`` of this one. The histories are walked in
+    windows, so a key costs its length, however often its row has moved.
     """
-    moves = changes.where("prev_pk is not null and size(unchanged) > 0").select("table", "offset", canonical(F.col("prev_pk")).alias("k"), "unchanged")
-    past = changes.where("after is not null").select("table", canonical(F.col("pk")).alias("k"), F.col("offset").alias("o"), "after")
+    keyed = changes.withColumn("k", canonical(F.col("pk"))).join(moves.select("table", "k").distinct(), ["table", "k"], "left_semi")
+    none = lambda kind: F.lit(None).cast(kind)
+    said = keyed.where("after is not null").select("table", "k", "at", F.explode("after").alias("c", "v")).select("table", "k", "at", "c", F.struct(F.lit(True).alias("known"), "v", none("long").alias("via")).alias("token"))
+    brought = keyed.where("prev_pk is not null").select("table", "k", "at", F.explode("unchanged").alias("c"), F.struct(F.lit(False).alias("known"), none("string").alias("v"), F.col("at").alias("via")).alias("token"))
+    tokens = said.unionByName(brought)
     if replica is not None:
-        past = past.unionByName(replica.select("table", "k", F.lit(-1).cast("long").alias("o"), "after"))
-    found = (
-        moves.join(past, ["table", "k"]).where("o < offset")
-        .select("table", "offset", "unchanged", "o", F.explode("after").alias("c", "v"))
-        .where(F.array_contains("unchanged", F.col("c")))
-        .groupBy("table", "offset", "c").agg(F.max_by(F.struct("v"), "o").alias("v"))
-        .groupBy("table", "offset").agg(F.map_from_entries(F.collect_list(F.struct("c", F.col("v.v")))).alias("carried"))
-    )
-    out = changes.join(found, ["table", "offset"], "left")
-    use = (F.col("op") == "c") & F.col("carried").isNotNull()
-    return out.withColumn("after", F.when(use, F.map_concat("after", "carried")).otherwise(F.col("after"))).withColumn("unchanged", F.when(use, F.array_except("unchanged", F.map_keys("carried"))).otherwise(F.col("unchanged"))).drop("carried")
+        held = replica.join(moves.select("table", "k").distinct(), ["table", "k"], "left_semi").select("table", "k", F.lit(-1).cast("long").alias("at"), F.explode("after").alias("c", "v"))
+        tokens = tokens.unionByName(held.select("table", "k", "at", "c", F.struct(F.lit(True).alias("known"), "v", none("long").alias("via")).alias("token")))
+    asked = moves.select("table", "k", "at", F.explode("unchanged").alias("c"), none(tokens.schema["token"].dataType.simpleString()).alias("token"), F.lit(True).alias("asks"))
+    # a token at a move's own place is of the row that it makes, not of the one that it leaves
+    w = Window.partitionBy("table", "k", "c").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    placed = F.when(F.col("token").isNotNull(), F.struct("at", "token"))
+    last = tokens.withColumn("asks", F.lit(False)).unionByName(asked).withColumn("said", F.last(placed, ignorenulls=True).over(w)).where("asks")
+    # what was said before the row was last deleted is gone
+    gone = keyed.where("op = 'd'").select("table", "k", "at", F.col("at").alias("gone"), F.lit(None).cast("string").alias("c"), none(last.schema["said"].dataType.simpleString()).alias("said"))
+    w = Window.partitionBy("table", "k").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    both = last.select("table", "k", "at", none("long").alias("gone"), "c", "said").unionByName(gone)
+    both = both.withColumn("gone", F.last("gone", ignorenulls=True).over(w)).where("c is not null")
+    live = F.col("said").isNotNull() & (F.col("gone").isNull() | (F.col("said.at") > F.col("gone")))
+    return both.select("table", "at", "c", F.coalesce(live & F.col("said.token.known"), F.lit(False)).alias("known"), F.when(live, F.col("said.token.v")).alias("v"), F.when(live, F.col("said.token.via")).alias("via"))
+
+
+def carry_key_changes(changes: DataFrame, replica: DataFrame | None = None) -> DataFrame:
+    """Fill what a moved row did not resend from the row as it was before the move.
+
+    Needs ``prev_pk``, and ``seq`` or ``offset`` as place in the source's log. An unsent column's value is what the old key's history within these
+    changes says last, or the replica as it was before them (see ``values_of``). Where that row has itself come from another key with the
+    column unsent, its move is asked in turn: such chains are shortened by pointer doubling, so a chain of n moves takes about log2(n) joins of the moves with
+    themselves. What is not found stays unchanged. Both halves of a move must be among these changes.
+    """
+    at = F.coalesce(*[F.col(c) for c in ("seq", "offset") if c in changes.columns])
+    changes = changes.withColumn("at", at)
+    moves = changes.where("prev_pk is not null and size(unchanged) > 0").select("table", "at", canonical(F.col("prev_pk")).alias("k"), "unchanged")
+    if moves.isEmpty():
+        return changes.drop("at")
+    found = checkpointed(_sources(changes, moves, replica))
+    while not found.where("via is not null").isEmpty():
+        target = found.select("table", "c", F.col("at").alias("via"), F.struct("known", "v", F.col("via").alias("next")).alias("t"))
+        ahead = found.where("via is not null").select("table", "at", "c", "via").join(target, ["table", "c", "via"], "left")
+        done = found.where("via is null")
+        found = checkpointed(done.unionByName(ahead.select("table", "at", "c", F.coalesce("t.known", F.lit(False)).alias("known"), F.col("t.v").alias("v"), F.col("t.next").alias("via"))))
+    carried = found.where("known").groupBy("table", "at").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("carried"))
+    out = changes.join(carried, ["table", "at"], "left")
+    # both halves of a move have one place; only the new row is filled
+    use = F.col("prev_pk").isNotNull() & F.col("carried").isNotNull()
+    filled = out.withColumn("after", F.when(use, F.map_concat("after", "carried")).otherwise(F.col("after")))
+    return filled.withColumn("unchanged", F.when(use, F.array_except("unchanged", F.map_keys("carried"))).otherwise(F.col("unchanged"))).drop("carried", "at")
 
 
 def stamp_commits(changes: DataFrame, commits: DataFrame) -> DataFrame:
@@ -119,18 +156,24 @@ def relation_versions(raw: DataFrame) -> DataFrame:
 
 
 def assembled(raw: DataFrame) -> DataFrame:
-    """Raw messages of whole transactions as change rows, with ``error`` where a row can't be decoded.
+    """Raw messages as change rows, with ``error`` where a row can't be decoded.
 
     Rows of a transaction carry its commit's LSN and time; those without a commit vanish, as do messages of no use here. A
-    row's own place in the log is its ``offset``, and an update that changes a key becomes a delete and a create.
+    row's own place in the log is its ``offset``, and an update that changes a key becomes a delete and a create. Rows that have come through
+    ``streaming.transactions`` have ``commit_lsn`` and their relation already.
     """
-    commits = raw.where("kind = 'C'").select("xid", "lsn", "commit_ts")
     action = F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv])
-    tuples = raw.where(F.col("kind").isin(*ACTIONS)).select("xid", F.col("lsn").alias("seq"), action[F.col("kind")].alias("action"), "relation_id", "values", "old")
-    versions = relation_versions(raw).withColumnRenamed("relation_id", "r")
-    named = tuples.join(versions, (F.col("relation_id") == F.col("r")) & (F.col("seq") >= F.col("since")) & (F.col("seq") < F.col("before")), "left")
-    rows = split_key_changes(stamp_commits(_decoded(named), commits))
-    return rows.withColumnRenamed("seq", "offset").withColumn("partition", F.lit(0)).drop("xid")
+    tuples = raw.where(F.col("kind").isin(*ACTIONS)).withColumnsRenamed({"lsn": "seq"}).withColumn("action", action[F.col("kind")])
+    if "commit_lsn" in raw.columns:
+        named = tuples.select("xid", "seq", "action", "relation.*", "values", "old", F.col("commit_lsn").alias("lsn"), "commit_ts")
+        rows = _decoded(named, ["lsn", "commit_ts"])
+    else:
+        commits = raw.where("kind = 'C'").select("xid", "lsn", "commit_ts")
+        versions = relation_versions(raw).withColumnRenamed("relation_id", "r")
+        plain = tuples.select("xid", "seq", "action", "relation_id", "values", "old")
+        named = plain.join(versions, (F.col("relation_id") == F.col("r")) & (F.col("seq") >= F.col("since")) & (F.col("seq") < F.col("before")), "left")
+        rows = stamp_commits(_decoded(named), commits)
+    return split_key_changes(rows).withColumnRenamed("seq", "offset").withColumn("partition", F.lit(0)).drop("xid")
 
 
 def snapshot_events(rows: DataFrame, table: str, keys: list[str], start, types: dict[str, str] | None = None) -> DataFrame:

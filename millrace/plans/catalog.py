@@ -524,6 +524,19 @@ def moved_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge(empty_replica(spark, w.ORDER_KEYS, w.ORDER_COLUMNS), folded, ["o_orderkey"], sorted(w.ORDER_COLUMNS), F.lit(w.START)).select("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
+@query(
+    "SELECT CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey + 30000000 ELSE o_orderkey END AS o_orderkey, "
+    "CASE WHEN o_orderkey % 50 = 0 THEN '3' WHEN o_orderkey % 50 = 3 THEN 'B' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 50 <> 7"
+)
+def moved_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that moved from key to key, by way of messages, keep what no move has resent."""
+    changes, _ = from_raw(w.raw_chains(spark, sf_dir))
+    changes = codec.decoded(codec.encoded(changes))
+    carried = ingest.carry_key_changes(changes.withColumns({"partition": F.lit(0), "offset": F.col("seq")}))
+    folded = folds.typed(folds.key_columns(folds.fold(carried, sorted(w.ORDER_COLUMNS)), w.ORDER_KEYS), w.ORDER_COLUMNS)
+    return merge(empty_replica(spark, w.ORDER_KEYS, w.ORDER_COLUMNS), folded, ["o_orderkey"], sorted(w.ORDER_COLUMNS), F.lit(w.START)).select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
 _CUSTOMER = "c_custkey || '|' || CAST(c_acctbal AS DECIMAL(38, 6)) || '|' || c_mktsegment || '|' || c_name || '|' || c_nationkey"
 _ORDERS = "o_orderkey || '|' || o_custkey || '|' || CAST(epoch_us(o_orderdate) AS BIGINT) || '|' || o_orderpriority || '|' || o_orderstatus || '|' || CAST(o_totalprice AS DECIMAL(38, 6))"
 _CHECKED = (("customer", _CUSTOMER, "c_custkey"), ("orders", _ORDERS, "o_orderkey"))

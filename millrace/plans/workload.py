@@ -168,6 +168,33 @@ def raw_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order inserted; of 50, one then moves to three other keys in turn, one moves away and back, one moves twice and is deleted.
+
+    No move resends the priority, and each is a transaction of its own.
+    """
+    o = table(spark, sf_dir, "orders")
+    k, empty, ts = F.col("o_orderkey"), sent(F.lit(None).cast("string")), F.col("o_orderdate").cast("timestamp")
+    first = F.array(sent(k), sent(F.col("o_orderstatus")), sent(F.col("o_orderpriority")))
+    far = lambda n: k + n * 10_000_000
+
+    def move(rows, place, old, new, status):
+        update = rows.select(*_message(100 * k + place, "U", 10 * k + place, None, F.lit(1), None, F.array(sent(new), sent(F.lit(status)), unsent()), F.array(sent(old), empty, empty)))
+        return update.unionByName(rows.select(*_message(100 * k + place + 1, "C", 10 * k + place, ts)))
+
+    on, back, gone = o.where(k % 50 == 0), o.where(k % 50 == 3), o.where(k % 50 == 7)
+    out = relation_message(spark, 1, "public.orders", [("o_orderkey", 20, True), ("o_orderstatus", 25, False), ("o_orderpriority", 25, False)])
+    for part in (
+        o.select(*_message(100 * k + 1, "I", 10 * k, None, F.lit(1), None, first)), o.select(*_message(100 * k + 2, "C", 10 * k, ts)),
+        move(on, 3, k, far(1), "1"), move(on, 5, far(1), far(2), "2"), move(on, 7, far(2), far(3), "3"),
+        move(back, 3, k, far(1), "A"), move(back, 5, far(1), k, "B"),
+        move(gone, 3, k, far(1), "X"), move(gone, 5, far(1), far(2), "Y"),
+        gone.select(*_message(100 * k + 7, "D", 10 * k + 7, None, F.lit(1), None, None, F.array(sent(far(2)), empty, empty))), gone.select(*_message(100 * k + 8, "C", 10 * k + 7, ts)),
+    ):
+        out = out.unionByName(part)
+    return out
+
+
 def generated(spark: SparkSession, n: int, width: int = 200) -> DataFrame:
     """(id, payload): rows of filler text that depend on their id alone."""
     return spark.range(n).select("id", F.substring(F.repeat(F.md5(F.col("id").cast("string").cast("binary")), -(-width // 32)), 1, width).alias("payload"))

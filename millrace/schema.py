@@ -24,10 +24,16 @@ ENVELOPE = T.StructType(
         T.StructField("after", _text_map),
         T.StructField("unchanged", T.ArrayType(T.StringType())),
         T.StructField("types", _text_map),
+        # of a row that was moved from another key: that key
+        T.StructField("prev_pk", _text_map),
+        # the change's own place in the source's log, the same for both halves of a move
+        T.StructField("seq", T.LongType()),
     ]
 )
-#: The envelope and its place in the log.
-CHANGE = T.StructType([*ENVELOPE.fields, T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType())])
+#: Fields that a change need not have.
+LATER = ("prev_pk", "seq")
+#: The envelope without these, and its place in the log.
+CHANGE = T.StructType([*(f for f in ENVELOPE.fields if f.name not in LATER), T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType())])
 
 #: Type numbers of the source's catalog and their names.
 TYPE_NAMES = {

@@ -147,10 +147,11 @@ class Settings:
         return stream_topic(spark, self.broker, self.topic, self.flush_events, f"{self.flush_seconds:g}s")
 
     def wal(self, spark: SparkSession):
-        """The recorded log, in batches by number of events; start it with ``every`` for their age."""
+        """The rows of the recorded log's finished transactions, read in batches by number of changes or age of the first."""
         from millrace.sources.wal import stream_wal
+        from millrace.streaming.transactions import committed
 
-        return stream_wal(spark, self.source, f"{self.store}/slots", self.slot, self.flush_events)
+        return committed(stream_wal(spark, self.source, f"{self.store}/slots", self.slot, self.flush_events, self.flush_seconds))
 
     @property
     def every(self) -> str:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import threading
 import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions.embed import check_dim
 from millrace.operators import codec
@@ -17,6 +19,7 @@ from millrace.operators.fold import fold, key_columns, typed
 from millrace.operators.ingest import assembled, carry_key_changes, snapshot_events, values_of
 from millrace.operators.merge import empty_replica, evolve, merge, upsert
 from millrace.sources.registry import Registry, Table
+from millrace.sources.wal import Slot, SlotState
 from millrace.streaming.store import Conflict, Store
 
 #: How often a batch starts over when another writer has changed one of its tables.
@@ -39,7 +42,7 @@ def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def from_raw(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Change rows and rejected rows of raw replication messages."""
+    """Change rows and rejected rows of raw replication messages, or of rows that ``transactions.committed`` has put together."""
     rows = assembled(raw)
     return rows.where("error is null").drop("error"), rows.where("error is not null")
 
@@ -100,6 +103,10 @@ class Replicator:
 
     def batch(self, messages: DataFrame, batch: int) -> None:
         """A ``foreachBatch`` sink: Spark records the batch as done only after this has committed."""
+        if self.store.committed(self.query) >= batch:
+            # a replay; it is read all the same, so that operators with state move on
+            messages.write.format("noop").mode("overwrite").save()
+            return
         changes, rejected = self.decode(messages)
         if self.on_reject:
             self.on_reject(rejected)
@@ -119,15 +126,44 @@ class Replicator:
     def backfilled(self, name: str) -> bool:
         return self.store.committed(f"backfill of {name}") >= 0
 
+    def resume(self, slot: Slot, tables: Mapping[str, DataFrame], start) -> SlotState:
+        """Create a slot or resume it: a fresh one first gets the snapshot, before any stream starts.
+
+        Only when all tables are in does the slot count as having its snapshot; a run that was cut short goes on with the tables that are left.
+        """
+        state = slot.ensure()
+        if state.fresh:
+            self.backfill({n: t for n, t in tables.items() if not self.backfilled(n)}, start)
+            slot.snapshot_done()
+        return state
+
     def start(self, stream: DataFrame, checkpoint: str, every: str | None = None, gate: Gate | None = None):
-        """Run over a stream of messages; without ``every``, until what is there has been read."""
+        """Run over a stream of messages; without ``every``, until all that is there has been read, in as many batches as that takes."""
         def sink(df: DataFrame, n: int) -> None:
             if gate:
                 gate.wait()
             self.batch(df, n)
 
         writer = stream.writeStream.queryName(self.query).option("checkpointLocation", checkpoint).foreachBatch(sink)
-        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+        if every:
+            return writer.trigger(processingTime=every).start()
+        return drained(writer.trigger(processingTime="0 seconds").start())
+
+
+def drained(query: StreamingQuery) -> StreamingQuery:
+    """Let a query run until its sources have nothing more, then stop it; what it fails with is told by ``awaitTermination``.
+
+    A one-shot trigger asks some sources for their end only once, so that one with bounded batches would stop after the first.
+    """
+    def watch() -> None:
+        try:
+            query.processAllAvailable()
+        except Exception:  # noqa: BLE001  the query keeps it
+            return
+        query.stop()
+
+    threading.Thread(target=watch, daemon=True).start()
+    return query
 
 
 class DocumentWriter:
@@ -170,7 +206,7 @@ class DocumentWriter:
 
     def start(self, stream: DataFrame, checkpoint: str, every: str | None = None):
         writer = stream.writeStream.queryName(self.query).option("checkpointLocation", checkpoint).foreachBatch(self.batch)
-        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+        return writer.trigger(processingTime=every).start() if every else drained(writer.trigger(processingTime="0 seconds").start())
 
 
 class SnapshotLoop:
