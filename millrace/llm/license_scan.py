@@ -137,11 +137,16 @@ class Index:
         self.out_of_place += len(out_of_place)
         return [t for t in shared if len(held) >= self.need[t] and t not in out_of_place]
 
-    def best(self, block: list[bytes]) -> list[tuple[str, float]]:
-        """(label, containment) of every template that the block holds."""
-        out = []
+    def best(self, block: list[bytes], contained: set[str] | None = None) -> list[tuple[str, float]]:
+        """(label, containment) of every template that the block holds.
+
+        ``contained`` gets the labels of all templates whose words reach the threshold anywhere in the block.
+        """
+        out, words = [], frozenset(block)
         for t in self.candidates(block):
             self.verified += 1
+            if contained is not None and len(self.sets[t] & words) >= self.need[t]:
+                contained.add(self.labels[t])
             if (n := self.within(t, block)) >= self.need[t]:
                 out.append((self.labels[t], n / self.size[t]))
         return out
@@ -172,25 +177,24 @@ class Index:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, keep: Sequence[str] | None = None) -> DataFrame:
     """One row a document with its base phrases and the templates its blocks hold.
 
-    A phrase after a word of ``OTHERS`` of its label counts as base finding, but doesn't put the label among ``labels``.
-    ``score`` is the largest containment of a template that a block reaches, 1 where a base phrase stands,
+    ``labels`` has all of ``base_labels`` and those of the templates; ``contained`` the labels of templates whose words reach the
+    threshold within a block, wherever they stand there. ``score`` is the largest containment of a template that a block reaches, 1 where a base phrase stands,
     else 0. Null and empty texts have no words and no labels (empty strings, null places).
     Repeated rows stay repeated; other columns of the input are left out unless in ``keep``.
     """
     vocabulary = sorted({w.decode() for _, t in templates for w in words_of(t)})
     index = Index(templates, frequencies(docs, vocabulary, text_col), threshold)
     sought = [(tuple(w.encode() for w in p.split()), label) for p, label in phrases]
-    others = {label: {w.encode() for w in words} for label, words in OTHERS.items()}
     lasts = {}
     for p, label in sought:
         lasts.setdefault(p[-1], []).append((p, label))
 
     def make():
         def work(texts):
-            out = [[] for _ in range(8)]
+            out = [[] for _ in range(9)]
             for text in texts:
                 found = words_of(text)
-                places, base, own, n = [], set(), set(), 0
+                places, base, n = [], set(), 0
                 for last, options in lasts.items():
                     at = -1
                     for _ in range(found.count(last)):
@@ -200,21 +204,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                             if start >= 0 and tuple(found[start : at + 1]) == p:
                                 places.append(start)
                                 base.add(label)
-                                if not start or found[start - 1] not in others.get(label, ()):
-                                    own.add(label)
                                 n += 1
-                held = {}
+                held, contained = {}, set()
                 if not index.words.isdisjoint(found):
                     for block in blocks_of(text):
-                        for label, part in index.best(block):
+                        for label, part in index.best(block, contained):
                             held[label] = max(part, held.get(label, 0.0))
-                labels = own | held.keys()
-                row = (len(found), n, min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if base else max(held.values(), default=0.0), len(held))
+                labels = base | held.keys()
+                row = (len(found), n, min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if base else max(held.values(), default=0.0), len(held), ",".join(sorted(contained)))
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             return out
 
         return work
 
-    fields = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_templates long"
+    fields = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_templates long, contained string"
     return per_document(docs.select(*[F.col(quoted(c)) for c in dict.fromkeys([*(keep or [id_col]), text_col])]), keep or [id_col], fields, make, text_col)
