@@ -55,7 +55,10 @@ def narrow(values: np.ndarray) -> np.ndarray:
 def products(v: np.ndarray, u: np.ndarray, a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
     """Inner products of rows ``a`` of ``v`` and ``b`` of ``u``, exact; ``bound`` is over each of them. Beyond a long they stay at its ends."""
     if bound < 1 << 53:
-        return np.concatenate([np.zeros(0, np.int64), *(np.einsum("ij,ij->i", v[a[i : i + 65536]].astype(float), u[b[i : i + 65536]].astype(float)).astype(np.int64) for i in range(0, len(a), 65536))])
+        kind = np.float32 if bound < 1 << 24 else np.float64
+        v, u = (v.astype(kind), u.astype(kind)) if len(v) < len(a) else (v, u.astype(kind))
+        step = 16384
+        return np.concatenate([np.zeros(0, np.int64), *(np.einsum("ij,ij->i", v[a[i : i + step]].astype(kind, copy=False), u[b[i : i + step]]).astype(np.int64) for i in range(0, len(a), step))])
     whole = [sum(x * y for x, y in zip(v[i].tolist(), u[j].tolist(), strict=True)) for i, j in zip(a, b, strict=True)]
     return np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in whole], np.int64)
 

@@ -55,7 +55,9 @@ class Block:
         dim = row["dim_"]
         self.ids, self.rows = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["rows"], "<i8")
         self.v = np.frombuffer(row["vectors"], f"<i{row['width']}").reshape(-1, dim)
-        self.members, self.edges = np.frombuffer(row["members"], "<u4"), np.frombuffer(row["edges"], "<i8")
+        self.members, self.edges = np.frombuffer(row["members"], "<u4").astype(np.intp), np.frombuffer(row["edges"], "<i8")
+        part = np.repeat(np.arange(len(self.edges) - 1) % dim, np.diff(self.edges))
+        self.worth = self.v[self.members, part].astype(np.float64)
         self.rests = np.frombuffer(row["rests"], "<f4").reshape(-1, len(self.v))
         self.place = {r: i for i, r in enumerate(self.rows.tolist())}
         self.norm = float(np.sqrt((self.v.astype(float) ** 2).sum(1)).max(initial=0.0))
@@ -77,12 +79,16 @@ class Block:
             if row in self.place:
                 sums[self.place[row], q] = -np.inf
         members, queries, open_, skipped = [], [], np.arange(m), 0
+        worth = self.worth.astype(kind)
+        held, more = (np.empty((int(np.diff(self.edges).max(initial=0)), m), kind) for _ in range(2))
         for step, rest in enumerate(self.rests):
             for part in range(dim):
                 a, b = self.edges[step * dim + part : step * dim + part + 2]
                 if a < b:
                     some = self.members[a:b]
-                    sums[some] += self.v[some, part].astype(kind)[:, None] * asked[part]
+                    now = np.take(sums, some, axis=0, out=held[: b - a], mode="clip")
+                    now += np.multiply(worth[a:b, None], asked[part], out=more[: b - a])
+                    sums[some] = now
             left = len(self.members) - int(self.edges[(step + 1) * dim])
             if left:
                 # the bounds cost as much as a few segments: a few queries tell whether they are worth it
@@ -99,7 +105,8 @@ class Block:
             if done.all():
                 break
             if done.any():
-                open_, sums, asked = open_[~done], sums[:, ~done], np.ascontiguousarray(asked[:, ~done])
+                open_, sums, asked = open_[~done], np.ascontiguousarray(sums[:, ~done]), np.ascontiguousarray(asked[:, ~done])
+                held, more = (np.empty((len(held), len(open_)), kind) for _ in range(2))
         member, query = np.concatenate(members), np.concatenate(queries)
         score = products(self.v, u, member, query, bound)
         by = np.lexsort((self.ids[member], -score.astype(float) if bound >= 1 << 53 else -score, query))
@@ -119,7 +126,8 @@ class Block:
         # the highest of disjoint handfuls of members: as many of them reach its k-th highest
         of = 8 if n >= 16 * k else 1
         tops = low[: n // of * of].reshape(n // of, of, -1).max(1) if of > 1 else low
-        least = np.partition(tops, len(tops) - k, axis=0)[len(tops) - k] if len(tops) >= k else np.full(len(lengths), -np.inf, sums.dtype)
+        tops = np.ascontiguousarray(tops.T)
+        least = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k] if tops.shape[1] >= k else np.full(len(lengths), -np.inf, sums.dtype)
         high = sums + off
         if slack:
             # scores beyond a long tie at its ends
