@@ -18,6 +18,7 @@ from millrace.functions.text import english, place_note, row_json
 from millrace.operators import latency, retrieve, usage, verify
 from millrace.operators.documents import PLACE_SUFFIX, PLACES, ranger_log
 from millrace.operators.merge import reset_or_insert
+from millrace.operators.nearest import nearest
 from millrace.sources import log
 from millrace.sources.errors import read_errors
 from millrace.sources.registry import Registry, Settings
@@ -339,7 +340,7 @@ class Service:
         asked = spark.createDataFrame([(0, question)], "question_id long, text string")
         words = retrieve.top(retrieve.keyword_scores(docs, retrieve.question_terms(asked, split=english), english), docs)
         query = spark.createDataFrame([(0, embedder.embed([question], True)[0])], "question_id long, embedding array<float>")
-        near = retrieve.top(retrieve.vector_scores(docs, query), docs)
+        near = nearest(docs, query, retrieve.TOP)
         hits = retrieve.contexts(retrieve.hybrid(words, near), docs).join(docs.select("key", "commit_ts"), "key").orderBy("rank").collect()
         found = [r.context for r in hits]
         newest = max((r.commit_ts for r in hits if r.commit_ts), default=None)

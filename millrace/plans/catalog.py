@@ -12,11 +12,15 @@ from millrace.functions import embed, text
 from millrace.operators import codec, documents, ingest, latency, retrieve, usage, verify
 from millrace.operators import fold as folds
 from millrace.operators.merge import APPLY_TS, COMMIT_TS, LSN, empty_replica, merge
+from millrace.operators.nearest import nearest
 from millrace.plans import workload as w
 from millrace.sources import registry
 from millrace.sources.errors import read_errors
+from millrace.streaming.keyword_index import KeywordIndex
 from millrace.streaming.ratelimit import limited
 from millrace.streaming.replicate import from_raw
+from millrace.streaming.store import Store
+from millrace.streaming.vector_index import VectorIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -411,7 +415,25 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = w.table(spark, sf_dir, "embeddings")
     docs = e.select(F.col("vec_id").alias("key"), "embedding", F.lit(None).cast("timestamp").alias("updated_at"))
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
-    return retrieve.top(retrieve.vector_scores(docs, q).where("key <> question_id"), docs)
+    return nearest(docs, q, retrieve.TOP, own=True)
+
+
+#: What the change stream leaves of a table with ids: a tenth deleted, a tenth changed.
+_LEFT = "SELECT vec_id, CASE WHEN vec_id % 10 = 7 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 10 <> 3"
+
+
+@query(
+    "SELECT question_id, vec_id, CAST(pos AS INTEGER) AS pos, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, vec_id) AS pos FROM "
+    "(SELECT q.vec_id AS question_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM (" + _LEFT + ") e, embeddings q WHERE q.vec_id % 20 = 0)) WHERE pos <= 5"
+)
+def indexed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in a stored index that then takes up deletes and changes, searched exactly through its cells."""
+    e = w.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    index = VectorIndex(Store(spark, w.scratch_folder(spark)), "vectors")
+    index.build(e)
+    index.apply(e.where("key % 10 = 7").withColumn("embedding", F.transform("embedding", lambda x: -x)), e.where("key % 10 = 3"))
+    asked = e.where("key % 20 = 0").select(F.col("key").alias("question_id"), "embedding")
+    return index.search(asked, retrieve.TOP).select("question_id", F.col("key").alias("vec_id"), "pos", F.round("score", 6).alias("score"))
 
 
 _KEYWORDS = (
@@ -436,6 +458,22 @@ def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("question_id", F.col("key").alias("doc_id"), "pos", F.round("score", 6).alias("score"))
 
 
+@query(
+    "WITH left_over AS (SELECT doc_id, CASE WHEN doc_id % 10 = 7 THEN (SELECT any_value(text) FROM benchmark WHERE item_id = doc_id % 40) || ' ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 3), "
+    + _KEYWORDS.replace("FROM documents", "FROM left_over") + " SELECT item_id AS question_id, doc_id, CAST(pos AS INTEGER) AS pos, round(score, 6) AS score FROM kw"
+)
+def indexed_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in a stored keyword index that then takes up deletes and changed texts, asked the benchmark's questions."""
+    docs = w.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    asked = w.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+    index = KeywordIndex(Store(spark, w.scratch_folder(spark)), "words")
+    index.build(docs)
+    item = asked.select(F.col("question_id").alias("item"), F.col("text").alias("more")).dropDuplicates(["item"])
+    changed = docs.where("key % 10 = 7").withColumn("item", F.col("key") % 40).join(item, "item", "left").select("key", F.concat("more", F.lit(" "), "text").alias("text"))
+    index.apply(changed, docs.where("key % 10 = 3"))
+    return index.search(asked).select("question_id", F.col("key").alias("doc_id"), "pos", F.round("score", 6).alias("score"))
+
+
 @query(
     "WITH " + _KEYWORDS + ", hits AS (SELECT item_id, doc_id, 0 AS source, pos FROM kw UNION ALL SELECT item_id, doc_id, 1, 1 + doc_id % 5 FROM documents, (SELECT item_id FROM benchmark) WHERE doc_id // 5 = item_id), "
     "fst AS (SELECT item_id, doc_id, min(source * 10 + pos) AS at_us FROM hits GROUP BY 1, 2) "
@@ -651,5 +689,5 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits, docs = _words(spark, sf_dir)
     vectors = docs.select("key", embed.hash_embed(F.col("text"), DIM).alias("embedding"), "updated_at")
     asked = w.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), embed.hash_embed(F.col("text"), DIM).alias("embedding"))
-    near = retrieve.top(retrieve.vector_scores(vectors, asked), docs)
+    near = nearest(vectors, asked, retrieve.TOP)
     return retrieve.hybrid(hits, near).select("question_id", F.col("key").alias("doc_id"), "rank", "found_by")
