@@ -327,8 +327,11 @@ class Service:
     def latency(self, table: str, since=None) -> str:
         return latency.report(self.store.read(table), since)
 
-    def ask(self, question: str, mode: str, table: str, embedder, answerer=None) -> dict:
-        """Keyword and vector hits over the live documents or their last copy, and an answer."""
+    def ask(self, question: str, mode: str, table: str, embedder, answerer=None, words=None, vectors=None, probe: int | None = None) -> dict:
+        """Keyword and vector hits over the live documents or their last copy, and an answer.
+
+        Live questions go to the indexes ``words`` and ``vectors`` where these are given, the latter with ``probe`` cells or exactly.
+        """
         question = retrieve.checked_question(question)
         if mode not in ("live", "batch"):
             raise ValueError("mode must be live or batch")
@@ -338,10 +341,14 @@ class Service:
         spark = self.store.spark
         docs = self.store.read(name).withColumn("key", F.concat_ws(":", "table", "pk_key"))
         asked = spark.createDataFrame([(0, question)], "question_id long, text string")
-        words = retrieve.top(retrieve.keyword_scores(docs, retrieve.question_terms(asked, split=english), english), docs)
+        live = mode == "live"
+        if words is not None and live:
+            said = words.search(asked)
+        else:
+            said = retrieve.top(retrieve.keyword_scores(docs, retrieve.question_terms(asked, split=english), english), docs)
         query = spark.createDataFrame([(0, embedder.embed([question], True)[0])], "question_id long, embedding array<float>")
-        near = nearest(docs, query, retrieve.TOP)
-        hits = retrieve.contexts(retrieve.hybrid(words, near), docs).join(docs.select("key", "commit_ts"), "key").orderBy("rank").collect()
+        near = vectors.search(query, retrieve.TOP, probe) if vectors is not None and live else nearest(docs, query, retrieve.TOP)
+        hits = retrieve.contexts(retrieve.hybrid(said, near), docs).join(docs.select("key", "commit_ts"), "key").orderBy("rank").collect()
         found = [r.context for r in hits]
         newest = max((r.commit_ts for r in hits if r.commit_ts), default=None)
         out = {"answer": (answerer or retrieve.Extractive()).answer(question, found), "sources": [r.asDict() for r in hits], "as_of": self.store.as_of(name), "newest": newest}

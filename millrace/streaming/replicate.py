@@ -20,7 +20,9 @@ from millrace.operators.ingest import assembled, carry_key_changes, snapshot_eve
 from millrace.operators.merge import empty_replica, evolve, merge, upsert
 from millrace.sources.registry import Registry, Table
 from millrace.sources.wal import Slot, SlotState
+from millrace.streaming.keyword_index import KeywordIndex
 from millrace.streaming.store import Conflict, Store
+from millrace.streaming.vector_index import VectorIndex
 
 #: How often a batch starts over when another writer has changed one of its tables.
 ATTEMPTS = 5
@@ -166,15 +168,24 @@ def drained(query: StreamingQuery) -> StreamingQuery:
     return query
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """Rows of documents with their key in one column."""
+    return rows.withColumn("key", F.concat_ws(":", "table", "pk_key"))
+
+
 class DocumentWriter:
     """The second consumer of the stream: a document and an embedding a row."""
 
     VECTORS = "search.documents"
 
-    def __init__(self, store: Store, registry: Registry, query: str, embedded: Mapping[str, list[str]], render: Callable[[DataFrame], DataFrame], embed, clock: Callable[[], float] = time.time, embedder=None):
-        """``embedder``, if given, is asked for its dimension, which must be that of the stored vectors."""
+    def __init__(self, store: Store, registry: Registry, query: str, embedded: Mapping[str, list[str]], render: Callable[[DataFrame], DataFrame], embed, clock: Callable[[], float] = time.time, embedder=None, words: KeywordIndex | None = None, vectors: VectorIndex | None = None):
+        """``embedder``, if given, is asked for its dimension, which must be that of the stored vectors.
+
+        ``words`` and ``vectors`` are indexes over the documents, by table and key; once built (``index``), each batch keeps them up in its own commit.
+        """
         self.store, self.registry, self.query = store, registry, query
         self.embedded, self.render, self.embed, self.clock, self.embedder = embedded, render, embed, clock, embedder
+        self.words, self.vectors = words, vectors
         if embedder is not None and (dim := store.meta(self.VECTORS).get("dim")):
             check_dim(dim, embedder)
 
@@ -185,8 +196,23 @@ class DocumentWriter:
         keys = ["table", "pk_key"]
         touched = self.store.touched(folded, keys, self.VECTORS, base)
         target = self.store.read(self.VECTORS, touched, base) if self.store.exists(self.VECTORS, base) else self.store.spark.createDataFrame([], rows.schema)
-        notes = {self.VECTORS: {"dim": self.embedder.dim}} if self.embedder is not None else None
-        self.store.commit({self.VECTORS: (upsert(target, rows, deleted(folded, self.embedded), keys), keys, touched)}, self.query, batch, self.clock(), base, notes)
+        gone = deleted(folded, self.embedded)
+        notes = {self.VECTORS: {"dim": self.embedder.dim}} if self.embedder is not None else {}
+        tables = {self.VECTORS: (upsert(target, rows, gone, keys), keys, touched)}
+        if self.words is not None and self.words.exists(base):
+            more, said = self.words.changes(keyed(rows), keyed(gone), base)
+            tables, notes = tables | more, notes | said
+        if self.vectors is not None and self.vectors.exists(base):
+            tables |= self.vectors.changes(keyed(rows), keyed(gone), base)
+        self.store.commit(tables, self.query, batch, self.clock(), base, notes)
+
+    def index(self, cells: int | None = None) -> None:
+        """Build the indexes over the documents that there are. Not beside a running stream."""
+        docs = keyed(self.store.read(self.VECTORS))
+        if self.words is not None:
+            self.words.build(docs)
+        if self.vectors is not None:
+            self.vectors.build(docs, cells)
 
     def batch(self, messages: DataFrame, batch: int) -> None:
         if self.store.committed(self.query) >= batch:

@@ -146,3 +146,34 @@ def test_keyword_index_follows_changes(spark, tmp_path):
     check()
     read = [str(f) for f in index.search(asked).inputFiles()]
     assert not any(index.documents in f for f in read)
+
+
+def test_documents_keep_their_indexes(spark, tmp_path):
+    """The document writer's batches reach both indexes in the same commit; live answers are those of a scan."""
+    from millrace import control
+    from millrace.functions.text import english
+    from millrace.plans import workload as w
+    from millrace.sources import log, registry
+    from millrace.streaming.keyword_index import KeywordIndex
+    from millrace.streaming.replicate import DocumentWriter
+    from tests.conftest import SF
+
+    tables = registry.Registry()
+    tables.add(registry.Table(w.USER_STATE, w.USER_KEYS, w.USER_COLUMNS))
+    store = Store(spark, "file://" + str(tmp_path / "docs"), 4)
+    hashed = embed.HashEmbedder(32)
+    words, vectors = KeywordIndex(store, "search.words", english), VectorIndex(store, "search.near")
+    writer = DocumentWriter(store, tables, "docs", {w.USER_STATE: ["event_type"]}, lambda f: f.withColumn("text", F.concat(F.lit("user "), F.try_element_at("pk", F.lit("user_id")), F.lit(" did "), F.col("event_type"))), lambda t: embed.hash_embed(t, 32), words=words, vectors=vectors)
+    events = w.event_log(spark, SF)
+    for n, (lo, hi) in enumerate(((0, 500), (500, 2000))):
+        path = str(tmp_path / f"log{n}")
+        log.publish(events.where((F.col("offset") >= lo) & (F.col("offset") < hi)), path, 2)
+        writer.batch(log.read_log(spark, path), n)
+        if not n:
+            writer.index(6)
+    docs = store.read(writer.VECTORS)
+    assert words.count() == docs.count() == store.read(vectors.places).count() == store.read(vectors.rows).count()
+    service = control.Service(store, tables, str(tmp_path / "errors"))
+    for question in ("which click", "user 7 did what", "zebra"):
+        scan = service.ask(question, "live", writer.VECTORS, hashed)
+        assert service.ask(question, "live", writer.VECTORS, hashed, words=words, vectors=vectors) == scan
