@@ -6,7 +6,8 @@ A vector belongs to all filters whose inner product with it reaches a threshold
 codes and words that can reach it are looked at); one that reaches none takes its best. Vectors that share
 a filter are compared, exactly.
 
-The threshold follows from the number of dimensions and the wanted cosine: of ``PAIRS`` seeded random
+The number of words follows the number of vectors (``words_for``), so that filters stay small: with words as its power 0.6, the vectors that one is compared
+with grow by about a power of 0.2 (measured in the tests). The threshold follows from the number of dimensions, the words and the wanted cosine: of ``PAIRS`` seeded random
 pairs at just that cosine it leaves the share ``MISS`` without a common filter. So a pair at the
 limit is missed with about that chance, in any number of dimensions, and a closer one less often.
 
@@ -31,19 +32,28 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import components, quoted, stage
 
-COSINE, MISS, CODES, WORDS, SEED = 0.9, 0.003, 64, 16, 5
-#: Pairs that the threshold is measured on.
-PAIRS = 4000
+COSINE, MISS, CODES, SEED = 0.9, 0.003, 64, 5
+#: Words a half for up to ``BASE`` vectors, how they grow with the vectors beyond, and the most there are.
+WORDS, BASE, GROWTH, MOST = 16, 5000, 0.6, 256
+#: Pairs that the threshold is measured on, and words of a half that are tried for each.
+PAIRS, TRIED = 4000, 16
 #: Vectors in a tile; of one tile so many rows are compared with the other at a time.
 TILE, ROWS = 4096, 512
 
 
+def words_for(n: int) -> int:
+    """How many words a half should have for ``n`` vectors."""
+    return min(MOST, 8 * round(WORDS / 8 * max(1.0, n / BASE) ** GROWTH))
+
+
 class Filters:
-    """The product codes for one number of dimensions."""
+    """The product codes for one number of dimensions; without a ``threshold`` it is measured."""
 
-    def __init__(self, dim: int, cosine: float = COSINE, miss: float = MISS, codes: int = CODES, words: int = WORDS, seed: int = SEED):
+    def __init__(self, dim: int, cosine: float = COSINE, miss: float = MISS, codes: int = CODES, words: int = WORDS, seed: int = SEED, threshold: float | None = None):
         rng = np.random.default_rng([seed, dim])
         self.codes, self.words, cut = codes, words, (dim + 1) // 2
+        #: Rows decoded at a time, so that their products with all words stay small.
+        self.slice = max(16, 1024 * 16 // words)
         turn, halves = np.linalg.qr(rng.standard_normal((dim, dim)))[0], []
         for _ in range(codes):
             axes = rng.permutation(dim)
@@ -52,19 +62,29 @@ class Filters:
                 halves.append(part @ (w / np.linalg.norm(w, axis=0, keepdims=True)) * np.sqrt(0.5) if len(w) else np.zeros((dim, words)))
         #: All words side by side: code, half, word.
         self.table = np.concatenate(halves, axis=1).astype(np.float32)
-        self.threshold = self._measured(dim, cosine, miss, rng)
+        self.threshold = self._measured(dim, cosine, miss, rng) if threshold is None else threshold
 
     def _measured(self, dim: int, cosine: float, miss: float, rng) -> float:
+        """The threshold that the share ``miss`` of the pairs don't reach in a common filter.
+
+        Of a half only the ``TRIED`` words that are nearest to both are tried, so it is rather too low than too high.
+        """
         u, w = rng.standard_normal((2, PAIRS, dim))
         u /= np.linalg.norm(u, axis=1, keepdims=True)
         w -= (w * u).sum(1, keepdims=True) * u
         w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300)
-        best = np.full(PAIRS, -2.0, np.float32)
-        ours, theirs = self._products(u), self._products(cosine * u + np.sqrt(max(0.0, 1 - cosine * cosine)) * w)
-        for c in range(self.codes):
-            for i in range(self.words):
-                met = np.minimum(ours[:, c, 0, i, None] + ours[:, c, 1], theirs[:, c, 0, i, None] + theirs[:, c, 1])
-                np.maximum(best, met.max(1), out=best)
+        v = cosine * u + np.sqrt(max(0.0, 1 - cosine * cosine)) * w
+        best, tried = np.full(PAIRS, -2.0, np.float32), min(TRIED, self.words)
+        for at in range(0, PAIRS, self.slice):
+            some = slice(at, at + self.slice)
+            ours, theirs = self._products(u[some]), self._products(v[some])
+            if tried < self.words:
+                top = np.argpartition(-(ours + theirs), tried - 1, axis=3)[..., :tried]
+                ours, theirs = np.take_along_axis(ours, top, 3), np.take_along_axis(theirs, top, 3)
+            for c in range(self.codes):
+                for i in range(tried):
+                    met = np.minimum(ours[:, c, 0, i, None] + ours[:, c, 1], theirs[:, c, 0, i, None] + theirs[:, c, 1])
+                    best[some] = np.maximum(best[some], met.max(1))
         return float(np.quantile(best, miss))
 
     def _products(self, unit: np.ndarray) -> np.ndarray:
@@ -72,7 +92,20 @@ class Filters:
 
     def of(self, unit: np.ndarray) -> list[np.ndarray]:
         """For each row of unit vectors the numbers, ascending, of the filters that it reaches, or of its best one."""
-        got = self._products(unit)
+        out = []
+        for at in range(0, len(unit), self.slice):
+            part = unit[at : at + self.slice]
+            got = self._products(part)
+            found = self._reached(part, got)
+            for i in np.flatnonzero([not len(x) for x in found]):
+                c = int(got[i].max(2).sum(1).argmax())
+                found[i] = np.array([(c * self.words + got[i, c, 0].argmax()) * self.words + got[i, c, 1].argmax()])
+            out += found
+        return out
+
+    def _reached(self, unit: np.ndarray, got: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each row the filters that it reaches, which may be none."""
+        got = self._products(unit) if got is None else got
         most = got.max(3)
         rows, numbers = [], []
         for c in range(self.codes):
@@ -85,11 +118,7 @@ class Filters:
             numbers.append((c * self.words + i[k]) * self.words + j)
         row, number = np.concatenate(rows), np.concatenate(numbers)
         by = np.argsort(row, kind="stable")
-        out = np.split(number[by], np.searchsorted(row[by], np.arange(1, len(unit))))
-        for at in np.flatnonzero([not len(x) for x in out]):
-            c = int(most[at].sum(1).argmax())
-            out[at] = np.array([(c * self.words + got[at, c, 0].argmax()) * self.words + got[at, c, 1].argmax()])
-        return out
+        return np.split(number[by], np.searchsorted(row[by], np.arange(1, len(unit))))
 
 
 def _usable(vector: str):
@@ -165,16 +194,19 @@ def _compared(keys, weight, unit, lists, tiles, number: int, p: int, q: int, cos
 LINKED = "key long, least long, linked long"
 
 
-def cap_links(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS, codes: int = CODES, words: int = WORDS, seed: int = SEED, tile: int = TILE) -> DataFrame:
+def cap_links(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS, codes: int = CODES, words: int | None = None, seed: int = SEED, tile: int = TILE) -> DataFrame:
     """Links between the vectors ``v`` of ``key`` (long, one row each) with weight ``n``, at ``cosine`` or above.
 
     Rows (key, least, linked): in some group the vector ``key`` has links to other vectors of weight
     ``linked`` and reaches the vector ``least``. Each link found counts once on either side.
     """
     element = vectors.schema["v"].dataType.elementType
+    words = words or words_for(vectors.count())
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("v", T.ArrayType(element)), T.StructField("dim", T.IntegerType()), T.StructField("filters", T.ArrayType(T.IntegerType()))])
     stored = to_arrow_type(element)
     number = "short" if codes * words * words < 1 << 15 else "int"
+    # a row a length of vectors; what is measured is measured once
+    thresholds = {r.dim: Filters(r.dim, cosine, miss, codes, words, seed).threshold for r in vectors.select(F.size("v").alias("dim")).distinct().collect()}
 
     def decode(batches):
         made: dict[int, Filters] = {}
@@ -188,7 +220,7 @@ def cap_links(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS, co
                 found: list = [None] * len(vs)
                 for dim, at in by_dim.items():
                     if dim not in made:
-                        made[dim] = Filters(dim, cosine, miss, codes, words, seed)
+                        made[dim] = Filters(dim, cosine, miss, codes, words, seed, thresholds[dim])
                     for i, x in zip(at, made[dim].of(_unit(np.array([vs[i] for i in at], float))), strict=True):
                         found[i] = x
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.list_(stored)), pa.array(map(len, vs), pa.int32()), pa.array(found, pa.list_(pa.int32()))], schema.names)

@@ -2,8 +2,8 @@
 
 Documents become token ids with an end id. They are dealt to shards of about ``shard_tokens``
 tokens by their strongest term, the one with the largest BM25 weight among those that other documents hold too: the
-terms lie side by side on a line, each as long as its documents have tokens, and shards are equal cuts of it. So documents
-that are about the same thing meet however large the corpus; a term with many documents spans several shards.
+terms lie side by side on a line, each as long as its documents have tokens, and shards are equal cuts of it. A seed is answered by its own
+shard alone, so of its best neighbours in the whole corpus only some are in reach, the fewer the more shards there are (figures in the README).
 Each shard has its own BM25 index over token ids, with document frequencies and the mean length
 counted over all documents. A window starts with a seed (what the last window cut off, or the
 next unused document); the shard's unused neighbours of the seed, scored by all of its terms, best first, fill it, and the last is cut at its

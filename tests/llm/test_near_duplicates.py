@@ -287,3 +287,22 @@ def test_staged_tables_can_be_cleared(spark):
     assert Path(where).is_dir()
     common.clear(spark)
     assert not common._staged and not Path(where).exists()
+
+
+def test_comparisons_grow_little_faster_than_vectors():
+    """Ten times the vectors: each meets less than twice as many others, and as few pairs at the limit are missed."""
+    from millrace.llm.caps import Filters, words_for
+
+    rng, met = np.random.default_rng(12), []
+    for n in (5_000, 50_000):
+        u = rng.standard_normal((n, 64))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        filters = Filters(64, words=words_for(n))
+        sizes = np.bincount(np.concatenate(filters.of(u)), minlength=filters.codes * filters.words**2).astype(float)
+        met.append((sizes * (sizes - 1)).sum() / n)
+        w = rng.standard_normal((2000, 64))
+        w -= (w * u[:2000]).sum(1, keepdims=True) * u[:2000]
+        w /= np.linalg.norm(w, axis=1, keepdims=True)
+        near = filters.of(0.9 * u[:2000] + np.sqrt(1 - 0.81) * w)
+        assert np.mean([not np.intersect1d(x, y).size for x, y in zip(filters.of(u[:2000]), near)]) < 0.01
+    assert words_for(50_000) > words_for(5_000) == 16 and met[1] < 2 * met[0]
