@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace import control, schema
 from millrace.functions import embed, text
-from millrace.operators import codec, documents, ingest, latency, retrieve, usage, verify
+from millrace.operators import codec, digests, documents, ingest, latency, retrieve, usage, verify
 from millrace.operators import fold as folds
 from millrace.operators.merge import APPLY_TS, COMMIT_TS, LSN, empty_replica, merge
 from millrace.operators.nearest import nearest
@@ -244,6 +244,32 @@ def verify_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.compare({"nation": (n, ["n_nationkey"]), "region": (w.table(spark, sf_dir, "region"), ["r_regionkey"])}, {"nation": (bad, ["n_nationkey"])}, exact=True)
 
 
+@query(
+    "SELECT o_orderkey, CASE o_orderkey % 1000 WHEN 1 THEN 'changed' WHEN 2 THEN 'missing' END AS difference FROM orders WHERE o_orderkey % 1000 IN (1, 2) "
+    "UNION ALL SELECT o_orderkey + 1000000000, 'extra' FROM orders WHERE o_orderkey % 1000 = 3"
+)
+def verify_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of orders that a copy with changed, missing and extra rows differs in, found down a tree of digests."""
+    o = w.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    copy = o.where(k % 1000 != 2).withColumn("o_totalprice", F.when(k % 1000 == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    copy = copy.unionByName(o.where(k % 1000 == 3).withColumn("o_orderkey", k + 1_000_000_000))
+    return digests.differences(o, copy.repartition(5, "o_custkey"), ["o_orderkey"])
+
+
+_DIGEST_LEAF = (
+    "SELECT CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 2)) AS BIGINT) AS node, CAST(('0x' || substr(md5(o_orderkey || '|' || o_custkey || '|' || CAST(epoch_us(o_orderdate) AS BIGINT) || '|' || "
+    "o_orderpriority || '|' || o_orderstatus || '|' || CAST(o_totalprice AS DECIMAL(38, 6))), 1, 15)) AS BIGINT) AS h FROM orders"
+)
+
+
+@query("SELECT node, count(*) AS n_rows, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS hash_sum, bit_xor(h) AS hash_xor FROM (" + _DIGEST_LEAF + ") GROUP BY node")
+def digest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second level of the tree of digests of orders, made from the leaves."""
+    level = digests.tree(w.table(spark, sf_dir, "orders"), ["o_orderkey"])[2]
+    return level.select("node", F.col("n").alias("n_rows"), F.col("hash_sum").cast("string").alias("hash_sum"), "hash_xor")
+
+
 _APPLIED = "a AS (SELECT *, ts + (event_id % 40) * INTERVAL 100 MILLISECOND + INTERVAL 500 MILLISECOND AS applied, ((event_id % 40) * 100000 + 500000) / 1e6 AS s FROM events)"
 _MINUTES = _APPLIED + ", m AS (SELECT date_trunc('minute', applied) AS minute, count(*) AS n_rows, avg(s) AS avg_s, quantile_cont(s, 0.95) AS p95_s, max(s) AS max_s FROM a GROUP BY 1)"
 
