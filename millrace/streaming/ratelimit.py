@@ -12,7 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from millrace.streaming.transactions import ROCKS
 
 RESULT = "client string, at long, id long, accepted boolean"
 
@@ -62,17 +64,50 @@ def limited(requests: DataFrame, limit: int, window_us: int = 60_000_000) -> Dat
     return ordered.mapInPandas(run, RESULT)
 
 
-def limited_stream(requests: DataFrame, limit: int, window_us: int = 60_000_000) -> DataFrame:
-    """Stream form: accepted times of the window are a client's state."""
+#: Watermarks start at the epoch and drop what is not later; times count from a day on.
+SHIFT = 86_400_000_000
+
+
+class Limiter(StatefulProcessor):
+    """A client's accepted times of the last window, which a timer forgets once no later request can meet them."""
+
+    def __init__(self, limit: int, window_us: int):
+        self.limit, self.window = limit, window_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.recent = handle.getValueState("recent", "times array<long>")
 
-    def run(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["at", "id"])
-        accepted, recent = admit(rows["at"].to_numpy(), recent, limit, window_us)
-        state.update((recent,))
-        yield rows[["client", "at", "id"]].assign(accepted=accepted)
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        recent = list(self.recent.get()[0]) if self.recent.exists() else []
+        frame = pd.concat(list(rows)).sort_values(["at", "id"])
+        accepted, recent = admit(frame["at"].to_numpy(), recent, self.limit, self.window)
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if recent:
+            self.recent.update((recent,))
+            self.handle.registerTimer((recent[-1] + self.window + SHIFT) // 1000 + 1)
+        elif self.recent.exists():
+            self.recent.clear()
+        yield frame[["client", "at", "id"]].assign(accepted=accepted)
 
-    return requests.select("client", "at", "id").groupBy(F.col("client")).applyInPandasWithState(run, RESULT, "recent array<long>", "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.recent.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def limited_stream(requests: DataFrame, limit: int, window_us: int = 60_000_000, late: str = "60 seconds") -> DataFrame:
+    """Stream form: accepted times of the window are a client's state, forgotten when the watermark has passed them by a window.
+
+    Requests of a batch are taken in order of their times; across batches a client's requests should come in order. Those that are later than ``late`` behind the
+    latest time seen are dropped. So the state holds the clients of the last window and ``late`` only.
+    """
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    timed = requests.select("client", "at", "id", F.timestamp_micros(F.col("at") + SHIFT).alias("ts")).withWatermark("ts", late)
+    return timed.groupBy("client").transformWithStateInPandas(Limiter(limit, window_us), RESULT, "append", "eventtime")
 
 
 def client_address(forwarded: str | None, remote: str) -> str:

@@ -237,6 +237,28 @@ def test_rate_limit(spark, tmp_path):
     assert ratelimit.client_address("1.2.3.4, 5.6.7.8", "9.9.9.9:80") == "1.2.3.4" and ratelimit.client_address(None, "9.9.9.9:80") == "9.9.9.9"
 
 
+def test_limit_forgets_clients(spark, tmp_path):
+    """Over many batches the stream decides as the batch form does, and its state holds the clients of the last minutes only."""
+    second = 1_000_000
+    rows = [(f"c{n // 40}", (n * 3 + n % 2) * second, n) for n in range(400)]  # ten clients one after the other, two minutes each
+    rows += [("busy", n * 5 * second, 1000 + n) for n in range(240)]
+    rows.sort(key=lambda r: (r[1], r[2]))
+    schema = "client string, at long, id long"
+    want = {r.id: r.accepted for r in ratelimit.limited(spark.createDataFrame(rows, schema), 5).collect()}
+    size = len(rows) // 4
+    for i in range(4):
+        spark.createDataFrame(rows[i * size : (i + 1) * size], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    got, held = [], []
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = ratelimit.limited_stream(stream, 5, late="10 seconds").writeStream.foreachBatch(lambda d, _: got.extend(d.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    held = [s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]]
+    assert {r.id: r.accepted for r in got} == want and len(got) == len(rows) and not all(want.values())
+    # a value and its timer for each client that still counts: far from all eleven
+    assert held[-1] <= 8
+
+
 def test_latency_report(spark, tmp_path):
     rows = w.applied_events(spark, SF)
     assert latency.report(rows).startswith("1000 rows, avg 2.") and "max 4 s" in latency.report(rows)
