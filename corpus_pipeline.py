@@ -77,12 +77,16 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's rows written before the next reads them.
 
     What a stage has staged is deleted as soon as its rows are written. The last stage's tables stay until its rows have been
-    read; then ``common.clear`` deletes them.
+    read; then ``common.clear`` deletes them. A stage that fails leaves nothing staged.
     """
     docs, began = spark.read.parquet(f"{sf_dir}/documents.parquet"), common.mark()
-    for number, (name, work) in enumerate(STAGES):
-        docs = work(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = common.stage(docs, name)
-            common.clear(spark, began, but_last=True)
+    try:
+        for number, (name, work) in enumerate(STAGES):
+            docs = work(spark, docs, sf_dir)
+            if number < len(STAGES) - 1:
+                docs = common.stage(docs, name)
+                common.clear(spark, began, but_last=True)
+    except BaseException:
+        common.clear(spark, began)
+        raise
     return docs

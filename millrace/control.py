@@ -23,8 +23,8 @@ from millrace.sources import log
 from millrace.sources.errors import read_errors
 from millrace.sources.registry import Registry, Settings
 from millrace.streaming.progress import offsets
-from millrace.streaming.replicate import Flush, Gate, Hold
-from millrace.streaming.store import Store
+from millrace.streaming.replicate import ATTEMPTS, Flush, Gate, Hold
+from millrace.streaming.store import Conflict, Store
 
 LONGEST_VERIFY = 45.0
 PAGE, LARGEST_PAGE = 10, 100
@@ -136,51 +136,63 @@ class Demo:
 
     def poke(self, op: str, pk: Mapping[str, object], place: str | None = None, table: str = OBSERVATIONS, **given) -> dict:
         if table != OBSERVATIONS:
-            raise ValueError(f"only {OBSERVATIONS} can be changed")
+            raise ValueError(f"{table} takes no changes here")
         if given:
-            raise ValueError("free text is not accepted, send a place")
+            raise ValueError(f"unknown fields: {', '.join(sorted(given))}")
         if set(pk) != {"observation_id"}:
-            raise ValueError("pk must be the observation_id")
+            raise ValueError("a change names one row by its observation_id")
         if op not in ("c", "u", "d"):
-            raise ValueError("op must be c, u or d")
+            raise ValueError(f"{op!r} is none of c, u, d")
         i = key_of(pk)
         scope = "demo" if DEMO_IDS[0] <= i <= DEMO_IDS[1] else "traffic" if i >= TRAFFIC_FROM else "readonly"
         if scope == "readonly":
-            raise ValueError(f"observation {i} is read only")
+            raise ValueError(f"id {i} lies outside the ids that visitors may change")
         if scope == "traffic" and op != "u":
-            raise ValueError("traffic observations can only be updated")
+            raise ValueError(f"id {i} belongs to the load, which allows updates alone")
         place = PLACES[0] if op == "c" and not place else place
         if op != "d" and not valid_place(place or ""):
-            raise ValueError("place must be one of: " + ", ".join(PLACES))
-        base = self.source.manifest()
-        held, animals, holes = (self.source.read(t, state=base) for t in (OBSERVATIONS, ANIMALS, HOLES))
+            raise ValueError(f"{place!r} is no known place")
+        for attempt in range(ATTEMPTS):
+            try:
+                existed, at, lsn = self._written(op, i, place)
+                break
+            except Conflict:
+                if attempt + 1 == ATTEMPTS:
+                    raise
+        # a reset of a row is an update, as in any log of the source
+        sent = "d" if op == "d" else "u" if existed else "c"
+        if op != "d" or existed:
+            self.publisher.publish(self._change(sent, i, lsn, at))
+        return {"op": op, "table": table, "pk": i, "commit_ts": datetime.fromtimestamp(at, UTC)} | ({} if op == "d" else {"place": place})
+
+    def _written(self, op: str, i: int, place: str | None) -> tuple[bool, float, int]:
+        """Change the row in its bucket: whether there was one, the commit's time and its LSN."""
+        spark, base = self.source.spark, self.source.manifest()
+        touched = self.source.touched(spark.createDataFrame([(i,)], "observation_id long"), ["observation_id"], OBSERVATIONS, base)
+        held = self.source.read(OBSERVATIONS, touched, base)
+        animals, holes = (self.source.read(t, state=base) for t in (ANIMALS, HOLES))
         own, where = held.where(F.col("observation_id") == i), F.lit(place)
+        existed = not own.isEmpty()
         if op == "c":
             now = F.timestamp_micros(F.lit(int(self.clock() * 1e6)))
             fresh = default_row(animals, holes, F.lit(i).cast("long"), where, now)
             # a row that exists is put back to that shape, but for its time
             after = reset_or_insert(held, fresh.select(*held.columns), ["observation_id"], ["observed_at"])
         elif op == "u":
-            if own.isEmpty():
-                raise LookupError(f"no observation {i} on the source")
+            if not existed:
+                raise LookupError(f"observation {i} is not there")
             after = held.where(F.col("observation_id") != i).unionByName(moved_rows(own, animals, holes, where))
         else:
             after = held.where(F.col("observation_id") != i)
-        existed = not own.isEmpty()
         at = self.clock()
-        self.source.commit({OBSERVATIONS: (after, ["observation_id"], None)}, now=at, base=base)
-        lsn = self.source.manifest()["number"]
-        # a reset of a row is an update, as in any log of the source
-        sent = "d" if op == "d" else "u" if existed else "c"
-        if op != "d" or existed:
-            self.publisher.publish(self._change(sent, i, lsn, at))
-        return {"op": op, "table": table, "pk": i, "commit_ts": datetime.fromtimestamp(at, UTC)} | ({} if op == "d" else {"place": place})
+        lsn = self.source.commit({OBSERVATIONS: (after, ["observation_id"], touched)}, now=at, base=base)
+        return existed, at, lsn
 
     def _change(self, op: str, i: int, lsn: int, at: float) -> DataFrame:
         spark = self.source.spark
         rest = [c for c in OBSERVATION_TYPES if c != "observation_id"]
         after = F.create_map(*[x for c in rest for x in (F.lit(c), F.col(c).cast("string"))]) if op != "d" else F.lit(None).cast("map<string,string>")
-        rows = spark.range(1).select(F.lit(i).alias("observation_id")) if op == "d" else self.source.read(OBSERVATIONS).where(F.col("observation_id") == i)
+        rows = spark.range(1).select(F.lit(i).alias("observation_id")) if op == "d" else self.source.read(OBSERVATIONS, state=self.source.at(lsn)).where(F.col("observation_id") == i)
         types = F.create_map(*[F.lit(x) for kv in OBSERVATION_TYPES.items() for x in kv])
         return rows.select(
             F.lit(op).alias("op"), F.lit(OBSERVATIONS).alias("table"), F.lit(lsn).cast("long").alias("lsn"), F.timestamp_micros(F.lit(int(at * 1e6))).alias("commit_ts"),

@@ -79,7 +79,7 @@ class Replicator:
         for name in held:
             began[name] = time.monotonic()
             out[name] = self.merged(self.registry.tables[name], changes.where(F.col("table") == name), base)
-        done = self.store.commit(out, query, batch, self.clock(), base)
+        done = bool(self.store.commit(out, query, batch, self.clock(), base))
         for name, start in began.items():
             if self.on_flush:
                 self.on_flush(Flush(name, -1 if batch is None else batch, time.monotonic() - start, self.clock()))

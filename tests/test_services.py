@@ -237,6 +237,55 @@ def test_rate_limit(spark, tmp_path):
     assert ratelimit.client_address("1.2.3.4, 5.6.7.8", "9.9.9.9:80") == "1.2.3.4" and ratelimit.client_address(None, "9.9.9.9:80") == "9.9.9.9"
 
 
+def test_pokes_change_one_bucket(spark, tmp_path):
+    """A visitor's writes: one bucket is rewritten, the change carries its own commit's LSN, a rival's commit is taken up."""
+    source = Store(spark, "file://" + str(tmp_path / "source"), 8)
+    rows = spark.range(100).select(F.col("id").alias("observation_id"), F.lit(1).cast("long").alias("animal_id"), F.lit(2).cast("long").alias("watering_hole_id"), F.timestamp_seconds("id").alias("observed_at"), F.lit("Seen, somewhere.").alias("notes"))
+    source.commit({
+        control.OBSERVATIONS: (rows, ["observation_id"], None),
+        control.ANIMALS: (spark.createDataFrame([(1, "Ada", "grey_wolf")], "animal_id long, name string, species string"), ["animal_id"], None),
+        control.HOLES: (spark.createDataFrame([(2, "Deep")], "watering_hole_id long, name string"), ["watering_hole_id"], None),
+    })
+    sent = []
+
+    class Keep:
+        def publish(self, changes):
+            # another commit comes between the change's own and its publication
+            source.commit({"other": (rows.limit(1), ["observation_id"], None)})
+            sent.extend(changes.collect())
+
+    demo = control.Demo(source, Keep(), lambda: 1000.0)
+    before = source.manifest()
+    demo.poke("c", {"observation_id": 9001})
+    after = source.at(before["number"] + 1)
+    files = lambda s: s["tables"][control.OBSERVATIONS]["files"]
+    assert sum(files(before).get(b) != p for b, p in files(after).items()) == 1 and len(files(before)) == 8
+    real, rival = source._publish, [True]
+
+    def contested(base, made, *rest):
+        if rival and control.OBSERVATIONS in made:
+            rival.clear()
+            real(base, {control.OBSERVATIONS: source._written(base, control.OBSERVATIONS, rows.where("observation_id < 50"), ["observation_id"], None, None)})
+        return real(base, made, *rest)
+
+    source._publish = contested
+    demo.poke("c", {"observation_id": 9002}, documents.PLACES[2])
+    source._publish = real
+    held = {r.observation_id for r in source.read(control.OBSERVATIONS).collect()}
+    assert held == {*range(50), 9002} and not rival
+    demo.poke("u", {"observation_id": 9002}, documents.PLACES[1])
+    demo.poke("d", {"observation_id": 9002})
+    demo.poke("d", {"observation_id": 9002})
+    assert [(r.op, r.pk["observation_id"]) for r in sent] == [("c", "9001"), ("c", "9002"), ("u", "9002"), ("d", "9002")]
+    assert [r.lsn for r in sent] == sorted({r.lsn for r in sent}) and sent[0].lsn == before["number"] + 1
+    assert documents.PLACES[1] in sent[2].after["notes"]
+    for bad in (("x", {"observation_id": 9001}), ("u", {"id": 1}), ("u", {"observation_id": 5}), ("d", {"observation_id": 3_000_000_001})):
+        with pytest.raises(ValueError):
+            demo.poke(*bad, documents.PLACES[0])
+    with pytest.raises(LookupError):
+        demo.poke("u", {"observation_id": 9009}, documents.PLACES[0])
+
+
 def test_limit_forgets_clients(spark, tmp_path):
     """Over many batches the stream decides as the batch form does, and its state holds the clients of the last minutes only."""
     second = 1_000_000
