@@ -290,11 +290,11 @@ def test_staged_tables_can_be_cleared(spark):
 
 
 def test_comparisons_grow_little_faster_than_vectors():
-    """Ten times the vectors: each meets less than twice as many others, and as few pairs at the limit are missed."""
+    """Five times the vectors: each meets less than twice as many others, and as few pairs at the limit are missed."""
     from millrace.llm.caps import Filters, words_for
 
     rng, met = np.random.default_rng(12), []
-    for n in (5_000, 50_000):
+    for n in (20_000, 100_000):
         u = rng.standard_normal((n, 64))
         u /= np.linalg.norm(u, axis=1, keepdims=True)
         filters = Filters(64, words=words_for(n))
@@ -305,4 +305,18 @@ def test_comparisons_grow_little_faster_than_vectors():
         w /= np.linalg.norm(w, axis=1, keepdims=True)
         near = filters.of(0.9 * u[:2000] + np.sqrt(1 - 0.81) * w)
         assert np.mean([not np.intersect1d(x, y).size for x, y in zip(filters.of(u[:2000]), near)]) < 0.01
-    assert words_for(50_000) > words_for(5_000) == 16 and met[1] < 2 * met[0]
+    assert words_for(100_000) > words_for(20_000) == 16 and met[1] < 2 * met[0]
+
+
+def test_failing_stage_leaves_nothing_staged(spark, monkeypatch):
+    from millrace.llm import common
+
+    def broken(spark, docs, sf_dir):
+        common.stage(docs.limit(1), "half")
+        raise RuntimeError("lost")
+
+    before = common.mark()
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("same", lambda spark, docs, sf_dir: docs), ("broken", broken), ("never", broken)])
+    with pytest.raises(RuntimeError, match="lost"):
+        corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert common.mark() == before
