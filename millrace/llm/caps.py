@@ -34,7 +34,7 @@ from .common import components, quoted, stage
 
 COSINE, MISS, CODES, SEED = 0.9, 0.003, 64, 5
 #: Words a half for up to ``BASE`` vectors, how they grow with the vectors beyond, and the most there are.
-WORDS, BASE, GROWTH, MOST = 16, 5000, 0.6, 256
+WORDS, BASE, GROWTH, MOST = 16, 20_000, 0.6, 256
 #: Pairs that the threshold is measured on, and words of a half that are tried for each.
 PAIRS, TRIED = 4000, 16
 #: Vectors in a tile; of one tile so many rows are compared with the other at a time.
