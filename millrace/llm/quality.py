@@ -1,9 +1,9 @@
 """Quality rules: an isolation forest over rule statistics.
 
 Each document gives the statistics of a few rules (share of symbols, of repeated words, of
-repeated lines, ...). The forest is grown on a bounded sample of labelled rows; an anomaly is
+repeated lines, ...). Each tree of the forest draws its own sub-sample, as the method has it, from all labelled rows; an anomaly is
 isolated by few random splits. The score is ``2 ** (-mean path length / c(sample))``; the
-threshold is the lowest that rejects at most ``loss`` of the labelled good rows, each scored by the trees alone that were
+threshold is the lowest that rejects at most ``loss`` of all labelled good rows, each scored by the trees alone that were
 not grown from it. Rows that already fail the base rule take no part in either.
 """
 
@@ -12,13 +12,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import number_of, numbered, per_document, quoted
+from .common import number_of, numbered, per_document, quoted, stage
 
-#: Most labelled rows that the forest and its threshold are fitted on, by order of a hash of their id.
-LABELLED = 4000
+#: The trees of a forest, the rows that each is grown from, and the share of them that aren't good.
+TREES, SAMPLE, STRAYS = 100, 512, 0.01
 MIN_WORDS, MAX_REPEATED = 50, 50
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -83,17 +85,27 @@ class Forest:
     is rare in it and a cut can part them from the good rows.
     """
 
-    def __init__(self, good: np.ndarray, others: np.ndarray, trees: int = 100, sample: int = 512, strays: float = 0.01, seed: int = 11):
+    def __init__(self, good: np.ndarray, others: np.ndarray, trees: int = TREES, sample: int = SAMPLE, strays: float = STRAYS, seed: int = 11):
         rng = np.random.default_rng(seed)
-        m = min(len(others), max(1, round(sample * strays)))
-        # no tree sees all good rows, so that each row has trees that have not seen it
-        n = min(sample - m, max(1, 2 * len(good) // 3))
-        self.sample = n + m
+        n, m = shares(len(good), len(others), sample, strays)
+        self.good, self.seen, drawn = good, np.zeros((trees, len(good)), bool), []
+        for t in range(trees):
+            at = rng.choice(len(good), n, replace=False)
+            self.seen[t, at] = True
+            drawn.append(np.concatenate((good[at], others[rng.choice(len(others), m, replace=False)])))
+        self._plant(drawn, rng)
+
+    @classmethod
+    def of(cls, drawn: list[np.ndarray], seed: int = 11) -> Forest:
+        """A tree from each of the samples."""
+        made = cls.__new__(cls)
+        made._plant(drawn, np.random.default_rng(seed))
+        return made
+
+    def _plant(self, drawn: list[np.ndarray], rng) -> None:
+        self.sample = max(map(len, drawn))
         self.depth = max(1, math.ceil(math.log2(max(2, self.sample))))
-        self.good, self.seen, self.trees = good, [], []
-        for _ in range(trees):
-            self.seen.append(rng.choice(len(good), n, replace=False))
-            self.trees.append(self._grow(np.concatenate((good[self.seen[-1]], others[rng.choice(len(others), m, replace=False)])), rng))
+        self.trees = [self._grow(rows, rng) for rows in drawn]
 
     def _grow(self, rows: np.ndarray, rng):
         nodes: list[list[float]] = []
@@ -131,50 +143,146 @@ class Forest:
             return np.zeros(0)
         return self._score(sum(self._lengths(t, rows) for t in self.trees) / len(self.trees))
 
-    def unseen(self) -> np.ndarray:
-        """The good rows' scores, of each by the trees that were not grown from it (by all, where there are none)."""
-        total, n = np.zeros(len(self.good)), np.zeros(len(self.good))
-        for tree, seen in zip(self.trees, self.seen, strict=True):
-            fresh = np.ones(len(self.good), bool)
-            fresh[seen] = False
-            total[fresh] += self._lengths(tree, self.good[fresh])
-            n += fresh
-        return np.where(n > 0, self._score(total / np.maximum(n, 1)), self.scores(self.good))
+    def unseen(self, rows: np.ndarray | None = None, seen: np.ndarray | None = None) -> np.ndarray:
+        """Rows' scores, of each by the trees that were not grown from it (by all, where there are none).
 
+        ``seen``: a row a tree, whether it was grown from each of the rows. Without arguments, the scores of the good rows that the forest was made of.
+        """
+        rows, seen = (self.good, self.seen) if rows is None else (rows, seen)
+        total, n = np.zeros(len(rows)), np.zeros(len(rows))
+        for tree, old in zip(self.trees, seen, strict=True):
+            total[~old] += self._lengths(tree, rows[~old])
+            n += ~old
+        out, none = self._score(total / np.maximum(n, 1)), n == 0
+        out[none] = self.scores(rows[none])
+        return out
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = LABELLED, loss: float = 0.005):
-    """The forest and its threshold from at most ``most`` labelled rows; None where none are labelled."""
+
+def shares(good: int, others: int, sample: int = SAMPLE, strays: float = STRAYS) -> tuple[int, int]:
+    """How many good and other rows a tree is grown from. No tree sees all good rows, so that each row has trees that have not seen it."""
+    m = min(others, max(1, round(sample * strays)))
+    return min(sample - m, max(1, 2 * good // 3)), m
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well mixed 64-bit numbers (splitmix64)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _lots(hashes: np.ndarray, tree: int) -> np.ndarray:
+    """Each row's lot for a tree; the smallest are drawn."""
+    return _mixed(hashes.astype(np.uint64) ^ _mixed(np.array([tree], np.uint64)))
+
+
+def _rates(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(STATISTICS))
+
+
+def _drawn(rows: DataFrame, chances: dict[bool, float]) -> DataFrame:
+    """(tree, good, lot, rates): the rows whose lots are below the chance of their kind. ``rows``: h, good, rates."""
+
+    def run(batches):
+        for b in batches:
+            h, good = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            chance = np.where(good, chances[True], chances[False])
+            for t in range(TREES):
+                lot = _lots(h, t)
+                at = pa.array(np.flatnonzero(lot / 2.0**64 < chance))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), b.column(1).take(at), pa.array(lot[at.to_numpy()].view(np.int64)), b.column(2).take(at)], ["tree", "good", "lot", "rates"])
+
+    return rows.mapInArrow(run, "tree int, good boolean, lot long, rates array<double>")
+
+
+def _nth_largest(rows: DataFrame, name: str, n: int) -> float:
+    """The value (from 0 to 1) that ``n`` rows stand before in falling order, found by its digits: counts leave the tasks, no rows."""
+    rest = F.col(name)
+    while True:
+        rest = rest * 4096
+        digit = F.floor(rest)
+        for d, count, low, high in sorted(map(tuple, rows.groupBy(digit.alias("d")).agg(F.count("*"), F.min(name), F.max(name)).collect()), reverse=True):
+            if n < count:
+                break
+            n -= count
+        if low == high:
+            return low
+        rows, rest = rows.where(digit == d), rest - digit
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", loss: float = 0.005):
+    """The forest and its threshold from all labelled rows; None where no good ones are labelled."""
+    return _fitted(stage(_measured(docs, id_col, text_col), "statistics"), labels, id_col, label_col, loss)
+
+
+def _fitted(found: DataFrame, labels: DataFrame, id_col: str, label_col: str = "quality", loss: float = 0.005):
+    """From documents' statistics: rows are few numbers wide, and only the trees' samples come to the driver."""
     marked = labels.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(label_col)).alias("label")).dropna()
-    chosen = marked.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
-    texts = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).join(F.broadcast(chosen), "id")
-    rows = (
-        per_document(texts, ["id", "label"], "f array<double>, failed boolean", lambda: lambda t: [list(x) for x in zip(*((r, base_failed(c)) for c, r in map(statistics, t)))] or [[], []])
-        .orderBy(F.xxhash64("id"), "id", "f").limit(2 * most).collect()
-    )
-    pick = lambda use: np.array([r.f for r in rows if not r.failed and use(r)]).reshape(-1, len(STATISTICS))
-    good = pick(lambda r: r.label == 1)
-    if not len(good):
+    marked = marked.groupBy("id").agg(F.min("label").alias("label"))
+    passed = found.where("not base_failed").select(F.col(ID).alias("id"), RATES)
+    rows = stage(passed.join(marked, "id").select(F.xxhash64("id").alias("h"), (F.col("label") == 1).alias("good"), F.col(RATES).alias("rates")), "labelled")
+    count = {r.good: r["count"] for r in rows.groupBy("good").count().collect()}
+    if not count.get(True):
         return None
-    forest = Forest(good, pick(lambda r: r.label != 1))
-    calm = np.sort(forest.unseen())[::-1]
-    return forest, float(calm[min(len(calm) - 1, int(loss * len(calm)))]) + 1e-9
+    want = dict(zip((True, False), shares(count[True], count.get(False, 0)), strict=True))
+    # some more than are wanted; the smallest lots stay
+    chances = {k: min(1.0, (n + 6 * math.sqrt(n) + 20) / max(1, count.get(k, 0))) for k, n in want.items()}
+    table = _drawn(rows, chances).toArrow().combine_chunks()
+    tree, good, lot = (table.column(c).to_numpy() for c in ("tree", "good", "lot"))
+    lot, rates = lot.view(np.uint64), _rates(table.column("rates").combine_chunks())
+    order = np.lexsort((*rates.T, lot, ~good, tree))
+    samples, last = [], np.zeros(TREES, np.uint64)
+    for t in range(TREES):
+        mine = order[np.searchsorted(tree[order], t) : np.searchsorted(tree[order], t, "right")]
+        fine = mine[good[mine]][: want[True]]
+        last[t] = lot[fine[-1]]
+        samples.append(rates[np.concatenate((fine, mine[~good[mine]][: want[False]]))])
+    forest = Forest.of(samples)
+
+    def calm(batches):
+        for b in batches:
+            h = b.column(0).to_numpy()
+            seen = np.array([_lots(h, t) <= last[t] for t in range(TREES)])
+            yield pa.RecordBatch.from_arrays([pa.array(forest.unseen(_rates(b.column(1)), seen))], ["score"])
+
+    scores = stage(rows.where("good").select("h", "rates").mapInArrow(calm, "score double"), "calm")
+    return forest, _nth_largest(scores, "score", min(count[True] - 1, int(loss * count[True]))) + 1e-9
+
+
+#: A document's id and rates beside its counts.
+ID, RATES = "__id", "__rates"
+COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+
+
+def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Ids with the base counts, ``base_failed`` and the rates."""
+
+    def work(texts):
+        found = [statistics(t) for t in texts]
+        return [*([c[i] for c, _ in found] for i in range(5)), [base_failed(c) for c, _ in found], [r for _, r in found]]
+
+    named = docs.select(F.col(quoted(id_col)).alias(ID), F.col(quoted(text_col)).alias("text"))
+    return per_document(named, [ID], f"{COUNTS}, {RATES} array<double>", lambda: work)
+
+
+def _verdict(model, failed: np.ndarray, rates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anomaly, and whether a document is kept."""
+    score = model[0].scores(rates) if model else np.zeros(len(failed))
+    return score, ~failed & (score <= model[1] if model else True)
 
 
 def judged(docs: DataFrame, model, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` with the base counts, ``base_failed``, ``anomaly`` and ``kept``."""
 
-    def make():
-        def work(texts):
-            found = [statistics(t) for t in texts]
-            failed = [base_failed(c) for c, _ in found]
-            score = model[0].scores(np.array([r for _, r in found])).tolist() if model else [0.0] * len(texts)
-            kept = [not f and (not model or s <= model[1]) for f, s in zip(failed, score, strict=True)]
-            return [*([c[i] for c, _ in found] for i in range(5)), failed, score, kept]
-
-        return work
+    def work(texts):
+        found = [statistics(t) for t in texts]
+        failed = np.array([base_failed(c) for c, _ in found], bool)
+        score, kept = _verdict(model, failed, np.array([r for _, r in found]))
+        return [*([c[i] for c, _ in found] for i in range(5)), failed, score, kept]
 
-    fields = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, anomaly double, kept boolean"
-    return per_document(docs, keep, fields, make, text_col)
+    return per_document(docs, keep, f"{COUNTS}, anomaly double, kept boolean", lambda: work, text_col)
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,7 +292,19 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     the base rule decides. Repeated rows stay; other columns are left out; a label that is
     given twice for an id counts once, as the lower of the two.
     """
-    return judged(docs, fit(docs, labels, id_col, text_col), [id_col], text_col)
+    found = stage(_measured(docs, id_col, text_col), "statistics")
+    model = _fitted(found, labels, id_col)
+    body = [c for c in found.columns if c != RATES]
+    schema = T.StructType([*(found.schema[c] for c in body), T.StructField("anomaly", T.DoubleType()), T.StructField("kept", T.BooleanType())])
+
+    def run(batches):
+        for b in batches:
+            score, kept = _verdict(model, b.column("base_failed").to_numpy(zero_copy_only=False).astype(bool), _rates(b.column(RATES)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in body), pa.array(score), pa.array(kept)], schema.names)
+
+    out = found.mapInArrow(run, schema)
+    # an id named like a count gives way to it
+    return out.drop(ID) if id_col.lower() in {c.lower() for c in out.columns} else out.withColumnRenamed(ID, id_col)
 
 
 def passed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

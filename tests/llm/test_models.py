@@ -337,3 +337,28 @@ def test_licenses_get_their_own_label_only(spark):
     for wrapped in (False, True):
         docs = spark.createDataFrame([(i, "\n".join(textwrap.wrap(t, 30)) if wrapped else t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
         assert {r.doc_id: r.labels for r in scan(docs).collect()} == {i: label for i, (_, label) in enumerate(texts)}
+
+
+def test_forest_draws_from_all_labelled_rows(corpus, labels, monkeypatch):
+    """More labelled rows than any bound: all set the threshold, by order, and any may be drawn for a tree."""
+    from pyspark.sql import functions as F
+
+    import millrace.llm.quality as Q
+
+    n = 25
+    docs = corpus.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select((F.col("doc_id") + F.col("k") * 1_000_000).alias("doc_id"), "text")
+    marks = labels.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select((F.col("doc_id") + F.col("k") * 1_000_000).alias("doc_id"), "quality")
+    sets = []
+    whole = Q._nth_largest
+
+    def held(rows, name, at):
+        found = whole(rows, name, at)
+        scores = sorted((r[0] for r in rows.select(name).collect()), reverse=True)
+        sets.append((len(scores), at, scores[at] == found))
+        return found
+
+    monkeypatch.setattr(Q, "_nth_largest", held)
+    monkeypatch.setattr(Q, "TREES", 10)
+    forest, _ = rules_fit(docs, marks, loss=0.02)
+    good = sum(not base_failed(statistics(r.text or "")[0]) for r in corpus.join(labels.where("quality = 1"), "doc_id").collect())
+    assert n * good > 4000 and sets == [(n * good, int(0.02 * n * good), True)] and len(forest.trees) == 10 and forest.sample == 512
