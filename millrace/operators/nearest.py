@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of questions that go to every task at a time, and products that a task holds.
 QUESTION_BYTES, PRODUCTS = 64 << 20, 1 << 22
@@ -39,80 +40,111 @@ class Questions:
 
 
 class Best:
-    """The best k hits of each question so far: by score, then newest, then key."""
-
-    def __init__(self, questions: Questions, k: int, own: bool):
-        self.questions, self.k, self.own = questions, k, own
-        self.least = np.full(len(questions.ids), -np.inf)
-        self.hits: dict[int, list[tuple]] = {}
-
-    def take(self, keys: list, times: np.ndarray, unit: np.ndarray, some: np.ndarray | None = None) -> None:
-        """Meet vectors of one length; ``some``: the only questions to meet."""
-        at, asked = self.questions.by_dim.get(unit.shape[1], (np.zeros(0, int), None))
-        if some is not None and len(at):
-            held = np.isin(at, some)
-            at, asked = at[held], asked[held]
-        if not len(at) or not len(unit):
+    """The best k hits of each question so far: by score, then newest, then key. They lie in arrays of k a question, whatever the number of rows that were met."""
+
+    def __init__(self, ids: list, k: int, own: bool = False):
+        self.ids, self.k, self.own = ids, k, own
+        n = len(ids)
+        self.least, self.held = np.full(n, -np.inf), np.zeros(n, int)
+        self.score, self.time, self.key = np.zeros((n, k)), np.zeros((n, k), np.int64), np.zeros((n, k), object)
+
+    def take(self, at: np.ndarray, score: np.ndarray, keys: np.ndarray, times: np.ndarray) -> None:
+        """Meet rows: ``score`` has a row for each of the questions ``at``, minus infinity where they don't match."""
+        rounded = np.round(score, DIGITS)
+        least, most = self.least[at], self.k + self.own
+        fine = rounded >= least[:, None]
+        if rounded.shape[1] > most and np.count_nonzero(fine) > 4 * most * len(at):
+            fine = rounded >= np.maximum(least, np.partition(rounded, -most, axis=1)[:, -most])[:, None]
+        fine &= rounded > -np.inf
+        q, v = np.nonzero(fine)
+        if self.own and len(q):
+            other = np.array([keys[j] != self.ids[i] for i, j in zip(at[q].tolist(), v.tolist())], bool)
+            q, v = q[other], v[other]
+        if not len(q):
             return
-        step = max(1, PRODUCTS // len(at))
-        for start in range(0, len(unit), step):
-            score = np.round(asked @ unit[start : start + step].T, DIGITS)
-            q, v = np.nonzero(score >= self.least[at][:, None])
-            touched = set()
-            for i, j in zip(q.tolist(), v.tolist()):
-                n = int(at[i])
-                if self.own and keys[start + j] == self.questions.ids[n]:
-                    continue
-                held = self.hits.setdefault(n, [])
-                held.append((-float(score[i, j]), -int(times[start + j]), keys[start + j]))
-                touched.add(n)
-                if len(held) >= 64 * self.k:
-                    self._cut(n)
-            for n in touched:
-                self._cut(n)
-
-    def _cut(self, n: int) -> None:
-        held = sorted(self.hits[n])[: self.k]
-        self.hits[n] = held
-        if len(held) == self.k:
-            self.least[n] = -held[-1][0]
+        touched, new = np.unique(at[q], return_inverse=True)
+        o, place = np.nonzero(np.arange(self.k) < self.held[touched][:, None])
+        was = touched[o], place
+        group = np.concatenate((o, new))
+        raw, time = np.concatenate((self.score[was], score[q, v])), np.concatenate((self.time[was], times[v]))
+        key = np.concatenate((self.key[was], keys[v].astype(object)))
+        order = np.lexsort((_ranks(key), -time, -np.round(raw, DIGITS), group))
+        group = group[order]
+        place = np.arange(len(order)) - np.searchsorted(group, group)
+        kept = place < self.k
+        to = touched[group[kept]], place[kept]
+        order = order[kept]
+        self.score[to], self.time[to], self.key[to] = raw[order], time[order], key[order]
+        self.held[touched] = np.minimum(self.k, np.bincount(group, minlength=len(touched)))
+        full = touched[self.held[touched] == self.k]
+        self.least[full] = np.round(self.score[full, self.k - 1], DIGITS)
+
+    def rows(self) -> Iterator[tuple[list, list, list, list]]:
+        """What is held, as columns: question, key, time, score; in parts of bounded size."""
+        q, place = np.nonzero(np.arange(self.k) < self.held[:, None])
+        for start in range(0, len(q), 10_000):
+            i, j = q[start : start + 10_000], place[start : start + 10_000]
+            yield [self.ids[n] for n in i.tolist()], self.key[i, j].tolist(), self.time[i, j].tolist(), self.score[i, j].tolist()
+
+
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the keys; a null comes first."""
+    some, out = np.array([x is not None for x in keys], bool), np.full(len(keys), -1)
+    out[some] = np.unique(keys[some], return_inverse=True)[1]
+    return out
+
+
+def keys_of(column: pa.Array) -> np.ndarray:
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist()
+    return out
 
 
 #: Times as microseconds; what has none is older than all.
 NEVER = -(1 << 62)
 
 
+def hits_of(question: T.DataType, key: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("question_id", question), T.StructField("key", key), T.StructField("at", T.LongType()), T.StructField("score", T.DoubleType())])
+
+
 def scored(vectors: DataFrame, questions: Questions, k: int, own: bool, question_type: T.DataType, cells: bool = False) -> DataFrame:
     """(question_id, key, at, score): each task's best k for each question. ``vectors``: key, embedding, at (microseconds), and cell if these are told apart."""
-    schema = T.StructType([T.StructField("question_id", question_type), T.StructField("key", vectors.schema["key"].dataType), T.StructField("at", T.LongType()), T.StructField("score", T.DoubleType())])
+    schema = hits_of(question_type, vectors.schema["key"].dataType)
+    types = [to_arrow_type(f.dataType) for f in schema]
     source = vectors.select("key", "embedding", "at", *(["cell"] if cells else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(questions, k, own)
+        best = Best(questions.ids, k, own)
         for batch in batches:
-            keys, rows = batch.column(0).to_pylist(), batch.column(1)
+            keys, rows = keys_of(batch.column(0)), batch.column(1)
             times = batch.column(2).fill_null(NEVER).to_numpy(zero_copy_only=False)
             size = np.array(rows.value_lengths().fill_null(0))
             cell = batch.column(3).to_numpy() if cells else np.zeros(len(keys), int)
-            for dim in questions.by_dim:
+            for dim, (every, asked) in questions.by_dim.items():
                 for c in np.unique(cell[size == dim]).tolist():
                     at = np.flatnonzero((size == dim) & (cell == c))
                     some = questions.probed.get(c) if cells else None
                     if cells and some is None:
                         continue
+                    met = slice(None) if some is None else np.isin(every, some)
+                    to, of = every[met], asked[met]
                     unit = units(rows.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim))
                     fine = ~np.isnan(unit).any(1)
-                    best.take([keys[i] for i in at[fine]], times[at[fine]], unit[fine], some)
-        out = [(questions.ids[n], key, -at, -score) for n, held in best.hits.items() for score, at, key in held]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema.names)
+                    at, unit = at[fine], unit[fine]
+                    step = max(1, PRODUCTS // max(1, len(to)))
+                    for start in range(0, len(at) if len(to) else 0, step):
+                        part = at[start : start + step]
+                        best.take(to, np.round(of @ unit[start : start + step].T, DIGITS), keys[part], times[part])
+        for columns in best.rows():
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], schema.names)
 
     return source.mapInArrow(run, schema)
 
 
 def merged(hits: DataFrame, k: int) -> DataFrame:
     """Each question's best ``k`` of all tasks' hits, with ``pos`` and ``updated_at``."""
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc("at"), "key")
+    w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", DIGITS)), F.desc("at"), "key")
     found = hits.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
     return found.select("question_id", "key", "score", F.when(F.col("at") != NEVER, F.timestamp_micros("at")).alias("updated_at"), "pos")
 

@@ -177,3 +177,17 @@ def test_documents_keep_their_indexes(spark, tmp_path):
     for question in ("which click", "user 7 did what", "zebra"):
         scan = service.ask(question, "live", writer.VECTORS, hashed)
         assert service.ask(question, "live", writer.VECTORS, hashed, words=words, vectors=vectors) == scan
+
+
+def test_best_holds_k_a_question():
+    """Many questions that take up all first vectors hold k hits each, as sorting everything gives them."""
+    from millrace.operators.nearest import Best
+
+    rng = np.random.default_rng(3)
+    score, times, keys = np.round(rng.random((300, 900)), 2), rng.integers(0, 3, 900), np.arange(900).astype(object)
+    best = Best(list(range(300)), 4, own=True)
+    for start in range(0, 900, 90):
+        best.take(np.arange(300), score[:, start : start + 90], keys[start : start + 90], times[start : start + 90])
+        assert best.key.shape == (300, 4) and best.held.max() <= 4
+    got = {(q, k) for columns in best.rows() for q, k in zip(*columns[:2])}
+    assert got == {(q, k) for q in range(300) for k in sorted((k for k in range(900) if k != q), key=lambda k: (-score[q, k], -times[k], k))[:4]}
