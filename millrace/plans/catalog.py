@@ -475,7 +475,7 @@ _KEYWORDS = (
 def _words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = w.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", F.lit(None).cast("timestamp").alias("updated_at"))
     questions = w.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
-    return retrieve.top(retrieve.keyword_scores(docs, retrieve.question_terms(questions)), docs), docs
+    return retrieve.keyword_top(docs, retrieve.question_terms(questions)), docs
 
 
 @query("WITH " + _KEYWORDS + " SELECT item_id AS question_id, doc_id, CAST(pos AS INTEGER) AS pos, round(score, 6) AS score FROM kw")

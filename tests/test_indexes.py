@@ -179,6 +179,25 @@ def test_documents_keep_their_indexes(spark, tmp_path):
         assert service.ask(question, "live", writer.VECTORS, hashed, words=words, vectors=vectors) == scan
 
 
+def test_keyword_top_keeps_few_rows(spark, monkeypatch):
+    """Common terms and ties: the same hits as by all scores, while no exchange gets a row a document."""
+    rng = random.Random(4)
+    docs = texts_of(spark, [(f"d{i}", rng.choice(("red", "red blue", "blue green", "", None)), None) for i in range(3000)]).withColumn("updated_at", F.when(F.col("key") == "d9", F.timestamp_micros(F.lit(5)))).repartition(3)
+    asked = retrieve.question_terms(spark.createDataFrame([(1, "red"), (2, "blue red"), (3, "none"), (4, None), (5, "green blue")], "question_id long, text string"))
+    want = plain(retrieve.top(retrieve.keyword_scores(docs, asked), docs))
+    assert want and plain(retrieve.keyword_top(docs, asked)) == want
+    monkeypatch.setattr(retrieve, "ASKED", 1)
+    monkeypatch.setattr(retrieve, "SLICE", 7)
+    found = retrieve.keyword_top(docs, asked)
+    assert plain(found) == want
+    taken = []
+    whole = retrieve.merged
+    monkeypatch.setattr(retrieve, "merged", lambda hits, k: taken.append(hits.count()) or whole(hits, k))
+    retrieve.keyword_top(docs, asked)
+    assert 0 < taken[0] <= 3 * 3 * retrieve.TOP
+    assert retrieve.keyword_top(docs.limit(0), asked).count() == 0
+
+
 def test_best_holds_k_a_question():
     """Many questions that take up all first vectors hold k hits each, as sorting everything gives them."""
     from millrace.operators.nearest import Best
