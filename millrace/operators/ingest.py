@@ -94,7 +94,9 @@ def _sources(changes: DataFrame, moves: DataFrame, replica: DataFrame | None) ->
     Rows (table, at, c, known, v, via): ``via`` is the place of an earlier move, ``at`` of this one. The histories are walked in
     windows, so a key costs its length, however often its row has moved.
     """
-    keyed = changes.withColumn("k", canonical(F.col("pk"))).join(moves.select("table", "k").distinct(), ["table", "k"], "left_semi")
+    keyed = changes.select("table", canonical(F.col("pk")).alias("k"), "at", "op", "after", "unchanged", "prev_pk").join(moves.select("table", "k").distinct(), ["table", "k"], "left_semi")
+    # read several times, and only the histories of rows that moved
+    keyed = checkpointed(keyed)
     none = lambda kind: F.lit(None).cast(kind)
     said = keyed.where("after is not null").select("table", "k", "at", F.explode("after").alias("c", "v")).select("table", "k", "at", "c", F.struct(F.lit(True).alias("known"), "v", none("long").alias("via")).alias("token"))
     brought = keyed.where("prev_pk is not null").select("table", "k", "at", F.explode("unchanged").alias("c"), F.struct(F.lit(False).alias("known"), none("string").alias("v"), F.col("at").alias("via")).alias("token"))
@@ -136,11 +138,12 @@ def carry_key_changes(changes: DataFrame, replica: DataFrame | None = None) -> D
         done = found.where("via is null")
         found = checkpointed(done.unionByName(ahead.select("table", "at", "c", F.coalesce("t.known", F.lit(False)).alias("known"), F.col("t.v").alias("v"), F.col("t.next").alias("via"))))
     carried = found.where("known").groupBy("table", "at").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("carried"))
-    out = changes.join(carried, ["table", "at"], "left")
-    # both halves of a move have one place; only the new row is filled
-    use = F.col("prev_pk").isNotNull() & F.col("carried").isNotNull()
+    # both halves of a move have one place; only the new row is filled, and only such rows are joined
+    lacks = F.coalesce(F.col("prev_pk").isNotNull() & (F.size("unchanged") > 0), F.lit(False))
+    out, use = changes.where(lacks).join(carried, ["table", "at"], "left"), F.col("carried").isNotNull()
     filled = out.withColumn("after", F.when(use, F.map_concat("after", "carried")).otherwise(F.col("after")))
-    return filled.withColumn("unchanged", F.when(use, F.array_except("unchanged", F.map_keys("carried"))).otherwise(F.col("unchanged"))).drop("carried", "at")
+    filled = filled.withColumn("unchanged", F.when(use, F.array_except("unchanged", F.map_keys("carried"))).otherwise(F.col("unchanged")))
+    return changes.where(~lacks).unionByName(filled.select(*changes.columns)).drop("at")
 
 
 def stamp_commits(changes: DataFrame, commits: DataFrame) -> DataFrame:
@@ -171,7 +174,8 @@ def assembled(raw: DataFrame) -> DataFrame:
         commits = raw.where("kind = 'C'").select("xid", "lsn", "commit_ts")
         versions = relation_versions(raw).withColumnRenamed("relation_id", "r")
         plain = tuples.select("xid", "seq", "action", "relation_id", "values", "old")
-        named = plain.join(versions, (F.col("relation_id") == F.col("r")) & (F.col("seq") >= F.col("since")) & (F.col("seq") < F.col("before")), "left")
+        # a small dimension; by its number all rows of a relation would meet in one task
+        named = plain.join(F.broadcast(versions), (F.col("relation_id") == F.col("r")) & (F.col("seq") >= F.col("since")) & (F.col("seq") < F.col("before")), "left")
         rows = stamp_commits(_decoded(named), commits)
     return split_key_changes(rows).withColumnRenamed("seq", "offset").withColumn("partition", F.lit(0)).drop("xid")
 

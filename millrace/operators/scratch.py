@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -18,3 +19,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
             found = "file://" + tempfile.mkdtemp(prefix="millrace-")
         context.setCheckpointDir(found)
     return df.checkpoint()
+
+
+def staged(df: DataFrame, folder: str) -> DataFrame:
+    """``df``, written as a new table under a shared folder and read back: for rows that are read several times, a few columns or rows at a time."""
+    path = f"{folder}/staged-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

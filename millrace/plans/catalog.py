@@ -13,7 +13,7 @@ from millrace.operators import codec, digests, documents, ingest, latency, retri
 from millrace.operators import fold as folds
 from millrace.operators.merge import APPLY_TS, COMMIT_TS, LSN, empty_replica, merge
 from millrace.operators.nearest import nearest
-from millrace.operators.scratch import checkpointed
+from millrace.operators.scratch import staged
 from millrace.plans import workload as w
 from millrace.sources import registry
 from millrace.sources.errors import read_errors
@@ -585,6 +585,8 @@ def wal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def moved_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that moved to another key keep what was not resent."""
     changes, _ = from_raw(w.raw_moves(spark, sf_dir))
+    # read several times
+    changes = staged(changes, w.scratch_folder(spark))
     folded = folds.typed(folds.key_columns(folds.fold(ingest.carry_key_changes(changes), sorted(w.ORDER_COLUMNS)), w.ORDER_KEYS), w.ORDER_COLUMNS)
     return merge(empty_replica(spark, w.ORDER_KEYS, w.ORDER_COLUMNS), folded, ["o_orderkey"], sorted(w.ORDER_COLUMNS), F.lit(w.START)).select("o_orderkey", "o_orderstatus", "o_orderpriority")
 
@@ -597,7 +599,7 @@ def moved_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that moved from key to key, by way of messages, keep what no move has resent."""
     changes, _ = from_raw(w.raw_chains(spark, sf_dir))
     # read several times
-    changes = checkpointed(codec.decoded(codec.encoded(changes)).withColumns({"partition": F.lit(0), "offset": F.col("seq")}))
+    changes = staged(codec.decoded(codec.encoded(changes)).withColumns({"partition": F.lit(0), "offset": F.col("seq")}), w.scratch_folder(spark))
     carried = ingest.carry_key_changes(changes)
     folded = folds.typed(folds.key_columns(folds.fold(carried, sorted(w.ORDER_COLUMNS)), w.ORDER_KEYS), w.ORDER_COLUMNS)
     return merge(empty_replica(spark, w.ORDER_KEYS, w.ORDER_COLUMNS), folded, ["o_orderkey"], sorted(w.ORDER_COLUMNS), F.lit(w.START)).select("o_orderkey", "o_orderstatus", "o_orderpriority")

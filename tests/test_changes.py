@@ -166,3 +166,20 @@ def test_moved_rows_keep_unsent_values(spark):
 def test_names():
     assert ordered_columns(["zeta", "id", "alpha", "mid"], ["id"]) == ["id", "alpha", "mid", "zeta"]
     assert quoted("a`b") == "`a``b`" and quoted_table("public.animals") == "`public`.`animals`" and sql_text("it's") == "'it''s'"
+
+
+def test_moves_join_only_rows_that_lack_values(spark):
+    """Raw rows meet their relation by broadcast, and the whole log isn't shuffled to fill the few rows that moved."""
+    from millrace.operators import ingest
+    from millrace.plans import workload as w
+    from tests.conftest import SF
+
+    raw = w.raw_moves(spark, SF)
+    rows = ingest.assembled(raw)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
+    held = rows.localCheckpoint()
+    carried = ingest.carry_key_changes(held)
+    assert carried.count() == held.count() and sorted(carried.columns) == sorted(held.columns)
+    assert carried.where("prev_pk is not null and size(unchanged) > 0").isEmpty()
+    assert "Union" in carried._jdf.queryExecution().optimizedPlan().toString()
