@@ -148,6 +148,48 @@ def test_keyword_index_follows_changes(spark, tmp_path):
     assert not any(index.documents in f for f in read)
 
 
+def test_keyword_index_adds_parts(spark, tmp_path, monkeypatch):
+    """A batch adds its own rows and rewrites no bucket; deleted keys that come back count once; after some parts the tables are written anew. Answers stay those of a scan."""
+    import millrace.streaming.keyword_index as K
+
+    monkeypatch.setattr(K, "POSTINGS", 50)
+    monkeypatch.setattr(K, "BLOCK", 3)
+    store = Store(spark, "file://" + str(tmp_path / "s"), 2)
+    index = K.KeywordIndex(store, "words")
+    state = {i: f"all w{i % 7} w{i % 5} alone{i}" if i % 9 else None for i in range(60)}
+    made = lambda rows: spark.createDataFrame(rows, "key long, text string")
+    asked = spark.createDataFrame([(1, "all w3"), (2, "w1 w2 new"), (3, "alone4 alone5"), (4, "all"), (5, "")], "question_id long, text string")
+
+    def check():
+        docs = made(list(state.items())).withColumn("updated_at", F.lit(None).cast("timestamp"))
+        want = retrieve.top(retrieve.keyword_scores(docs, retrieve.question_terms(asked)), docs)
+        assert plain(index.search(asked)) == plain(want) and index.count() == len(state)
+
+    def apply(new, gone):
+        index.apply(made(new), made([(k, None) for k in gone]))
+        state.update(new)
+        for k in gone:
+            state.pop(k, None)
+
+    files = lambda: {p for t in (index.postings, index.documents) for p in store.read(t).inputFiles()}
+    index.build(made(list(state.items())))
+    first, rows = files(), store.read(index.postings).count()
+    apply([(5, "all new"), (100, "w1 new")], [4, 6, 999])
+    assert first < files() and store.read(index.postings).count() <= rows + 4
+    check()
+    apply([(4, "back alone4"), (5, "w2 w3")], [100])
+    check()
+    apply([], [])
+    apply([], [7])
+    check()
+    monkeypatch.setattr(K, "PARTS", 4)
+    apply([(8, "all new")], [9])
+    assert not first & files() and store.read(index.gone).count() == 0 and store.read(index.documents).count() == len(state)
+    check()
+    apply([(9, "w9 new")], [8])
+    check()
+
+
 def test_documents_keep_their_indexes(spark, tmp_path):
     """The document writer's batches reach both indexes in the same commit; live answers are those of a scan."""
     from millrace import control
