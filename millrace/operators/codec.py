@@ -36,26 +36,32 @@ def encoded(changes: DataFrame) -> DataFrame:
     return changes.select(message_key(F.col("table"), F.col("pk")).alias("key"), value.alias("value"), *rest)
 
 
-def parsed(messages: DataFrame) -> DataFrame:
-    """Each message with ``change`` and ``error``; a message without op or table, or that isn't JSON, has an error."""
+def _change() -> Column:
     schema = T.StructType([*ENVELOPE.fields, T.StructField("_corrupt", T.StringType())])
-    change = F.from_json(F.col("value").cast("string"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", **TIMES})
-    out = messages.withColumn("change", change)
-    c = F.col("change")
-    why = (
+    return F.from_json(F.col("value").cast("string"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", **TIMES})
+
+
+def _fault(c: Column) -> Column:
+    """What is wrong with a parsed message, or null."""
+    return (
         F.when(F.col("value").isNull() | c.isNull() | c["_corrupt"].isNotNull(), "not an event")
         .when(F.coalesce(c["op"], F.lit("")) == "", "no op")
         .when(F.coalesce(c["table"], F.lit("")) == "", "no table")
         .when(~c["op"].isin(*OPS), "unknown op")
     )
-    return out.withColumn("error", why)
+
+
+def parsed(messages: DataFrame) -> DataFrame:
+    """Each message with ``change`` and ``error``; a message without op or table, or that isn't JSON, has an error."""
+    return messages.withColumn("change", _change()).withColumn("error", _fault(F.col("change")))
 
 
 def decoded(messages: DataFrame) -> DataFrame:
     """The change rows of well-formed messages."""
-    fields = [F.col(f"change.{n}").alias(n) for n in ENVELOPE.names]
     place = [F.col(c).cast(CHANGE[c].dataType).alias(c) for c in ("partition", "offset") if c in messages.columns]
-    return parsed(messages).where("error is null").select(*fields, *place)
+    # judged as a list of one, so that a message is parsed once; a filter would parse it anew for each of its conditions
+    fine = F.filter(F.array(_change()), lambda c: _fault(c).isNull())
+    return messages.select(*place, F.inline(fine)).select(*ENVELOPE.names, *[c for c in ("partition", "offset") if c in messages.columns])
 
 
 def rejected(messages: DataFrame) -> DataFrame:

@@ -163,6 +163,14 @@ def test_moved_rows_keep_unsent_values(spark):
     assert r[2].after == {"a": "y", "b": "long"} and r[2].unchanged == []
 
 
+def test_messages_are_parsed_once(spark):
+    """Whether a message is a change is judged on what has been parsed; the plan doesn't parse it anew for each condition."""
+    rows = [(0, '{"op":"c","table":"t","lsn":1,"pk":{"a":"1"}}'), (1, "{not json"), (2, '{"op":"","table":"t"}'), (3, '{"op":"u"}'), (4, '{"op":"x","table":"t"}'), (5, None), (6, '{"op":"d","table":"t","lsn":2}')]
+    out = codec.decoded(spark.createDataFrame(rows, "offset long, value string"))
+    assert [(r.offset, r.op, r.table, r.lsn, r.pk) for r in out.orderBy("offset").collect()] == [(0, "c", "t", 1, {"a": "1"}), (6, "d", "t", 2, None)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
 def test_names():
     assert ordered_columns(["zeta", "id", "alpha", "mid"], ["id"]) == ["id", "alpha", "mid", "zeta"]
     assert quoted("a`b") == "`a``b`" and quoted_table("public.animals") == "`public`.`animals`" and sql_text("it's") == "'it''s'"
