@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,24 +28,51 @@ def units(rows: np.ndarray) -> np.ndarray:
 class Questions:
     """A block of questions, by their number of dimensions, as matrices."""
 
-    def __init__(self, rows: list[tuple], probed: Mapping[int, np.ndarray] | None = None):
+    def __init__(self, rows: list[tuple]):
         self.ids = [r[0] for r in rows]
         self.by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for dim in sorted({len(r[1]) for r in rows if r[1]}):
-            at = np.array([i for i, r in enumerate(rows) if r[1] and len(r[1]) == dim])
+        size = np.array([0 if r[1] is None else len(r[1]) for r in rows], int)
+        for dim in np.unique(size[size > 0]).tolist():
+            at = np.flatnonzero(size == dim)
             unit = units(np.array([rows[i][1] for i in at], float))
             fine = ~np.isnan(unit).any(1)
             self.by_dim[dim] = at[fine], unit[fine]
-        self.probed = probed
+
+
+class Cells:
+    """Which questions of a block read a cell: those that list it; with a ``limit``, those that don't, but may have hits within that angle in it.
+
+    The questions' lists are all that is held for questions and cells together; what lies within a limit is told where a cell's vectors are read.
+    """
+
+    def __init__(self, lists: np.ndarray, centres: np.ndarray, reach: np.ndarray, limit: np.ndarray | None = None):
+        flat = lists.ravel()
+        order = np.argsort(flat, kind="stable")
+        self.question = (order // max(1, lists.shape[1])).astype(np.int32)
+        self.start = np.searchsorted(flat, np.arange(len(centres) + 1), sorter=order)
+        self.centres, self.reach, self.limit = centres, reach, limit
+
+    def of(self, cell: int, unit: np.ndarray) -> np.ndarray:
+        """The places in ``unit``, the block's questions, of those that read the cell."""
+        listed = self.question[self.start[cell] : self.start[cell + 1]]
+        if self.limit is None:
+            return listed
+        able = angles(unit, self.centres[cell]) - self.reach[cell] <= self.limit
+        able[listed] = False
+        return np.flatnonzero(able)
+
+
+def angles(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ centres.T, -1, 1))
 
 
 class Best:
     """The best k hits of each question so far: by score, then newest, then key. They lie in arrays of k a question, whatever the number of rows that were met."""
 
-    def __init__(self, ids: list, k: int, own: bool = False):
+    def __init__(self, ids: list, k: int, own: bool = False, least: np.ndarray | None = None):
         self.ids, self.k, self.own = ids, k, own
         n = len(ids)
-        self.least, self.held = np.full(n, -np.inf), np.zeros(n, int)
+        self.least, self.held = np.full(n, -np.inf) if least is None else np.round(least, DIGITS), np.zeros(n, int)
         self.score, self.time, self.key = np.zeros((n, k)), np.zeros((n, k), np.int64), np.zeros((n, k), object)
 
     def take(self, at: np.ndarray, score: np.ndarray, keys: np.ndarray, times: np.ndarray) -> None:
@@ -108,34 +135,31 @@ def hits_of(question: T.DataType, key: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("question_id", question), T.StructField("key", key), T.StructField("at", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
-def scored(vectors: DataFrame, questions: Questions, k: int, own: bool, question_type: T.DataType, cells: bool = False) -> DataFrame:
-    """(question_id, key, at, score): each task's best k for each question. ``vectors``: key, embedding, at (microseconds), and cell if these are told apart."""
+def scored(vectors: DataFrame, questions: Questions, k: int, own: bool, question_type: T.DataType, cells: Cells | None = None, least: np.ndarray | None = None) -> DataFrame:
+    """(question_id, key, at, score): each task's best k for each question, of those that reach the question's ``least``. ``vectors``: key, embedding, at (microseconds), and cell if these are told apart."""
     schema = hits_of(question_type, vectors.schema["key"].dataType)
     types = [to_arrow_type(f.dataType) for f in schema]
-    source = vectors.select("key", "embedding", "at", *(["cell"] if cells else []))
+    source = vectors.select("key", "embedding", "at", *([] if cells is None else ["cell"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(questions.ids, k, own)
+        best = Best(questions.ids, k, own, least)
         for batch in batches:
             keys, rows = keys_of(batch.column(0)), batch.column(1)
             times = batch.column(2).fill_null(NEVER).to_numpy(zero_copy_only=False)
             size = np.array(rows.value_lengths().fill_null(0))
-            cell = batch.column(3).to_numpy() if cells else np.zeros(len(keys), int)
+            cell = np.zeros(len(keys), int) if cells is None else batch.column(3).to_numpy()
             for dim, (every, asked) in questions.by_dim.items():
                 for c in np.unique(cell[size == dim]).tolist():
-                    at = np.flatnonzero((size == dim) & (cell == c))
-                    some = questions.probed.get(c) if cells else None
-                    if cells and some is None:
-                        continue
-                    met = slice(None) if some is None else np.isin(every, some)
+                    met = slice(None) if cells is None else cells.of(c, asked)
                     to, of = every[met], asked[met]
+                    if not len(to):
+                        continue
+                    at = np.flatnonzero((size == dim) & (cell == c))
                     unit = units(rows.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim))
                     fine = ~np.isnan(unit).any(1)
                     at, unit = at[fine], unit[fine]
-                    step = max(1, PRODUCTS // max(1, len(to)))
-                    for start in range(0, len(at) if len(to) else 0, step):
-                        part = at[start : start + step]
-                        best.take(to, np.round(of @ unit[start : start + step].T, DIGITS), keys[part], times[part])
+                    for part in pieces(len(at), len(to)):
+                        best.take(to, np.round(of @ unit[part].T, DIGITS), keys[at[part]], times[at[part]])
         for columns in best.rows():
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], schema.names)
 
@@ -149,12 +173,18 @@ def merged(hits: DataFrame, k: int) -> DataFrame:
     return found.select("question_id", "key", "score", F.when(F.col("at") != NEVER, F.timestamp_micros("at")).alias("updated_at"), "pos")
 
 
-def blocks_of(questions: DataFrame) -> Iterator[list[tuple]]:
-    """The questions in blocks of bounded size, on the driver."""
+def pieces(n: int, width: int) -> Iterator[slice]:
+    """``n`` rows in parts that make no more than ``PRODUCTS`` with ``width`` others."""
+    step = max(1, PRODUCTS // max(1, width))
+    return (slice(start, start + step) for start in range(0, n, step))
+
+
+def blocks_of(questions: DataFrame, most: int | None = None) -> Iterator[list[tuple]]:
+    """The questions in blocks of bounded size, ``most`` in one, on the driver."""
     widest = questions.agg(F.max(F.size("embedding"))).first()[0] or 1
-    block, held = max(1, QUESTION_BYTES // (8 * max(1, widest))), []
+    block, held = max(1, min(QUESTION_BYTES // (8 * max(1, widest)), most or QUESTION_BYTES)), []
     for r in questions.select("question_id", "embedding").toLocalIterator():
-        held.append((r[0], r[1]))
+        held.append((r[0], None if r[1] is None else np.array(r[1], float)))
         if len(held) == block:
             yield held
             held = []

@@ -1,18 +1,20 @@
 """A stored vector index: inverted cells, kept up by the change stream.
 
-Centroids are fitted once on a bounded sample; every vector lies in the cell of its nearest centroid. Three tables of the store hold the index: ``rows``
+Centroids are fitted once on a bounded sample, in the tasks; every vector lies in the cell of its nearest centroid. Three tables of the store hold the index: ``rows``
 in buckets of cells, ``places`` with each key's cell in buckets of keys, and ``reach`` with each cell's widest angle. A batch of changes rewrites
 the buckets of the cells that its vectors leave and enter, in one commit with whatever else the batch changes.
 
 A search reads the cells nearest to each question. With ``probe`` it reads so many and is approximate. Without, it is exact: after the first
-cells, a question's k-th best score and the triangle inequality on angles tell which other cells can hold a better one, and only these are read.
+cells, a question's k-th best score and the triangle inequality on angles tell which other cells can hold a better one, and only these are read. Which questions
+read a cell is told in the tasks that read it, so the driver holds a block of questions and the centroids, but nothing for questions and cells together.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import cycle
 
 import numpy as np
 import pyarrow as pa
@@ -21,28 +23,76 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.merge import upsert
-from millrace.operators.nearest import Questions, blocks_of, merged, scored, units, with_times
+from millrace.operators.nearest import DIGITS, Cells, Questions, angles, blocks_of, merged, pieces, scored, units, with_times
 from millrace.streaming.store import Store
 
 #: Rows that centroids are fitted on for each cell, rounds of the fit, and most cells.
 SAMPLE, ROUNDS, CELLS, SEED = 64, 8, 4096, 17
-#: Cells that an exact search reads first.
-FIRST = 4
+#: Cells that an exact search reads first, and most entries of the questions' lists of cells at a time.
+FIRST, LISTED = 4, 1 << 22
 #: Far above the error of an angle between unit vectors in double precision.
 SLACK = 1e-6
 
 
-def fitted(rows: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
-    """Unit centroids of unit rows by rounds of assignment and mean; a cell that goes empty starts anew at a row."""
-    rng = np.random.default_rng(seed)
-    centres = rows[rng.permutation(len(rows))[:cells]]
+def matrix(rows: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
+    return np.asarray(rows.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, dim)
+
+
+def lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
+def usable(rows: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the vectors of ``dim`` numbers that are near anything, and their units."""
+    at = np.flatnonzero(np.array(rows.value_lengths().fill_null(0)) == dim)
+    unit = units(matrix(rows.take(pa.array(at)), dim))
+    fine = ~np.isnan(unit).any(1)
+    return at[fine], unit[fine]
+
+
+def closest(unit: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest centroid, and the cosine."""
+    cell, near = np.zeros(len(unit), int), np.zeros(len(unit))
+    for part in pieces(len(unit), len(centres)):
+        product = unit[part] @ centres.T
+        cell[part], near[part] = product.argmax(1), product.max(1)
+    return cell, near
+
+
+def fitted(sample: DataFrame, cells: int, dim: int, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
+    """Unit centroids of a sample (key, cell, embedding of length one) by rounds of assignment and mean; a cell that goes empty starts anew at a row.
+
+    The tasks add up their rows by cell; the driver holds the centroids and as many rows more.
+    """
+    rows = units(matrix(sample.orderBy(F.xxhash64(F.lit(seed), "key")).limit(2 * cells).select("embedding").toArrow()["embedding"], dim))
+    if not len(rows):
+        raise ValueError("an index needs vectors to fit its cells on")
+    centres, others = rows[:cells], cycle(rows[::-1])
+    shape = centres.shape
+
+    def added(cell_of: Callable) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums, met = np.zeros(shape), np.zeros(shape[0], bool)
+            for batch in batches:
+                held = matrix(batch.column(1), dim)
+                cell = cell_of(batch.column(0).to_numpy(), held)
+                np.add.at(sums, cell, held)
+                met[cell] = True
+            if met.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(met), pa.int32()), lists(sums[met])], ["cell", "embedding"])
+
+        return run
+
+    kind = "cell int, embedding array<double>"
     for _ in range(rounds):
-        near = (rows @ centres.T).argmax(1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, rows)
+        parts = sample.select("cell", "embedding").mapInArrow(added(lambda _, unit, centres=centres: closest(unit, centres)[0]), kind)
+        found = parts.repartition("cell").mapInArrow(added(lambda cell, _: cell), kind).toArrow()
+        sums = np.zeros(shape)
+        sums[found["cell"].to_numpy()] = matrix(found["embedding"], dim)
         size = np.sqrt((sums * sums).sum(1))
         for c in np.flatnonzero(size == 0):
-            sums[c], size[c] = rows[rng.integers(len(rows))], 1.0
+            sums[c], size[c] = next(others), 1.0
         centres = sums / size[:, None]
     return centres
 
@@ -71,8 +121,8 @@ class VectorIndex:
 
     def centroids(self, state: dict | None = None) -> np.ndarray:
         """No more than ``CELLS`` rows."""
-        held = self.store.read(self.centres, state=state).orderBy("cell").collect()
-        return np.array([r.centre for r in held], float)
+        held = self.store.read(self.centres, state=state).orderBy("cell").toArrow()["centre"].combine_chunks()
+        return matrix(held, len(held[0]))
 
     def assigned(self, vectors: DataFrame, centres: np.ndarray) -> DataFrame:
         """key, embedding, updated_at, cell and the angle ``off`` the centroid; vectors that are near nothing are left out."""
@@ -83,14 +133,9 @@ class VectorIndex:
 
         def run(batches):
             for batch in batches:
-                rows = batch.column(1)
-                at = np.flatnonzero(np.array(rows.value_lengths().fill_null(0)) == dim)
-                unit = units(rows.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-                fine = ~np.isnan(unit).any(1)
-                at, unit = at[fine], unit[fine]
-                near = unit @ centres.T
-                cell = near.argmax(1) if len(near) else np.zeros(0, int)
-                off = np.arccos(np.clip(near[np.arange(len(near)), cell], -1, 1))
+                at, unit = usable(batch.column(1), dim)
+                cell, near = closest(unit, centres)
+                off = np.arccos(np.clip(near, -1, 1))
                 kept = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cell, pa.int32()), pa.array(off)], schema.names)
 
@@ -101,14 +146,13 @@ class VectorIndex:
         common = vectors.where("size(embedding) > 0").groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
         n, dim = (common.n, common.dim) if common else (0, 0)
         cells = max(1, min(CELLS, cells or 4 * math.isqrt(n)))
-        sample = vectors.where(F.size("embedding") == dim).orderBy(F.xxhash64("key")).limit(SAMPLE * cells).select("embedding").toArrow()["embedding"].to_pylist()
-        if not sample:
-            raise ValueError("an index needs vectors to fit its cells on")
-        unit = units(np.array(sample, float))
-        centres = fitted(unit[~np.isnan(unit).any(1)], cells)
-        base = self.store.manifest()
-        spark = self.store.spark
-        held = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
+        spark, base = self.store.spark, self.store.manifest()
+        sample = self._sample(vectors, dim, min(1.0, SAMPLE * cells / max(1, n))).persist()
+        try:
+            centres = fitted(sample, cells, dim)
+        finally:
+            sample.unpersist()
+        held = spark.createDataFrame(pa.table({"cell": pa.array(np.arange(len(centres)), pa.int32()), "centre": lists(centres)}), "cell int, centre array<double>")
         rows = self.assigned(vectors, centres).persist()
         try:
             tables = {self.centres: (held, ["cell"], None), self.rows: (rows, ["cell"], None), self.places: (rows.select("key", "cell"), ["key"], None), self.reach: (self._reach(rows), ["cell"], None)}
@@ -116,6 +160,18 @@ class VectorIndex:
         finally:
             rows.unpersist()
 
+    def _sample(self, vectors: DataFrame, dim: int, share: float) -> DataFrame:
+        """(key, cell, embedding): a share of the vectors of ``dim`` numbers, scaled to length one. The cell isn't known yet."""
+        schema = T.StructType([vectors.schema["key"], T.StructField("cell", T.IntegerType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, unit = usable(batch.column(1), dim)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.zeros(len(at)), pa.int32()), lists(unit.astype(np.float32))], schema.names)
+
+        drawn = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30)))
+        return vectors.where(F.size("embedding") == dim).where(drawn).select("key", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(run, schema)
+
     def _reach(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy("cell").agg(F.max("off").alias("off"), F.count("*").alias("n"))
 
@@ -160,40 +216,44 @@ class VectorIndex:
         reach = np.full(len(centres), -1.0)
         for r in self.store.read(self.reach, state=state).collect():  # a row a cell
             reach[r.cell] = r.off
-        filled, out, asked, read = np.flatnonzero(reach >= 0), None, 0, 0
+        filled, out, asked, read = np.flatnonzero(reach >= 0).astype(np.int32), None, 0, 0
         reading = reading or Reading()
-        for rows in blocks_of(questions):
-            plain = Questions(rows)
-            at, unit = plain.by_dim.get(centres.shape[1], (np.zeros(0, int), np.zeros((0, centres.shape[1]))))
-            angle = np.arccos(np.clip(unit @ centres[filled].T, -1, 1))
-            order = np.argsort(angle, axis=1, kind="stable")
-            first = filled[order[:, : probe or FIRST]]
-            hits = self._hits(rows, at, [list(f) for f in first], state, k, own, kind, reading)
+        n = min(probe or FIRST, len(filled))
+        for rows in blocks_of(questions, LISTED // max(1, n)):
+            block = Questions(rows)
+            at, unit = block.by_dim.get(centres.shape[1], (np.zeros(0, int), np.zeros((0, centres.shape[1]))))
+            first = np.zeros((len(at), n), np.int32)
+            for part in pieces(len(at), len(filled)) if n else ():
+                first[part] = filled[np.argpartition(angles(unit[part], centres[filled]), n - 1, axis=1)[:, :n]]
+            needed = np.zeros(len(centres), bool)
+            needed[first] = True
+            hits = self._hits(block, Cells(first, centres, reach), needed, state, k, own, kind, reading)
             asked += len(at)
             read += first.size
-            if probe is None and len(at):
+            if probe is None and len(at) and n:
                 hits = hits.persist()
                 # a row a question of the block
-                least = {r.question_id: r.score for r in merged(hits, k).where(F.col("pos") == k).select("question_id", "score").collect()}
-                more = []
-                for n, i in enumerate(at.tolist()):
-                    limit = math.acos(max(-1.0, min(1.0, least[rows[i][0]]))) if rows[i][0] in least else math.inf
-                    able = filled[(angle[n] - reach[filled] <= limit + SLACK)]
-                    more.append(sorted(set(able.tolist()) - set(first[n].tolist())))
-                read += sum(map(len, more))
-                if any(more):
-                    hits = hits.unionByName(self._hits(rows, at, more, state, k, own, kind, reading))
+                held = {r.question_id: r.score for r in merged(hits, k).where(F.col("pos") == k).select("question_id", "score").collect()}
+                least = np.array([held.get(q, -np.inf) for q in block.ids])
+                # a score that rounds to the k-th may be a hit
+                limit = np.where(least[at] > -np.inf, np.arccos(np.clip(least[at] - 10.0**-DIGITS, -1, 1)) + SLACK, np.inf)
+                needed = np.zeros(len(centres), bool)
+                for part in pieces(len(at), len(centres)):
+                    able = (angles(unit[part], centres) - reach <= limit[part, None]) & (reach >= 0)
+                    np.put_along_axis(able, first[part], False, axis=1)
+                    read += np.count_nonzero(able)
+                    needed |= able.any(0)
+                if needed.any():
+                    hits = hits.unionByName(self._hits(block, Cells(first, centres, reach, limit), needed, state, k, own, kind, reading, least))
             out = hits if out is None else out.unionByName(hits)
         reading.cells_a_question = read / max(1, asked)
         if out is None:
             out = scored(with_times(self.store.read(self.rows, state=state).limit(0)), Questions([]), k, own, kind)
         return merged(out, k)
 
-    def _hits(self, rows, at, cells: list[list[int]], state, k, own, kind, reading) -> DataFrame:
-        probed: dict[int, list[int]] = {}
-        for i, some in zip(at.tolist(), cells, strict=True):
-            for c in some:
-                probed.setdefault(int(c), []).append(i)
-        reading.cells |= probed.keys()
-        source = with_times(self._read(sorted(probed), state)) if probed else with_times(self.store.read(self.rows, state=state).limit(0))
-        return scored(source, Questions(rows, {c: np.array(q) for c, q in probed.items()}), k, own, kind, cells=True)
+    def _hits(self, block: Questions, cells: Cells, needed: np.ndarray, state, k, own, kind, reading, least: np.ndarray | None = None) -> DataFrame:
+        """The best of the needed cells. Their vectors come cell by cell, so a task tells but once or twice which questions read one."""
+        wanted = np.flatnonzero(needed).tolist()
+        reading.cells.update(wanted)
+        source = self._read(wanted, state) if wanted else self.store.read(self.rows, state=state).limit(0)
+        return scored(with_times(source).sortWithinPartitions("cell"), block, k, own, kind, cells, least)

@@ -86,6 +86,31 @@ def test_vector_index_follows_changes(spark, tmp_path):
     assert reading.cells_a_question < 30
 
 
+def test_vector_index_spares_the_driver(spark, tmp_path, monkeypatch):
+    """Fitting and exact search hold nothing on the driver for vectors and cells, or questions and cells, together; vectors without structure make each question read most cells."""
+    import tracemalloc
+
+    import millrace.operators.nearest as N
+
+    monkeypatch.setattr(N, "PRODUCTS", 1 << 16)
+    rng = np.random.default_rng(6)
+    vectors = spark.createDataFrame([(f"k{i}", rng.standard_normal(8).astype(np.float32).tolist(), None) for i in range(6000)], VECTORS).repartition(2).persist()
+    asked = questions_of(vectors, 2000).persist()
+    want = plain(nearest(vectors, asked, 3))
+    index = VectorIndex(Store(spark, "file://" + str(tmp_path / "s"), 4), "many")
+    reading = Reading()
+    tracemalloc.start()
+    try:
+        index.build(vectors, 800)
+        hits = index.search(asked, 3, reading=reading)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert plain(hits) == want and reading.cells_a_question > N.PRODUCTS / 2000
+    # all pairs of questions and cells would take 12.8 MB, those of vectors and cells 38.4 MB
+    assert peak < 8e6, peak
+
+
 @pytest.mark.parametrize("n", [1000, 4000])
 def test_recall_of_few_cells(spark, tmp_path, n):
     """Documents as hashed vectors: a part of the cells holds at least 0.95 of the five nearest."""
