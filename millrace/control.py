@@ -355,9 +355,9 @@ class Service:
         asked = spark.createDataFrame([(0, question)], "question_id long, text string")
         live = mode == "live"
         if words is not None and live:
-            said = words.search(asked)
+            said = words.search(asked, terms=retrieve.TERMS)
         else:
-            said = retrieve.keyword_top(docs, retrieve.question_terms(asked, split=english), split=english)
+            said = retrieve.keyword_top(docs, retrieve.question_terms(asked, retrieve.TERMS, split=english), split=english)
         query = spark.createDataFrame([(0, embedder.embed([question], True)[0])], "question_id long, embedding array<float>")
         near = vectors.search(query, retrieve.TOP, probe) if vectors is not None and live else nearest(docs, query, retrieve.TOP)
         hits = retrieve.contexts(retrieve.hybrid(said, near), docs).join(docs.select("key", "commit_ts"), "key").orderBy("rank").collect()

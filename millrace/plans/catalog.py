@@ -471,17 +471,20 @@ _KEYWORDS = (
     "kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS pos FROM sc) WHERE pos <= 5)"
 )
 
+#: By all words of a question.
+_ALL_KEYWORDS = _KEYWORDS.replace("[1:8]", "")
 
-def _words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+
+def _words(spark: SparkSession, sf_dir: str, terms: int | None = None) -> tuple[DataFrame, DataFrame]:
     docs = w.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", F.lit(None).cast("timestamp").alias("updated_at"))
     questions = w.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
-    return retrieve.keyword_top(docs, retrieve.question_terms(questions)), docs
+    return retrieve.keyword_top(docs, retrieve.question_terms(questions, terms)), docs
 
 
 @query("WITH " + _KEYWORDS + " SELECT item_id AS question_id, doc_id, CAST(pos AS INTEGER) AS pos, round(score, 6) AS score FROM kw")
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best documents by the rarity of the question's words that they hold."""
-    hits, _ = _words(spark, sf_dir)
+    hits, _ = _words(spark, sf_dir, retrieve.TERMS)
     return hits.select("question_id", F.col("key").alias("doc_id"), "pos", F.round("score", 6).alias("score"))
 
 
@@ -498,7 +501,7 @@ def indexed_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = asked.select(F.col("question_id").alias("item"), F.col("text").alias("more")).dropDuplicates(["item"])
     changed = docs.where("key % 10 = 7").withColumn("item", F.col("key") % 40).join(item, "item", "left").select("key", F.concat("more", F.lit(" "), "text").alias("text"))
     index.apply(changed, docs.where("key % 10 = 3"))
-    return index.search(asked).select("question_id", F.col("key").alias("doc_id"), "pos", F.round("score", 6).alias("score"))
+    return index.search(asked, terms=retrieve.TERMS).select("question_id", F.col("key").alias("doc_id"), "pos", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -508,7 +511,7 @@ def indexed_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword hits, then others, each key once; here the others are a stand-in by number."""
-    hits, docs = _words(spark, sf_dir)
+    hits, docs = _words(spark, sf_dir, retrieve.TERMS)
     questions = w.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"))
     other = docs.select("key", F.floor(F.col("key") / 5).alias("question_id"), (F.col("key") % 5 + 1).cast("int").alias("pos")).join(questions, "question_id")
     return retrieve.hybrid(hits, other).select("question_id", F.col("key").alias("doc_id"), "rank", "found_by")
@@ -706,7 +709,7 @@ def generated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH " + _KEYWORDS + ", " + _vectors("documents", "doc_id", "d_") + ", " + _vectors("benchmark", "item_id", "b_") + ", "
+    "WITH " + _ALL_KEYWORDS + ", " + _vectors("documents", "doc_id", "d_") + ", " + _vectors("benchmark", "item_id", "b_") + ", "
     "dv AS (SELECT doc_id, list(CAST(x AS DOUBLE) ORDER BY slot) AS v FROM d_e GROUP BY doc_id), bv AS (SELECT item_id, list(CAST(x AS DOUBLE) ORDER BY slot) AS v FROM b_e GROUP BY item_id), "
     "near AS (SELECT item_id, doc_id, list_cosine_similarity(dv.v, bv.v) AS score FROM dv, bv), "
     "vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS pos FROM near) WHERE pos <= 5), "
@@ -715,7 +718,7 @@ def generated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT item_id AS question_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY place) AS INTEGER) AS rank, CASE WHEN place < 10 THEN 'keyword' ELSE 'vector' END AS found_by FROM fst"
 )
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword and vector hits of the benchmark's questions over all documents, merged."""
+    """Keyword and vector hits of the benchmark's questions, by all their words, over all documents, merged."""
     hits, docs = _words(spark, sf_dir)
     vectors = docs.select("key", embed.hash_embed(F.col("text"), DIM).alias("embedding"), "updated_at")
     asked = w.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), embed.hash_embed(F.col("text"), DIM).alias("embedding"))

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.functions.text import tokens
-from millrace.operators.retrieve import TERMS, TOP, question_terms
+from millrace.operators.retrieve import TOP, question_terms
 from millrace.streaming.store import ADDED, Store
 
 #: Shares that a term's postings are dealt to, and terms that a lower bound is taken from.
@@ -137,8 +137,8 @@ class KeywordIndex:
         buckets = sorted(r[0] for r in places.select(self.store.bucket(["term", "share"], n)).distinct().collect())
         return self.store.read(table, buckets, state).join(terms, "term", "left_semi")
 
-    def search(self, questions: DataFrame, k: int = TOP, terms: int = TERMS, first: int = FIRST) -> DataFrame:
-        """(question_id, key, score, updated_at, pos): each question's best ``k``, by score, then newest, then key."""
+    def search(self, questions: DataFrame, k: int = TOP, terms: int | None = None, first: int = FIRST) -> DataFrame:
+        """(question_id, key, score, updated_at, pos): each question's best ``k``, by score, then newest, then key; by all its words, or the first ``terms`` in order of their bytes."""
         state = self.store.manifest()
         asked = question_terms(questions, terms, split=self.split).persist()
         # what is asked is counted first, so that its size is known where it is joined: where it is small, postings stay where they are read

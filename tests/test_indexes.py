@@ -277,3 +277,27 @@ def test_best_holds_k_a_question():
         assert best.key.shape == (300, 4) and best.held.max() <= 4
     got = {(q, k) for columns in best.rows() for q, k in zip(*columns[:2])}
     assert got == {(q, k) for q in range(300) for k in sorted((k for k in range(900) if k != q), key=lambda k: (-score[q, k], -times[k], k))[:4]}
+
+
+def small_tables(path, **rows):
+    """Tables of a few rows (id, text) as parquet files."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for name, (key, held) in rows.items():
+        pq.write_table(pa.table({key: pa.array([r[0] for r in held], pa.int64()), "text": pa.array([r[1] for r in held], pa.string())}), f"{path}/{name}.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["hybrid_search"])
+def test_all_words_of_a_question_count(spark, tmp_path, name):
+    """A question's last words in order of their bytes bring up the document that alone holds them, as its SQL says."""
+    from millrace.plans import catalog
+    from tests.oracle import connect, differences
+
+    common = "ant bee cat dog eel fox gnu hen"
+    docs = [(i, f"{common} number{i} " + "filler " * i) for i in range(20)] + [(90, "yak zebra " + "other " * 300), (91, None), (92, "")]
+    sf = small_tables(tmp_path, documents=("doc_id", docs), benchmark=("item_id", [(1, f"{common} yak zebra"), (2, "zebra"), (3, None), (4, common + " " + common)]))
+    found = catalog.QUERIES[name](spark, sf)
+    assert differences(found, connect(sf), catalog.SQL[name]) == ""
+    assert 90 in {r.doc_id for r in found.where("question_id = 1").collect()}
