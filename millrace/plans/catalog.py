@@ -481,10 +481,10 @@ def _words(spark: SparkSession, sf_dir: str, terms: int | None = None) -> tuple[
     return retrieve.keyword_top(docs, retrieve.question_terms(questions, terms)), docs
 
 
-@query("WITH " + _KEYWORDS + " SELECT item_id AS question_id, doc_id, CAST(pos AS INTEGER) AS pos, round(score, 6) AS score FROM kw")
+@query("WITH " + _ALL_KEYWORDS + " SELECT item_id AS question_id, doc_id, CAST(pos AS INTEGER) AS pos, round(score, 6) AS score FROM kw")
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best documents by the rarity of the question's words that they hold."""
-    hits, _ = _words(spark, sf_dir, retrieve.TERMS)
+    """The best documents by the rarity of the question's words, all of them, that they hold."""
+    hits, _ = _words(spark, sf_dir)
     return hits.select("question_id", F.col("key").alias("doc_id"), "pos", F.round("score", 6).alias("score"))
 
 

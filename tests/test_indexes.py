@@ -289,7 +289,7 @@ def small_tables(path, **rows):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["hybrid_search"])
+@pytest.mark.parametrize("name", ["hybrid_search", "keyword_topk"])
 def test_all_words_of_a_question_count(spark, tmp_path, name):
     """A question's last words in order of their bytes bring up the document that alone holds them, as its SQL says."""
     from millrace.plans import catalog
